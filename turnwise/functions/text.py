@@ -31,19 +31,18 @@ def n_tokens(text: Column) -> Column:
     return F.size(tokens(text))
 
 
-def tail_tokens(text: Column, n: Column | int) -> Column:
-    """The last ``n`` tokens joined by one space, or the text itself if it has no more than ``n``."""
-    if isinstance(n, int):
-        if n < 1:
-            raise ValueError(f"a tail needs at least one token, got {n}")
-        n = F.lit(n)
-    found = tokens(text)
+def tail_tokens(text: Column, n: int, found: Column | None = None) -> Column:
+    """The last ``n`` tokens joined by one space, or the text itself if it has no more than ``n``.
+
+    ``found`` is a column that already holds the tokens of ``text``; finding them is the costly part."""
+    if n < 1:
+        raise ValueError(f"a tail needs at least one token, got {n}")
+    found = tokens(text) if found is None else found
     return F.when(F.size(found) <= n, text).otherwise(F.array_join(F.slice(found, -n, n), " "))
 
 
-def last_tokens(text: Column, n: Column) -> Column:
+def last_tokens(found: Column, n: Column) -> Column:
     """Up to ``n`` last tokens joined by one space, however many there are."""
-    found = tokens(text)
     n = F.least(n, F.size(found))
     return F.array_join(F.slice(found, -n, n), " ")
 
@@ -58,6 +57,10 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(fixed.WORD), F.lit(0))
 
 
+def has_words(text: Column) -> Column:
+    return F.lower(text).rlike(fixed.WORD)
+
+
 def preview(text: Column, n: int) -> Column:
     """The first ``n`` characters, for messages and reports."""
     return F.substring(text, 1, n)

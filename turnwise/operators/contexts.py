@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import fixed
 from turnwise.functions.numbers import round_half_even
-from turnwise.functions.text import capitalize, last_tokens, n_tokens, strip, tail_tokens
+from turnwise.functions.text import capitalize, last_tokens, n_tokens, strip, tail_tokens, tokens
 
-# A strategy makes a context out of a transcript. It may wrap a pandas UDF.
-Strategy = Callable[[Column], Column]
+# A strategy makes a context out of a transcript and its tokens. It may wrap a pandas UDF.
+Strategy = Callable[[Column, Column], Column]
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -24,6 +24,14 @@ def rendered(role: Column, text: Column) -> Column:
     )
 
 
+def rendered_tokens(role: Column, text: Column) -> Column:
+    """Tokens of one turn's line, without making the line: those of its head, which is one for a valid role, and
+    those of its text."""
+    head = F.concat(F.coalesce(role, F.lit(fixed.UNKNOWN_ROLE)), F.lit(fixed.ROLE_MARK))
+    n_head = F.when(F.lower(role).isin(*fixed.VALID_ROLES), F.lit(1)).otherwise(n_tokens(head))
+    return n_head + n_tokens(F.coalesce(text, F.lit("")))
+
+
 def transcript(turns: Column) -> Column:
     """The whole conversation as text, from nested turns."""
     return F.array_join(F.transform(turns, lambda t: rendered(t["role"], t["text"])), fixed.TURN_BREAK)
@@ -33,10 +41,10 @@ def default_strategies(truncation_tokens: int = fixed.TRUNCATION_TOKENS) -> dict
     """``oracle`` keeps everything, ``baseline`` the last tokens; ``compressed`` is a slot for a policy of the user's
     and does what ``baseline`` does until one is put there."""
 
-    def tail(text: Column) -> Column:
-        return tail_tokens(text, truncation_tokens)
+    def tail(text: Column, found: Column) -> Column:
+        return tail_tokens(text, truncation_tokens, found)
 
-    return {"oracle": lambda text: text, "baseline": tail, "compressed": tail}
+    return {"oracle": lambda text, found: text, "baseline": tail, "compressed": tail}
 
 
 def contexts(
@@ -46,16 +54,20 @@ def contexts(
 
     Contexts depend on the conversation only, so they are made here, before questions multiply the rows."""
     strategies = default_strategies() if strategies is None else strategies
-    rows = F.array(
-        *[
-            F.struct(F.lit(name).alias("strategy"), make(F.col("transcript")).alias("context"))
-            for name, make in strategies.items()
-        ]
+    whole = conversations.select("conv_id", *keep, transcript(F.col("turns")).alias("text")).withColumn(
+        "found", tokens(F.col("text"))
     )
+    rows = whole.withColumn("strategy", F.explode(F.array(*[F.lit(name) for name in strategies])))
+    text, found = F.col("text"), F.col("found")
+    context = F.coalesce(
+        *[F.when(F.col("strategy") == name, make(text, found)) for name, make in strategies.items()]
+    )
+    # Tokens are counted again only where a strategy changed the text.
+    n = F.when(F.col("context") == text, F.size(found)).otherwise(n_tokens(F.col("context")))
     return (
-        conversations.select("conv_id", *keep, transcript(F.col("turns")).alias("transcript"))
-        .select("conv_id", *keep, F.inline(rows))
-        .withColumn("n_tokens", n_tokens(F.col("context")))
+        rows.withColumn("context", context)
+        .withColumn("n_tokens", n)
+        .select("conv_id", *keep, "strategy", "context", "n_tokens")
     )
 
 
@@ -72,10 +84,10 @@ def tail_contexts(
     whole = Window.partitionBy("conv_id")
     keep = max(truncation_tokens + 1, min_turns)
     recent = (
-        turns.select("conv_id", "turn", rendered(F.col("role"), F.col("text")).alias("line"))
+        turns.select("conv_id", "turn", "role", "text")
         .withColumn("nth", F.row_number().over(latest))
         .filter(F.col("nth") <= keep)
-        .withColumn("n", n_tokens(F.col("line")))
+        .withColumn("n", rendered_tokens(F.col("role"), F.col("text")))
         .withColumn("upto", F.sum("n").over(latest))
         .withColumn("all", F.sum("n").over(whole))
         .withColumn("n_turns", F.max("nth").over(whole))
@@ -85,9 +97,14 @@ def tail_contexts(
     # Every token that is kept lies in `truncation_tokens` turns at most, so this list is bounded.
     pieces = (
         recent.filter((left > 0) & (F.col("n_turns") >= min_turns))
-        .withColumn("piece", F.when(cut, last_tokens(F.col("line"), left.cast("int"))).otherwise(F.col("line")))
+        .select("conv_id", "turn", cut.alias("cut"), left.alias("left"), rendered(F.col("role"), F.col("text")).alias("line"))
+        .withColumn("found", F.when(F.col("cut"), tokens(F.col("line"))))
+        .withColumn(
+            "piece",
+            F.when(F.col("cut"), last_tokens(F.col("found"), F.col("left").cast("int"))).otherwise(F.col("line")),
+        )
         .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("pieces"), F.first(cut).alias("cut"))
+        .agg(F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("pieces"), F.first("cut").alias("cut"))
     )
     texts = F.col("pieces.piece")
     return pieces.select(
@@ -114,7 +131,7 @@ def context_sizes(
         turns.groupBy("conv_id")
         .agg(
             F.count("*").alias("n_turns"),
-            F.sum(n_tokens(rendered(F.col("role"), F.col("text")))).alias("oracle_tokens"),
+            F.sum(rendered_tokens(F.col("role"), F.col("text"))).alias("oracle_tokens"),
         )
         .filter(F.col("n_turns") >= min_turns)
         .withColumn("baseline_tokens", F.least("oracle_tokens", F.lit(truncation_tokens).cast("bigint")))

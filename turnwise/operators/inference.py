@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Called once per task; returns a function from a request's messages to the model's reply. A reply that cannot be had
@@ -23,19 +23,22 @@ def batch_infer(
     speculation. ``concurrency`` bounds how many tasks call at a time."""
     ok, failed = "ok", "api_error"
 
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
         for batch in batches:
             rows = []
-            for request_id, messages in zip(batch["request_id"], batch["messages"]):
+            for request_id, messages in zip(batch["request_id"].to_pylist(), batch["messages"].to_pylist()):
                 try:
-                    reply = model([{"role": m["role"], "content": m["content"]} for m in messages])
-                    rows.append((request_id, attempt, ok, reply))
+                    status, reply = ok, model(messages)
                 except Exception:
-                    rows.append((request_id, attempt, failed, None))
-            yield pd.DataFrame(rows, columns=["request_id", "attempt", "status", "raw_text"])
+                    status, reply = failed, None
+                rows.append({"request_id": request_id, "attempt": attempt, "status": status, "raw_text": reply})
+            yield pa.RecordBatch.from_pylist(rows, schema=written)
 
+    written = pa.schema(
+        [("request_id", pa.string()), ("attempt", pa.int32()), ("status", pa.string()), ("raw_text", pa.string())]
+    )
     sent = requests.select("request_id", "messages")
     if concurrency is not None:
         sent = sent.repartition(concurrency, "request_id")
-    return sent.mapInPandas(call, RESPONSE_SCHEMA)
+    return sent.mapInArrow(call, RESPONSE_SCHEMA)

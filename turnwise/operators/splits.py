@@ -22,7 +22,9 @@ def shuffle_key(conv_id: Column, seed: int = fixed.SEED) -> Column:
 
 def _keys(ids: DataFrame, seed: int) -> DataFrame:
     key = shuffle_key(F.col("conv_id"), seed)
-    return ids.select("conv_id", key.alias("shuffle_key"), F.substring(key, 1, _HEX_DIGITS).alias("bucket"))
+    # Never null, so that joins on the bucket put no null check, and with it the hash, in front of the scan.
+    bucket = F.coalesce(F.substring(key, 1, _HEX_DIGITS), F.lit(""))
+    return ids.select("conv_id", key.alias("shuffle_key"), bucket.alias("bucket"))
 
 
 def _histogram(keys: DataFrame) -> DataFrame:

@@ -23,8 +23,8 @@ PART_TURNS = 1024
 
 
 def is_valid(role: Column, text: Column) -> Column:
-    """A known role and a text that is not blank; false where either is null."""
-    return F.coalesce(F.lower(role).isin(*fixed.VALID_ROLES) & has_text(text), F.lit(False))
+    """A known role and a text that is not blank. Null, which no filter or count takes, where either is null."""
+    return F.lower(role).isin(*fixed.VALID_ROLES) & has_text(text)
 
 
 def map_roles(turns: DataFrame, aliases: Mapping[str, str]) -> DataFrame:

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnwise.functions import fixed
-from turnwise.functions.text import words
+from turnwise.functions.text import has_words, words
 
-# Word vectors up to this size are sent to every executor; larger ones are joined by shuffle.
+# Word vectors up to this size are sent to the tasks; larger ones are joined by shuffle.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 
 def sentences(turns: DataFrame) -> DataFrame:
     """``(conv_id, turn, tokens)``: the words of each flat turn; turns without any are left out."""
-    return turns.select("conv_id", "turn", words(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    # Tested on the text: a filter on the words would find them a second time.
+    worded = turns.filter(has_words(F.col("text")))
+    return worded.select("conv_id", "turn", words(F.col("text")).alias("tokens"))
 
 
 def word_counts(sentences: DataFrame) -> DataFrame:
@@ -39,7 +47,7 @@ def unknown_words(counts: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def corpus_stats(conversations: DataFrame) -> DataFrame:
     """Conversations and sentences per split of nested conversations; texts are not shuffled."""
-    worded = F.filter("turns", lambda t: F.lower(t["text"]).rlike(fixed.WORD))
+    worded = F.filter("turns", lambda t: has_words(t["text"]))
     return conversations.groupBy("split").agg(
         F.count("*").alias("n_conversations"), F.sum(F.size(worded)).alias("n_sentences")
     )
@@ -77,41 +85,27 @@ def word_vectors(model: Word2VecModel) -> DataFrame:
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def _fits(vectors: DataFrame, vector_size: int, broadcast_bytes: int) -> bool:
-    """Whether the vectors are small enough to broadcast. Counts no further than the limit."""
-    most = broadcast_bytes // (8 * vector_size + 64)
-    return most > 0 and vectors.select("word").limit(most + 1).count() <= most
-
-
-def with_vectors(
-    turns: DataFrame, vectors: DataFrame, vector_size: int, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """``(conv_id, turn, word, n, vector)``: the words of each turn beside their vectors, null for unknown words.
-    A turn without words keeps one row with a null word.
-
-    Vectors of a checked size are broadcast and each occurrence is a row (``n`` is 1). Larger ones are joined by
-    shuffle, after counting the occurrences per turn; adaptive execution splits partitions of frequent words."""
+def with_words(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, word, n)``: the words of each turn and how often it has them. A turn without words keeps one
+    row with a null word."""
     occurrences = turns.select("conv_id", "turn", F.explode_outer(words(F.col("text"))).alias("word"))
-    vectors = vectors.select("word", "vector")
-    if _fits(vectors, vector_size, broadcast_bytes):
-        return occurrences.withColumn("n", F.lit(1).cast("bigint")).join(F.broadcast(vectors), "word", "left")
-    counted = occurrences.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
-    return counted.join(vectors.hint("shuffle_merge"), "word", "left")
+    return occurrences.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
 
 
-def token_lookup(
-    turns: DataFrame, vectors: DataFrame, vector_size: int, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """``(conv_id, turn, n_tokens, n_known)``: words of each turn, and those that have a vector."""
-    joined = with_vectors(turns, vectors, vector_size, broadcast_bytes)
-    return joined.groupBy("conv_id", "turn").agg(*_word_sums())
+def token_lookup(turns: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(conv_id, turn, n_tokens, n_known)``: words of each turn, and those that have a vector.
 
+    Only the words of the vector table are joined. They are broadcast if the optimizer finds them small enough;
+    otherwise the join shuffles counts per turn, and adaptive execution splits the partitions of frequent words."""
+    known = vectors.select("word", F.lit(True).alias("known"))
+    return with_words(turns).join(known, "word", "left").groupBy("conv_id", "turn").agg(*_word_sums("known"))
 
-def _word_sums() -> list[Column]:
+
+def _word_sums(known: str) -> list[Column]:
     def total(of: str) -> Column:
         return F.coalesce(F.sum(F.when(F.col(of).isNotNull(), F.col("n"))), F.lit(0))
 
-    return [total("word").alias("n_tokens"), total("vector").alias("n_known")]
+    return [total("word").alias("n_tokens"), total(known).alias("n_known")]
 
 
 def turn_embeddings(
@@ -120,12 +114,57 @@ def turn_embeddings(
     """``(conv_id, turn, n_tokens, n_known, embedding array<float>)``: the mean vector of the known words of each
     flat turn, repeats counted; zeros where no word is known.
 
-    Sums are taken per turn before the shuffle, so one vector per turn is moved, not one per word."""
-    joined = with_vectors(turns, vectors, vector_size, broadcast_bytes)
+    Vectors of up to ``broadcast_bytes`` are sent to the tasks, and turns stay where they are. Larger ones are joined
+    by shuffle. No more rows than the limit allows are fetched to find out."""
+    most = broadcast_bytes // (8 * vector_size + 64)
+    vectors = vectors.select("word", "vector")
+    fetched = vectors.limit(most + 1).toArrow()
+    if fetched.num_rows <= most:
+        return _embed_in_place(turns, fetched, vector_size)
+    return _embed_by_join(turns, vectors, vector_size)
+
+
+def _embed_in_place(turns: DataFrame, vectors: pa.Table, vector_size: int) -> DataFrame:
+    matrix = np.asarray(vectors["vector"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, vector_size)
+    shared = turns.sparkSession.sparkContext.broadcast((vectors["word"].combine_chunks(), matrix))
+    schema = turns.select("conv_id", "turn").schema.add("n_tokens", "long").add("n_known", "long")
+    schema = schema.add("embedding", T.ArrayType(T.FloatType()))
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known_words, matrix = shared.value
+        for batch in batches:
+            tokens = batch["tokens"]
+            rows = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known_words), -1).to_numpy()
+            ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
+            means = np.zeros((len(tokens), matrix.shape[1]), dtype=np.float32)
+            n_known = np.zeros(len(tokens), dtype=np.int64)
+            for i, turn_rows in enumerate(np.split(rows, ends[:-1])):
+                found, n = np.unique(turn_rows[turn_rows >= 0], return_counts=True)
+                n_known[i] = n.sum()
+                if n_known[i]:
+                    means[i] = n @ matrix[found] / n_known[i]
+            embedding = pa.FixedSizeListArray.from_arrays(pa.array(means.ravel()), matrix.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["conv_id"],
+                    batch["turn"],
+                    pa.array(np.diff(ends, prepend=0).astype(np.int64)),
+                    pa.array(n_known),
+                    embedding.cast(pa.list_(pa.float32())),
+                ],
+                names=["conv_id", "turn", "n_tokens", "n_known", "embedding"],
+            )
+
+    tokens = words(F.coalesce("text", F.lit("")))
+    return turns.select("conv_id", "turn", tokens.alias("tokens")).mapInArrow(embed, schema)
+
+
+def _embed_by_join(turns: DataFrame, vectors: DataFrame, vector_size: int) -> DataFrame:
+    joined = with_words(turns).join(vectors.hint("shuffle_merge"), "word", "left")
     sums = [F.sum(F.get("vector", F.lit(i)) * F.col("n")).alias(f"s{i}") for i in range(vector_size)]
     mean = F.array(*[F.coalesce(F.try_divide(f"s{i}", "n_known"), F.lit(0.0)) for i in range(vector_size)])
     return (
         joined.groupBy("conv_id", "turn")
-        .agg(*_word_sums(), *sums)
+        .agg(*_word_sums("vector"), *sums)
         .select("conv_id", "turn", "n_tokens", "n_known", mean.cast("array<float>").alias("embedding"))
     )

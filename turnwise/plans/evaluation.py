@@ -71,6 +71,8 @@ def ask(
         so_far = done(tables.read_responses(spark, path))
         tried = F.col("attempt") >= attempt
         pending = responses.unresolved(sent, so_far, succeeded | tried)
+        if attempt > 1 and pending.isEmpty():
+            break
         tables.append_responses(inference.batch_infer(pending, make_model, attempt, concurrency), path)
     return tables.read_responses(spark, path)
 

@@ -16,6 +16,7 @@ from turnwise.functions.parsing import QA_PAIRS_TYPE
 from turnwise.operators import contexts, evaluation, requests, responses, splits, turns, vectors
 from turnwise.plans.evaluation import Models
 from turnwise.sources import conversations as sources
+from turnwise.sources.scratch import land, scratch_path
 
 ROLES = {"user": "human", "assistant": "gpt"}
 MIN_TURNS = 4  # conversations of the given tables have eight turns at most
@@ -122,7 +123,8 @@ def answer_responses(asked: DataFrame) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = answer_requests(spark, sf_dir).drop("messages", "kind")
+    """Answered questions, as a table that was written once: requests and replies both start from it."""
+    asked = land(answer_requests(spark, sf_dir).drop("messages", "kind"), scratch_path(spark, "asked"))
     return responses.resolve_answers(asked, answer_responses(asked))
 
 
@@ -181,7 +183,8 @@ def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").agg(F.count("*")).scalar()
     slot = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("bigint") % (rows * 2)
     words = vectors.vocabulary(sentences(spark, sf_dir)).select("word", slot.alias("vec_id"))
-    return words.join(table, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vector"))
+    found = words.join(table, "vec_id").select("word", F.col("embedding").cast("array<double>").alias("vector"))
+    return land(found, scratch_path(spark, "vectors"))
 
 
 def compressing(n: int) -> dict[str, Callable[[Column], Column]]:

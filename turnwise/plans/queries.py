@@ -264,7 +264,7 @@ def qa_by_strategy(spark, sf_dir):
 @query
 def token_vector_lookup(spark, sf_dir):
     words = inputs.word_vectors(spark, sf_dir)
-    return vectors.token_lookup(inputs.kept_turns(spark, sf_dir), words, inputs.EMBEDDING_SIZE)
+    return vectors.token_lookup(inputs.kept_turns(spark, sf_dir), words)
 
 
 @query
@@ -372,8 +372,8 @@ def sample_first_n(spark, sf_dir):
 
 @query
 def token_tail(spark, sf_dir):
-    tail = text.tail_tokens(F.col("text"), 32)
-    return inputs.kept_turns(spark, sf_dir).select("conv_id", "turn", tail.alias("tail"))
+    found = inputs.kept_turns(spark, sf_dir).withColumn("found", text.tokens(F.col("text")))
+    return found.select("conv_id", "turn", text.tail_tokens(F.col("text"), 32, F.col("found")).alias("tail"))
 
 
 @query
