@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder the session names in ``spark.checkpoint.dir``. Only a session that names none,
     as in a test, gets a local folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
         shared = tempfile.mkdtemp(prefix="turnwise-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        spark.sparkContext.setCheckpointDir(shared)
     return f"{shared.rstrip('/')}/turnwise/{name}-{uuid.uuid4().hex}"
 
 
