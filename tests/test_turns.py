@@ -72,6 +72,8 @@ def test_a_conversation_of_many_parts_is_nested_in_order(spark):
     got = {r.conv_id: r.turns for r in turns.nest_turns(mixed).collect()}
     assert [t.text for t in got[1]] == [str(i) for i in range(n)]
     assert [(t.turn, t.text) for t in got[2]] == [(3, "a"), (5, "b")]
+    assert turns.kept_turns(mixed, 3).count() == n and turns.kept_turns(mixed, 2).count() == n + 2
+    assert turns.kept_turns(mixed, n).count() == n and turns.kept_turns(mixed, n + 1).isEmpty()
     again = turns.flatten_turns(turns.nest_turns(mixed))
     assert again.exceptAll(mixed).isEmpty() and mixed.exceptAll(again).isEmpty()
 

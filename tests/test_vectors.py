@@ -26,7 +26,7 @@ def test_mean_of_known_words_in_place_and_by_join(spark, broadcast_bytes):
     assert [r.embedding for r in got] == [[0.5, 0.5], third, [1, 0], [0, 0], [0, 0], [0, 0], [0, 0], [0.5, 0.5]]
     assert [r.n_tokens for r in got] == [2, 3, 2, 1, 0, 0, 0, 3]
     assert [r.n_known for r in got] == [2, 3, 1, 0, 0, 0, 0, 2]
-    lookup = vectors.token_lookup(turns(spark), table(spark)).orderBy("turn").collect()
+    lookup = vectors.token_lookup(turns(spark), table(spark), broadcast_bytes // 100).orderBy("turn").collect()
     assert [(r.n_tokens, r.n_known) for r in lookup] == [(r.n_tokens, r.n_known) for r in got]
     norms = [r[0] for r in spark.createDataFrame(got).orderBy("turn").select(l2_norm(F.col("embedding"))).collect()]
     assert norms[0] == pytest.approx(0.5**0.5) and norms[3] == 0.0

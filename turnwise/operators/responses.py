@@ -35,11 +35,15 @@ def score_responses(responses: DataFrame) -> DataFrame:
 def first_success(
     attempts: DataFrame, succeeded: Column, value: Column, max_retries: int = fixed.MAX_RETRIES
 ) -> DataFrame:
-    """``(request_id, attempt, value)`` of the first successful attempt of each request that has one."""
+    """``(request_id, attempt, value)`` of the first successful attempt of each request that has one.
+
+    Attempts that do not count have no order instead of being filtered out: a filter would go in front of the parsing
+    and do it a second time."""
+    order = F.when((F.col("attempt") <= max_retries) & succeeded, F.col("attempt"))
     return (
-        attempts.filter((F.col("attempt") <= max_retries) & succeeded)
-        .groupBy("request_id")
-        .agg(F.min_by(F.struct("attempt", value.alias("value")), "attempt").alias("first"))
+        attempts.groupBy("request_id")
+        .agg(F.min_by(F.struct("attempt", value.alias("value")), order).alias("first"))
+        .filter(F.col("first").isNotNull())
         .select("request_id", "first.attempt", "first.value")
     )
 

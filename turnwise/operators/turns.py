@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import fixed
@@ -72,11 +72,25 @@ def kept_ids(turns: DataFrame, min_turns: int = fixed.MIN_TURNS) -> DataFrame:
     return turn_counts(turns).filter(F.col("n_turns") >= min_turns).select("conv_id")
 
 
+def _part_no() -> Column:
+    return F.floor(F.col("turn") / PART_TURNS).alias("part_no")
+
+
 def kept_turns(turns: DataFrame, min_turns: int = fixed.MIN_TURNS) -> DataFrame:
     """Valid turns of conversations that have ``min_turns`` of them, still one row per turn.
 
-    A semi-join against counts, so that adaptive execution can split a conversation with very many turns."""
-    return valid_turns(turns).join(kept_ids(turns, min_turns), "conv_id", "left_semi")
+    Turns meet their conversation's count by conversation and part of ``PART_TURNS`` turns, so that the turns of a very
+    long conversation spread over as many tasks as it has parts. Sums per conversation are taken over parts."""
+    valid = is_valid(F.col("role"), F.col("text"))
+    parts = turns.groupBy("conv_id", _part_no()).agg(F.count_if(valid).alias("n"))
+    enough = F.sum("n").over(Window.partitionBy("conv_id")) >= min_turns
+    kept = parts.withColumn("enough", enough).filter("enough").select("conv_id", "part_no")
+    return (
+        valid_turns(turns)
+        .withColumn("part_no", _part_no())
+        .join(kept, ["conv_id", "part_no"], "left_semi")
+        .drop("part_no")
+    )
 
 
 def discarded(turns: DataFrame, min_turns: int = fixed.MIN_TURNS) -> DataFrame:
@@ -100,7 +114,7 @@ def nest_turns(turns: DataFrame) -> DataFrame:
     head = turns.filter(F.col("turn") < PART_TURNS).select("conv_id", F.array(row).alias("part"))
     parts = (
         turns.filter(F.col("turn") >= PART_TURNS)
-        .groupBy("conv_id", F.floor(F.col("turn") / PART_TURNS).alias("part_no"))
+        .groupBy("conv_id", _part_no())
         .agg(F.sort_array(F.collect_list(row)).alias("part"))
         .select("conv_id", "part")
     )

@@ -18,6 +18,8 @@ from turnwise.functions.text import has_words, words
 
 # Word vectors up to this size are sent to the tasks; larger ones are joined by shuffle.
 BROADCAST_BYTES = 256 * 1024 * 1024
+# As many words alone, of a vocabulary, are broadcast.
+BROADCAST_WORDS = 2_000_000
 
 
 def sentences(turns: DataFrame) -> DataFrame:
@@ -85,20 +87,27 @@ def word_vectors(model: Word2VecModel) -> DataFrame:
     return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
-def with_words(turns: DataFrame) -> DataFrame:
-    """``(conv_id, turn, word, n)``: the words of each turn and how often it has them. A turn without words keeps one
-    row with a null word."""
-    occurrences = turns.select("conv_id", "turn", F.explode_outer(words(F.col("text"))).alias("word"))
-    return occurrences.groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
+def _occurrences(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, word)``, a row per word; a turn without words keeps one row with a null word."""
+    return turns.select("conv_id", "turn", F.explode_outer(words(F.col("text"))).alias("word"))
 
 
-def token_lookup(turns: DataFrame, vectors: DataFrame) -> DataFrame:
+def _counted(turns: DataFrame) -> DataFrame:
+    """``(conv_id, turn, word, n)``: occurrences counted per turn, for joins that shuffle them."""
+    return _occurrences(turns).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
+
+
+def token_lookup(turns: DataFrame, vectors: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
     """``(conv_id, turn, n_tokens, n_known)``: words of each turn, and those that have a vector.
 
-    Only the words of the vector table are joined. They are broadcast if the optimizer finds them small enough;
-    otherwise the join shuffles counts per turn, and adaptive execution splits the partitions of frequent words."""
+    Up to ``broadcast_words`` words are broadcast, and only two counts per turn are shuffled. Beyond, occurrences are
+    counted per turn and joined by shuffle; adaptive execution splits the partitions of frequent words."""
     known = vectors.select("word", F.lit(True).alias("known"))
-    return with_words(turns).join(known, "word", "left").groupBy("conv_id", "turn").agg(*_word_sums("known"))
+    if known.limit(broadcast_words + 1).count() <= broadcast_words:
+        joined = _occurrences(turns).withColumn("n", F.lit(1)).join(F.broadcast(known), "word", "left")
+    else:
+        joined = _counted(turns).join(known.hint("shuffle_merge"), "word", "left")
+    return joined.groupBy("conv_id", "turn").agg(*_word_sums("known"))
 
 
 def _word_sums(known: str) -> list[Column]:
@@ -160,7 +169,7 @@ def _embed_in_place(turns: DataFrame, vectors: pa.Table, vector_size: int) -> Da
 
 
 def _embed_by_join(turns: DataFrame, vectors: DataFrame, vector_size: int) -> DataFrame:
-    joined = with_words(turns).join(vectors.hint("shuffle_merge"), "word", "left")
+    joined = _counted(turns).join(vectors.hint("shuffle_merge"), "word", "left")
     sums = [F.sum(F.get("vector", F.lit(i)) * F.col("n")).alias(f"s{i}") for i in range(vector_size)]
     mean = F.array(*[F.coalesce(F.try_divide(f"s{i}", "n_known"), F.lit(0.0)) for i in range(vector_size)])
     return (
