@@ -10,7 +10,8 @@ SCORED = (
 
 def scored(spark):
     rows = []
-    for conv_id, qa_idx, oracle, compressed, tokens in [(1, 0, 8.0, 6.0, 224), (1, 1, 0.0, 5.0, 224), (2, 0, 3.0, 10.0, 0)]:
+    graded = [(1, 0, 8.0, 6.0, 224), (1, 1, 0.0, 5.0, 224), (2, 0, 3.0, 10.0, 0)]
+    for conv_id, qa_idx, oracle, compressed, tokens in graded:
         tail = 7 if tokens else 0
         rows += [
             (conv_id, qa_idx, "q", "a", "oracle", "o", oracle, tokens),

@@ -55,7 +55,8 @@ def test_json_lines_and_tables(spark, files, tmp_path):
 
 def test_splits_round_trip_overwrite_and_prune(spark, tmp_path):
     root = f"{tmp_path}/splits"
-    df = spark.createDataFrame([(1, "é", "train"), (2, "b", "val"), (3, "c", "test")], "conv_id int, t string, split string")
+    rows = [(1, "é", "train"), (2, "b", "val"), (3, "c", "test")]
+    df = spark.createDataFrame(rows, "conv_id int, t string, split string")
     split_tables.write_splits(df.withColumn("t", F.lit("old")), root)
     split_tables.write_splits(df, root)
     assert {tuple(r) for r in split_tables.read_splits(spark, root).collect()} == {tuple(r) for r in df.collect()}

@@ -97,7 +97,8 @@ def tail_contexts(
     # Every token that is kept lies in `truncation_tokens` turns at most, so this list is bounded.
     pieces = (
         recent.filter((left > 0) & (F.col("n_turns") >= min_turns))
-        .select("conv_id", "turn", cut.alias("cut"), left.alias("left"), rendered(F.col("role"), F.col("text")).alias("line"))
+        .withColumns({"cut": cut, "left": left, "line": rendered(F.col("role"), F.col("text"))})
+        .select("conv_id", "turn", "cut", "left", "line")
         .withColumn("found", F.when(F.col("cut"), tokens(F.col("line"))))
         .withColumn(
             "piece",

@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 from turnwise.functions import fixed
 from turnwise.functions.text import has_words, words
 
-# Word vectors up to this size are sent to the tasks; larger ones are joined by shuffle.
+# Word vectors up to this size are sent to the tasks, where each Python worker holds them once; larger ones are joined
+# by shuffle.
 BROADCAST_BYTES = 256 * 1024 * 1024
 # As many words alone, of a vocabulary, are broadcast.
 BROADCAST_WORDS = 2_000_000
@@ -125,7 +126,7 @@ def turn_embeddings(
 
     Vectors of up to ``broadcast_bytes`` are sent to the tasks, and turns stay where they are. Larger ones are joined
     by shuffle. No more rows than the limit allows are fetched to find out."""
-    most = broadcast_bytes // (8 * vector_size + 64)
+    most = broadcast_bytes // (4 * vector_size + 64)
     vectors = vectors.select("word", "vector")
     fetched = vectors.limit(most + 1).toArrow()
     if fetched.num_rows <= most:
@@ -134,7 +135,7 @@ def turn_embeddings(
 
 
 def _embed_in_place(turns: DataFrame, vectors: pa.Table, vector_size: int) -> DataFrame:
-    matrix = np.asarray(vectors["vector"].combine_chunks().flatten(), dtype=np.float64).reshape(-1, vector_size)
+    matrix = np.asarray(vectors["vector"].combine_chunks().flatten(), dtype=np.float32).reshape(-1, vector_size)
     shared = turns.sparkSession.sparkContext.broadcast((vectors["word"].combine_chunks(), matrix))
     schema = turns.select("conv_id", "turn").schema.add("n_tokens", "long").add("n_known", "long")
     schema = schema.add("embedding", T.ArrayType(T.FloatType()))

@@ -1,5 +1,5 @@
 """Nothing to schedule here: every step of an evaluation is a batch over stored tables.
 
-The row-wise steps (``valid_turns``, ``map_roles``, ``clean_turns``, ``contexts``, ``parse_qa``, ``score_responses``) keep
-no state and accept a streaming DataFrame as they are.
+The row-wise steps (``valid_turns``, ``map_roles``, ``clean_turns``, ``contexts``, ``parse_qa``, ``score_responses``)
+keep no state and accept a streaming DataFrame as they are.
 """
