@@ -1,8 +1,8 @@
 """Request tables for the models: QA generation, answering, judging.
 
-A request is ``(request_id, kind, conv_id, …, messages)`` with ``messages array<struct<role,content>>``. Ids are hashes
-of what identifies a request, so a rerun makes the same ones. Prompts are joined with ``concat``: a text may hold ``%`` or
-braces.
+A request is ``(request_id, kind, conv_id, …, messages)`` with ``messages array<struct<role,content>>``. Ids are
+hashes of what identifies a request, so a rerun makes the same ones. Prompts are joined with ``concat``: a text may
+hold ``%`` or braces.
 """
 
 from __future__ import annotations

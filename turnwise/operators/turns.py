@@ -108,8 +108,9 @@ def nest_turns(turns: DataFrame) -> DataFrame:
     """Flat turns to nested conversations, in turn order, with one shuffle of the texts.
 
     Turns beyond the first ``PART_TURNS`` of a conversation are put together in parts by separate tasks before they
-    meet, so the task that completes a very long conversation only strings parts together. The filter on ``turn``
-    reaches the scan, where it skips nearly all of a table of ordinary conversations."""
+    meet, so the task that completes a very long conversation only strings parts together. The two kinds of rows are
+    read apart, so give this a scan with filters, not the result of a join: the filter on ``turn`` reaches the scan,
+    where it skips nearly all of a table of ordinary conversations."""
     row = F.struct(F.col("turn").cast("bigint").alias("turn"), "role", "text")
     head = turns.filter(F.col("turn") < PART_TURNS).select("conv_id", F.array(row).alias("part"))
     parts = (
