@@ -72,8 +72,9 @@ def conversations(spark):
 def test_sample_takes_conversations_with_pairs_in_order(spark):
     nested = conversations(spark)
     assert {r.conv_id for r in questions.has_qa(nested).collect()} == {1, 4}
+    assert questions.sample_first(nested, 0).isEmpty()
     assert [r.conv_id for r in questions.sample_first(nested, 1).collect()] == [4]
-    assert [r.conv_id for r in questions.sample_first(nested, 9).collect()] == [4, 1]
+    assert {r.conv_id for r in questions.sample_first(nested, 9).collect()} == {4, 1}
 
 
 def test_incomplete_pairs_are_skipped_and_blank_ones_are_not(spark):

@@ -4,6 +4,8 @@ from hypothesis import strategies as st
 
 from turnwise.functions import fixed, text
 
+pytestmark = pytest.mark.usefixtures("spark")
+
 ALL_BUT_SURROGATES = [chr(i) for i in range(0x11000) if not 0xD800 <= i < 0xE000]
 
 
@@ -31,11 +33,6 @@ def test_tokens_strip_and_tail_agree_with_python(texts):
         assert capital == x.capitalize()
 
 
-test_tokens_strip_and_tail_agree_with_python = pytest.mark.usefixtures("spark")(
-    test_tokens_strip_and_tail_agree_with_python
-)
-
-
 def test_tail_keeps_a_short_text_as_it_is(column):
     assert column(["a b\n\nc", ""], lambda x: text.tail_tokens(x, 3)) == ["a b\n\nc", ""]
     assert column(["a b\n\nc", ""], lambda x: text.tail_tokens(x, 2)) == ["b c", ""]

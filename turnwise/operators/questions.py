@@ -20,8 +20,13 @@ def has_qa(conversations: DataFrame) -> DataFrame:
 
 
 def sample_first(conversations: DataFrame, n_samples: int = fixed.N_SAMPLES) -> DataFrame:
-    """The first ``n_samples`` conversations with pairs, in the seeded order."""
-    return has_qa(conversations).orderBy("shuffle_key", "conv_id").limit(n_samples)
+    """The first ``n_samples`` conversations with pairs, in the seeded order.
+
+    Only keys are sorted, to find the last one that is taken; the conversations are compared with it where they are."""
+    having = has_qa(conversations)
+    first = having.select("shuffle_key", "conv_id").orderBy("shuffle_key", "conv_id").limit(n_samples)
+    key = F.struct("shuffle_key", "conv_id")
+    return having.filter(key <= first.agg(F.max(key)).scalar())
 
 
 def explode_qa(conversations: DataFrame) -> DataFrame:
