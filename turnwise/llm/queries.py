@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontaminate, mixing, url_rules
+from turnwise.llm import decontaminate, mixing, separators, token_files, url_rules
 from turnwise.sources.scratch import land, scratch_path
 
+END = 2  # the id after each document of a token file
+SEPARATOR = 49407  # <|endoftext|> of the word vocabulary: no text yields it when special tokens are encoded as plain text
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 
 
@@ -20,6 +22,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, narrow=rows.drop("row")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), SEPARATOR).select("doc_id", "n_tokens")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_file(), END)
+    return token_files.read_documents(spark, path)
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -40,6 +58,8 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_mixing": op3_mixing,
+    "op6_token_counts": op6_token_counts,
+    "op7_token_files": op7_token_files,
     "op8_url_rules": op8_url_rules,
     "op9_decontaminate": op9_decontaminate,
 }
