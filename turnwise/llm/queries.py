@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontaminate, mixing, separators, token_files, url_rules
+from turnwise.llm import decontaminate, mixing, separators, substrings, token_files, url_rules
 from turnwise.sources.scratch import land, scratch_path
 
 END = 2  # the id after each document of a token file
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.find_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = land(mixing.measured(table(spark, sf_dir, "documents"), ["doc_id"]), scratch_path(spark, "op3"))
     return mixing.mix(rows, narrow=rows.drop("row")).select("row.doc_id", "size", "source_size", "target", "taken")
@@ -57,6 +62,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
@@ -65,6 +71,24 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_substrings": r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), windows AS (
+  SELECT r, i, array_to_string(w[i:i + 34], ' ') AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM doc WHERE len(w) >= 35)
+), repeated AS (
+  SELECT r, i FROM windows WHERE gram IN (SELECT gram FROM windows GROUP BY gram HAVING count(*) > 1)
+), gone AS (
+  SELECT r, p FROM (SELECT r, unnest(range(i, i + 35)) AS p FROM repeated) GROUP BY r, p
+), lists AS (
+  SELECT r, list(p) AS ps FROM gone GROUP BY r
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY p) AS text
+  FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM doc) t
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = t.r AND g.p = t.p) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc LEFT JOIN lists USING (r) LEFT JOIN kept USING (r)""",
     "op3_mixing": r"""
 WITH sized AS (
   SELECT doc_id, source, text,
