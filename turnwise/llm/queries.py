@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontaminate, mixing, separators, substrings, token_files, url_rules
+from turnwise.llm import decontaminate, mixing, ngram_join, separators, substrings, token_files, url_rules
 from turnwise.sources.scratch import land, scratch_path
 
 END = 2  # the id after each document of a token file
@@ -27,6 +27,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, narrow=rows.drop("row")).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.link_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "class_id", "n_links")
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -64,6 +69,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
+    "op4_ngram_join": op4_ngram_join,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_url_rules": op8_url_rules,

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1 << 14
 
 # Words end at the space and at U+0009..U+000D.
 SPACED = np.ones(256, bool)
@@ -140,12 +141,12 @@ def find_words(column: pa.Array, table: np.ndarray = SPACED, lower: bool = False
 
 
 def chunks(batch: pa.RecordBatch, text: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``size`` bytes of text each, one row at least; nothing for an empty batch."""
+    """Slices of a batch with about ``size`` bytes of text each, at least one row and at most ``CHUNK_ROWS``."""
     _, at = arrow_bytes(batch.column(text))
     begin, n = 0, batch.num_rows
     while begin < n:
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + size, "right")) - 1)
-        end = min(end, n)
+        end = min(end, begin + CHUNK_ROWS, n)
         yield batch.slice(begin, end - begin)
         begin = end
 
