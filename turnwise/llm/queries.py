@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontaminate, mixing, ngram_join, separators, substrings, token_files, url_rules
+from turnwise.llm import decontaminate, mixing, ngram_join, perplexity, separators, substrings, token_files, url_rules
 from turnwise.sources.scratch import land, scratch_path
 
 END = 2  # the id after each document of a token file
@@ -32,6 +32,13 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "class_id", "n_links")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = perplexity.judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper"
+    )
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -70,6 +77,7 @@ QUERIES = {
     "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
     "op4_ngram_join": op4_ngram_join,
+    "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_token_files": op7_token_files,
     "op8_url_rules": op8_url_rules,
