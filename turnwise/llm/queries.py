@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import decontaminate, mixing, ngram_join, perplexity, separators, substrings, token_files, url_rules
+from turnwise.llm import byte_cnn, decontaminate, mixing, ngram_join, perplexity, separators, substrings, token_files, toxicity, url_rules
+from turnwise.llm.labelled import fold
 from turnwise.sources.scratch import land, scratch_path
 
 END = 2  # the id after each document of a token file
@@ -17,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 0
+    index = toxicity.build_index(docs, table(spark, sf_dir, "labels"), ~held_out)
+    scored = toxicity.score_toxicity(docs, index, keep=["doc_id"]).select("row.doc_id", "score", "evidence")
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence"
+    )
+
+
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.find_repeats(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_removed", "kept_sha256")
@@ -73,7 +84,19 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_network(spark: SparkSession, sf_dir: str, docs: DataFrame) -> byte_cnn.Network:
+    return byte_cnn.train(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+
+
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = byte_cnn.score_quality(docs, quality_network(spark, sf_dir, docs), keep=["doc_id"]).select("row.doc_id", "score")
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
     "op3_mixing": op3_mixing,
     "op4_ngram_join": op4_ngram_join,
@@ -82,6 +105,7 @@ QUERIES = {
     "op7_token_files": op7_token_files,
     "op8_url_rules": op8_url_rules,
     "op9_decontaminate": op9_decontaminate,
+    "op10_byte_cnn": op10_byte_cnn,
 }
 
 ORACLE = {
