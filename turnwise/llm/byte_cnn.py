@@ -7,6 +7,7 @@ each chunk, and its maxima over all chunks make one probability.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +75,14 @@ class Network:
             np.zeros(1, np.float32),
         )
 
+    @classmethod
+    def constant(cls, share: float) -> Network:
+        """Gives every text the same score."""
+        network = cls.fresh(np.random.default_rng(0))
+        network.out[:] = 0
+        network.shift = float(np.log(share / (1 - share)))
+        return network
+
     def weights(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
@@ -204,20 +213,25 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 5, upd
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, updates: int = UPDATES) -> Network:
-    """Learns from at most ``sample`` labelled documents. With fewer than two labels, every score is the share of label 1."""
+    """Learns from at most ``sample`` labelled documents, in one task, where numpy keeps to the task's core. With fewer than two
+    labels, every score is the share of label 1."""
     texts, counts = labelled_texts(docs, labels, "quality", learn, sample)
-    # A bounded sample, of which the driver gets no more bytes a text than training has use for.
-    cut = F.col("text").cast("binary")
-    rows = texts.select("doc_id", "label", F.substring(cut, 1, 16 * SAMPLE_BYTES).alias("text")).collect()
-    rows.sort(key=lambda r: r.doc_id)
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
-    found = np.array([r.label for r in rows], np.float32)
-    if len(rows) < 2 or found.min() == found.max():
-        network = Network.fresh(np.random.default_rng(0))
-        network.out[:] = 0
-        network.shift = float(np.log(share / (1 - share)))
-        return network
-    return fit([bytes(r.text or b"") for r in rows], found, share, updates=updates)
+    if not counts.get(0) or not counts.get(1):
+        return Network.constant(share)
+    # No more bytes of a text than training has use for.
+    rows = texts.select("doc_id", "label", F.substring(F.col("text").cast("binary"), 1, 16 * SAMPLE_BYTES).alias("text"))
+
+    def run(batches):
+        held = sorted(((r["doc_id"], r["label"], r["text"] or b"") for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
+        found = np.array([r[1] for r in held], np.float32)
+        if len(held) and found.min() < found.max():
+            network = fit([r[2] for r in held], found, share, updates=updates)
+        else:  # the labels' documents are not all there
+            network = Network.constant(share)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network)], pa.binary())], ["network"])
+
+    return pickle.loads(rows.repartition(1).mapInArrow(run, "network binary").first().network)
 
 
 def score_quality(docs: DataFrame, network: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -115,6 +115,7 @@ def mix(rows: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2
             F.floor(F.greatest(F.lit(0), F.least(F.col("size"), F.col("fill") - F.col("ahead"))) / F.col("n")).cast("long").alias("part"),
         )
     )
+    crossing = land(crossing, scratch_path(spark, "mix-crossing"))
     q = quotas.withColumnRenamed("source", "q_source")
     return (
         rows.join(q, rows["source"].eqNullSafe(q["q_source"]), "left")

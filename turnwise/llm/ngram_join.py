@@ -242,7 +242,8 @@ def link_documents(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """``row`` (struct of a document's columns), ``class_id`` (least doc_id of all documents it is linked to, directly or
-    through others, itself included) and ``n_links`` (other documents whose similarity reaches the threshold, copies included).
+    through others, itself included), ``n_links`` (other documents whose similarity reaches the threshold, copies included) and
+    ``class_key`` (a key of the class, null without links; doc_ids may occur in several classes, keys do not).
 
     Words are separated by the space and U+0009..U+000D, unchanged. A text of fewer words than ``width`` has one shingle of all of
     them; null texts and texts without words have none and are linked to nothing: their class is their own doc_id. Null
@@ -347,7 +348,7 @@ def link_documents(
     classes = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
     # Only nodes with copies or links need a look-up; all other documents are their own class.
     told = rooted.join(classes, "root").join(degrees, "node", "left").where("copies > 1 or links is not null")
-    told = told.select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = told.select("node", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return (
         scanned.select("row", "doc_id", "node", "size")
         .join(told, (scanned["node"] == told["node"]) & (F.col("size") > 0), "left")
@@ -355,10 +356,37 @@ def link_documents(
             "row",
             F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.when(F.col("n_links") > 0, F.col("root")).alias("class_key"),
         )
     )
 
 
+def one_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with one row of each class: the least doc_id (null last), among rows of that id the least hash of all columns.
+
+    Rows to drop are found on hashes of rows; texts are moved once, to leave those rows out. Where several equal rows are a class's
+    first, one of them stays."""
+    spark = docs.sparkSession
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.select(
+        F.struct(*columns).alias("row"), F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(7), *columns).alias("h2")
+    )
+    narrow = hashed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"), "h1", "h2")
+    found = link_documents(narrow, keep=["doc_id", "h1", "h2"], **settings).where("n_links > 0").select("row.*", "class_key")
+    found = land(found, scratch_path(spark, "classes"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")
+    firsts = found.groupBy("class_key").agg(F.min(rank).alias("first"))
+    marked = found.join(firsts, "class_key").withColumn("is_first", rank == F.col("first"))
+    rows = land(marked.groupBy("h1", "h2").agg(F.max("is_first").alias("is_first"), F.count("*").alias("n")), scratch_path(spark, "rows"))
+    gone = rows.where("not is_first or n > 1").select("h1", "h2")
+    rest = hashed.join(gone.hint("shuffle_hash"), ["h1", "h2"], "left_anti").select("row.*")
+    again = rows.where("is_first and n > 1").select("h1", "h2")
+    if again.isEmpty():
+        return rest
+    single = hashed.join(again, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("row").alias("row"))
+    return rest.unionAll(single.select("row.*"))
+
+
 def _take(values: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     size = offsets[rows + 1] - offsets[rows]
     upto = np.concatenate(([0], np.cumsum(size)))

@@ -67,7 +67,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    rule = [F.struct(F.lit(host).alias("host"), F.lit(path).alias("path"), F.lit(verdict).alias("verdict")) for host, path, verdict in RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rule)))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, rules).select("row.page_id", "host", "path", "rule", "verdict")
 
