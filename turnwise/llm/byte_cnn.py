@@ -29,9 +29,9 @@ TILE = 64  # halves convolved at once
 
 
 def layout(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts in whole halves, at least ``WIDTH`` zero bytes after each, and the n + 1 offsets of their halves."""
+    """Texts in whole halves, filled up with zero bytes (one at least), and the n + 1 offsets of their halves."""
     size = np.diff(at)
-    halves = -(-(size + WIDTH) // HALF)
+    halves = size // HALF + 1
     upto = np.concatenate(([0], np.cumsum(halves)))
     flat = np.zeros(upto[-1] * HALF, np.uint8)
     flat[np.repeat(upto[:-1] * HALF - at[:-1], size) + np.arange(at[0], at[-1])] = data[at[0] : at[-1]]
@@ -49,6 +49,11 @@ def chunk_pairs(upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, np.where(last, first, first + 1), text
 
 
+def beyond(upto: np.ndarray, steps: int) -> np.ndarray:
+    """Positions from which ``steps`` further on is past the end of the text, where filters see zeros."""
+    return (upto[1:, None] * STEPS - 1 - np.arange(steps)).reshape(-1)
+
+
 @dataclass
 class Network:
     embed: np.ndarray  # byte by EMBED; the byte 0 also fills up
@@ -86,15 +91,21 @@ class Network:
     def weights(self) -> list[np.ndarray]:
         return [self.embed, self.filters, self.bias, self.hidden, self.hidden_bias, self.out, self.out_bias]
 
-    def convolve(self, flat: np.ndarray) -> np.ndarray:
-        """Filter values at every position; those at the very end see zeros."""
+    def pieces(self, flat: np.ndarray) -> np.ndarray:
+        """Embedded bytes, ``STRIDE`` of them a row; the last rows are zeros past the end."""
         padded = np.concatenate([flat, np.zeros(WIDTH - STRIDE, np.uint8)])
-        pieces = self.embed[padded].reshape(-1, STRIDE * EMBED)
-        n = len(flat) // STRIDE
-        span = STRIDE * EMBED
+        return self.embed[padded].reshape(-1, STRIDE * EMBED)
+
+    def convolve(self, pieces: np.ndarray, upto: np.ndarray) -> np.ndarray:
+        """Filter values at every position."""
+        n, span = len(pieces) - (WIDTH // STRIDE - 1), STRIDE * EMBED
+        zeros = np.tile(self.embed[0], STRIDE)
         out = pieces[:n] @ self.filters[:span]
         for j in range(1, WIDTH // STRIDE):
-            out += pieces[j : j + n] @ self.filters[j * span : (j + 1) * span]
+            weight = self.filters[j * span : (j + 1) * span]
+            more = pieces[j : j + n] @ weight
+            more[beyond(upto, j)] = zeros @ weight
+            out += more
         out += self.bias
         return np.maximum(out, 0, out=out)
 
@@ -107,17 +118,20 @@ class Network:
         out[0] += self.bias
         return out
 
-    def halves(self, flat: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    def halves(self, flat: np.ndarray, upto: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
         """Maxima and means of the filters for each half; filters see on into the next half, as a text goes on."""
         n = len(flat) // HALF
-        numbers = np.concatenate([flat, np.zeros(WIDTH - STRIDE, np.uint8)]).view(f"<u{STRIDE}")
+        numbers = [flat.view(f"<u{STRIDE}")]
+        for k in range(1, len(tables)):
+            numbers.append(np.concatenate([numbers[0][k:], np.zeros(k, numbers[0].dtype)]))
+            numbers[k][beyond(upto, k)] = 0
         out = np.empty((n, 2 * FILTERS), np.float32)
         for lo in range(0, n, TILE):
             hi = min(n, lo + TILE)
             i, j = lo * STEPS, hi * STEPS
-            values = np.take(tables[0], numbers[i:j], axis=0)
+            values = np.take(tables[0], numbers[0][i:j], axis=0)
             for k in range(1, len(tables)):
-                values += np.take(tables[k], numbers[i + k : j + k], axis=0)
+                values += np.take(tables[k], numbers[k][i:j], axis=0)
             np.maximum(values, 0, out=values)
             values = values.reshape(hi - lo, STEPS, FILTERS)
             out[lo:hi, :FILTERS] = values.max(axis=1)
@@ -127,7 +141,7 @@ class Network:
     def score(self, data: np.ndarray, at: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
         """Probability of label 1 for each text."""
         flat, upto = layout(data, at)
-        halves = self.halves(flat, tables or self.tables())
+        halves = self.halves(flat, upto, tables or self.tables())
         first, second, text = chunk_pairs(upto)
         features = np.concatenate(
             [np.maximum(halves[first, :FILTERS], halves[second, :FILTERS]), (halves[first, FILTERS:] + halves[second, FILTERS:]) / 2], axis=1
@@ -141,8 +155,8 @@ class Network:
         """Of the mean log loss of a batch."""
         n, span = len(flat) // STRIDE, STRIDE * EMBED
         padded = np.concatenate([flat, np.zeros(WIDTH - STRIDE, np.uint8)])
-        pieces = self.embed[padded].reshape(-1, span)
-        values = self.convolve(flat).reshape(-1, STEPS, FILTERS)
+        pieces = self.pieces(flat)
+        values = self.convolve(pieces, upto).reshape(-1, STEPS, FILTERS)
         top = values.argmax(axis=1)
         most, mean = np.take_along_axis(values, top[:, None], 1)[:, 0], values.mean(axis=1)
         first, second, text = chunk_pairs(upto)
@@ -172,15 +186,20 @@ class Network:
         d_values = np.repeat(d_mean[:, None] / STEPS, STEPS, axis=1).astype(np.float32)
         np.put_along_axis(d_values, top[:, None], np.take_along_axis(d_values, top[:, None], 1) + d_most[:, None], 1)
         d_values = (d_values * (values > 0)).reshape(n, FILTERS)
-        d_filters = np.concatenate([pieces[j : j + n].T @ d_values for j in range(WIDTH // STRIDE)])
-        d_pieces = np.zeros_like(pieces)
+        d_filters, d_pieces, d_embed = [], np.zeros_like(pieces), np.zeros_like(self.embed)
+        zeros = np.tile(self.embed[0], STRIDE)
         for j in range(WIDTH // STRIDE):
-            d_pieces[j : j + n] += d_values @ self.filters[j * span : (j + 1) * span].T
-        d_embed = np.zeros_like(self.embed)
+            weight, past = self.filters[j * span : (j + 1) * span], beyond(upto, j)
+            d_past = d_values[past]
+            inside = d_values.copy()
+            inside[past] = 0
+            d_filters.append(pieces[j : j + n].T @ inside + np.outer(zeros, d_past.sum(axis=0)))
+            d_pieces[j : j + n] += inside @ weight.T
+            d_embed[0] += (d_past @ weight.T).reshape(-1, EMBED).sum(axis=0)
         d_bytes = d_pieces.reshape(-1, EMBED)
         for e in range(EMBED):
-            d_embed[:, e] = np.bincount(padded, weights=d_bytes[:, e], minlength=256)
-        return [d_embed, d_filters, d_values.sum(axis=0), features.T @ d_hidden, d_hidden.sum(axis=0), pooled.T @ d_logit, d_logit.sum(keepdims=True)]
+            d_embed[:, e] += np.bincount(padded, weights=d_bytes[:, e], minlength=256)
+        return [d_embed, np.concatenate(d_filters), d_values.sum(axis=0), features.T @ d_hidden, d_hidden.sum(axis=0), pooled.T @ d_logit, d_logit.sum(keepdims=True)]
 
 
 def fit(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 5, updates: int = UPDATES) -> Network:

@@ -69,7 +69,7 @@ def targets(sizes: DataFrame, share: float, weights: Sequence[float], most: floa
     return table.select(
         "source",
         "source_size",
-        F.when(F.col("at_limit"), F.col("limit")).otherwise(F.col("rest") * F.col("weight") / F.col("rest_weight")).alias("target"),
+        F.when(F.col("at_limit"), F.col("limit")).otherwise(F.try_divide(F.col("rest") * F.col("weight"), F.col("rest_weight"))).alias("target"),
     )
 
 

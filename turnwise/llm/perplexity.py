@@ -158,10 +158,10 @@ def gram_counts(docs: DataFrame, text: str, language: Column) -> DataFrame:
 def _discounts(grams: DataFrame) -> DataFrame:
     """Kneser-Ney discounts of a language, for counts of 1, 2 and 3 or more."""
     seen = grams.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)])
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
 
     def discount(i, usual):
-        value = i - (i + 1) * y * F.col(f"n{i + 1}") / F.nullif(F.col(f"n{i}"), F.lit(0.0))
+        value = i - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))
         return F.when((value > 0) & (value < i), value).otherwise(usual).alias(f"d{i}")
 
     return seen.select("lang", discount(1, 0.5), discount(2, 1.0), discount(3, 1.5))
@@ -346,7 +346,7 @@ def judge_quality(
     quartiles = said.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.5, 0.75], 10000).alias("q"))
     off = F.abs(F.col("surprise") - F.col("q")[1]) * F.sqrt("steps")
     errors_of = said.join(quartiles, "lang").groupBy("lang").agg((F.percentile_approx(off, 0.5, 10000) / 0.6745).alias("error"))
-    slack = errors * F.col("error") / F.sqrt("steps")
+    slack = F.try_divide(errors * F.col("error"), F.sqrt("steps"))
     lower = F.exp(F.col("q")[1] - spread * (F.col("q")[1] - F.col("q")[0]) - slack)
     upper = F.exp(F.col("q")[1] + spread * (F.col("q")[2] - F.col("q")[1]) + slack)
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED * F.col("n_words"))
