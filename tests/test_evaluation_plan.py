@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.plans.evaluation import Models, evaluate, run
+from turnwise.plans.evaluation import Models, evaluate, generate_qa, prepare, run
 from turnwise.settings import Settings
 from turnwise.sources.conversations import land_conversations, read_raw
 
@@ -48,7 +48,7 @@ def test_whole_evaluation(spark, tmp_path):
     source, root, calls = tmp_path / "talks.json", str(tmp_path / "run"), tmp_path / "calls"
     source.write_text(json.dumps(talks()))
     calls.mkdir()
-    small = {"vector_size": 4, "epochs": 1, "min_count": 1}
+    small = {"vector_size": 4, "epochs": 1, "min_count": 1, "min_turns": 4}
     settings = Settings(train_ratio=0.2, val_ratio=0.5, truncation_tokens=9, n_samples=7, **small)
     landed = land_conversations(read_raw(spark, [str(source)]), f"{root}/conversations", 4)
     summary = run(landed, root, models(calls), "r", settings).collect()
@@ -88,6 +88,50 @@ def test_whole_evaluation(spark, tmp_path):
     assert sorted(map(tuple, again)) == sorted(map(tuple, results)) and count()["answer"] == 21
 
 
+def test_another_corpus_under_the_same_root_gets_its_own_replies(spark, tmp_path):
+    def echo():
+        import json
+
+        def call(messages):
+            last = messages[-1]["content"].rsplit("\n", 1)[-1]
+            return json.dumps({"qa_pairs": [{"question": "last?", "answer": last}]})
+
+        return call
+
+    root = str(tmp_path / "root")
+    settings = Settings(train_ratio=0.0, val_ratio=1.0, min_turns=1)
+    for name in ("a", "b"):
+        path = tmp_path / f"{name}.json"
+        rows = [{"id": str(i), "conversations": [{"from": "human", "value": f"{name}{i}"}]} for i in range(12)]
+        path.write_text(json.dumps(rows))
+        landed = land_conversations(read_raw(spark, [str(path)]), f"{root}/conversations-{name}", 1)
+        prepare(landed, root, settings)
+        generate_qa(spark, root, Models(echo, echo, echo), settings, "val")
+        pairs = spark.read.parquet(f"{root}/qa").select("turns", "qa_pairs").collect()
+        assert len(pairs) == 12
+        assert all(r.qa_pairs[0].answer == f"Human: {r.turns[0].text}" for r in pairs)
+
+
+def test_a_strategy_of_the_user_s_from_run_to_summary(spark, tmp_path):
+    from turnwise.operators.contexts import default_strategies
+
+    source, calls = tmp_path / "talks.json", tmp_path / "calls"
+    source.write_text(json.dumps(talks()))
+    calls.mkdir()
+    settings = Settings(train_ratio=0.2, val_ratio=0.5, truncation_tokens=9, vector_size=4, epochs=1, min_count=1, min_turns=4)
+    chosen = default_strategies(9) | {"mine": default_strategies(3)["baseline"]}
+    landed = land_conversations(read_raw(spark, [str(source)]), f"{tmp_path}/run/conversations", 1)
+    for _ in range(2):  # a rerun replaces the metrics
+        summary = run(landed, str(tmp_path / "run"), models(calls), "r", settings, strategies=chosen).collect()
+    assert [r.method for r in summary] == ["baseline", "compressed", "mine", "oracle"]
+    by = {r.method: r for r in summary}
+    assert by["mine"].n_samples == by["oracle"].n_samples > 0
+    assert 0 < by["mine"].avg_compression_ratio < by["baseline"].avg_compression_ratio
+    assert spark.read.parquet(f"{tmp_path}/run/metrics").count() == 16
+    sizes = {r.metric: r.value for r in spark.read.parquet(f"{tmp_path}/run/metrics").collect()}
+    assert sum(sizes[f"data/{s}_size"] for s in ("train", "val", "test")) == sum(1 + i % 9 >= 4 for i in range(N))
+
+
 def test_without_qa_pairs_there_are_no_results(spark, tmp_path):
     rows = evaluate(spark, str(tmp_path), models(tmp_path), Settings(), "r")
     assert rows.isEmpty() and "oracle_score" in rows.columns

@@ -30,7 +30,7 @@ def test_qa_attempts_are_repeated_after_failed_calls_and_unreadable_replies(spar
         ("late", 4, "ok", GOOD),
     ]
     sent = asked(spark, "first", "call", "parse", "empty", "null", "late", "none")
-    got = responses.resolve_qa(sent, spark.createDataFrame(rows, RESPONSE)).collect()
+    got = responses.resolve_qa(sent, spark.createDataFrame([(*r, None) for r in rows], RESPONSE)).collect()
     n = {r.request_id: None if r.qa_pairs is None else len(r.qa_pairs) for r in got}
     assert n == {"first": 1, "call": 1, "parse": 1, "empty": 0, "null": None, "late": 0, "none": 0}
 
@@ -50,7 +50,7 @@ def test_judge_attempts_are_repeated_after_failed_calls_only(spark):
         ("low", 1, "ok", '{"score": -4}'),
     ]
     sent = asked(spark, "first", "call", "parse", "late", "low", "none")
-    got = responses.resolve_scores(sent, spark.createDataFrame(rows, RESPONSE)).collect()
+    got = responses.resolve_scores(sent, spark.createDataFrame([(*r, None) for r in rows], RESPONSE)).collect()
     scores = {r.request_id: r.score for r in got}
     assert scores == {"first": 7.0, "call": 0.0, "parse": 0.0, "late": 0.0, "low": 0.0, "none": 0.0}
 
@@ -101,12 +101,14 @@ def test_a_rerun_sends_only_what_has_no_success(spark, tmp_path):
         import os
         import uuid
 
+        from turnwise.operators.inference import ModelError
+
         def reply(messages):
             name = messages[0]["content"]
             tries = sum(f.startswith(name) for f in os.listdir(folder))
             open(f"{folder}/{name}-{uuid.uuid4().hex}", "w").close()
             if name == "broken":
-                raise RuntimeError("no reply")
+                raise ModelError("no reply")
             return "nothing" if name == "slow" and tries == 0 else GOOD
 
         return reply
@@ -125,7 +127,36 @@ def test_a_rerun_sends_only_what_has_no_success(spark, tmp_path):
         assert count() == {"broken": 3, "slow": 2, "good": 1}
     pairs = {r.request_id: len(r.qa_pairs) for r in responses.resolve_qa(names, got).collect()}
     assert pairs == {"broken": 0, "slow": 1, "good": 1}
-    assert tables.read_responses(spark, path).filter("status = 'api_error'").count() == 3
+    failed = tables.read_responses(spark, path).filter("status = 'api_error'").collect()
+    assert [r.error for r in failed] == ["no reply"] * 3
+
+
+def test_a_programming_error_of_a_model_ends_the_run_and_keeps_earlier_chunks(spark, tmp_path):
+    def make_model():
+        def reply(messages):
+            return {"good": "fine"}[messages[0]["content"]]
+
+        return reply
+
+    names = [f"r{i}" for i in range(40)]
+    rows = spark.createDataFrame([(n, "good" if n != "r7" else "bad") for n in names], "request_id string, content string")
+    sent = rows.select("request_id", F.array(F.struct(F.lit("user").alias("role"), "content")).alias("messages"))
+    path = f"{tmp_path}/responses"
+    with pytest.raises(Exception, match="KeyError"):
+        ask(sent, path, make_model, lambda df: df, F.col("status") == "ok", 1, None, chunks=8)
+    kept = {r.request_id for r in tables.read_responses(spark, path).collect()}
+    assert "r7" not in kept and len(kept) < 40
+    chunk = sent.select("request_id", F.pmod(F.xxhash64("request_id"), F.lit(8)).alias("c")).collect()
+    failed = next(r.c for r in chunk if r.request_id == "r7")
+    assert kept == {r.request_id for r in chunk if r.c < failed}
+
+
+def test_pending_ids_are_found_without_messages(spark):
+    sent = spark.createDataFrame([("a", "x")], "request_id string, messages string")
+    got = spark.createDataFrame([("a", 1, "ok", "x", None)], RESPONSE)
+    plan = responses.unresolved(sent, got, F.col("status") == "ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("messages") == 1 and "Project [request_id" in plan  # read, and left behind at once
+    assert responses.unresolved(sent, got, F.col("status") == "ok").columns == ["request_id"]
 
 
 def test_responses_that_are_not_there_yet_are_none(spark, tmp_path):
@@ -134,5 +165,12 @@ def test_responses_that_are_not_there_yet_are_none(spark, tmp_path):
 
 @pytest.mark.parametrize("kind", ["qa", "judge"])
 def test_request_ids_differ_by_kind(spark, kind):
-    one = spark.range(1).select(requests.request_id(kind, F.col("id")), requests.request_id("answer", F.col("id")))
-    assert one.first()[0] != one.first()[1]
+    said = requests.messages(F.lit("s"), F.lit("u"))
+    other = requests.messages(F.lit("s"), F.lit("v"))
+    one = spark.range(1).select(
+        requests.request_id(kind, F.col("id"), said=said),
+        requests.request_id("answer", F.col("id"), said=said),
+        requests.request_id(kind, F.col("id"), said=other),
+        requests.request_id(kind, F.col("id"), said=said, model="other"),
+    )
+    assert len(set(one.first())) == 4

@@ -78,7 +78,8 @@ def test_missing_splits_are_skipped_unless_all_are(spark, tmp_path, caplog):
     with caplog.at_level(logging.WARNING):
         assert split_tables.read_splits(spark, root).count() == 2
     assert "split=val" in caplog.text
-    assert split_tables.read_eval_dataset(spark, f"{root}/split=val") is None
+    nothing = split_tables.read_eval_dataset(spark, f"{root}/split=val")
+    assert nothing.isEmpty() and "qa_pairs" in nothing.columns
 
 
 def test_runs_replace_themselves_only(spark, tmp_path):
@@ -90,18 +91,44 @@ def test_runs_replace_themselves_only(spark, tmp_path):
     assert tables.read_run(spark, path, "b").count() == 5
 
 
-def test_metrics_are_appended(spark, tmp_path):
-    rows = spark.createDataFrame([("m", 1.0)], "metric string, value double")
-    for run_id in ("a", "b"):
-        tables.append_metrics(rows, f"{tmp_path}/metrics", run_id)
-    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/metrics").collect()} == {("a", "m", 1.0), ("b", "m", 1.0)}
+def test_metrics_of_a_run_and_stage_replace_themselves(spark, tmp_path):
+    path = f"{tmp_path}/metrics"
+    for run_id, name, value in (("a", "s/m", 1.0), ("b", "s/m", 2.0), ("a", "t/m", 3.0), ("a", "s/m", 4.0)):
+        tables.write_metrics(spark.createDataFrame([(name, value)], "metric string, value double"), path, run_id)
+    got = [tuple(r) for r in spark.read.parquet(path).select("run_id", "metric", "value").collect()]
+    assert sorted(got) == [("a", "s/m", 4.0), ("a", "t/m", 3.0), ("b", "s/m", 2.0)]
+
+
+def test_conversations_have_the_same_ids_however_they_are_read(spark, tmp_path):
+    """Repeated conversations too; with other files and partitions."""
+    rows = [{"id": "same", "conversations": [{"from": "human", "value": f"text {i % 30}"}]} for i in range(200)]
+    path = tmp_path / "talks.json"
+    path.write_text("\n".join(map(json.dumps, rows)))
+    once = spark.read.schema(sources.RAW_SCHEMA).json(str(path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    ids = sorted(r.conv_id for r in sources.nested(once).collect())
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        again = sorted(r.conv_id for r in sources.nested(spark.read.schema(sources.RAW_SCHEMA).json(str(path))).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert ids == again and len(set(ids)) == 200
+
+
+def test_a_split_of_a_table_without_splits_is_an_error(spark):
+    spark.range(1).createOrReplaceTempView("no_splits")
+    assert sources.read_source(spark, table="no_splits").count() == 1
+    with pytest.raises(ValueError, match="no column"):
+        sources.read_source(spark, table="no_splits", split="train")
 
 
 class Session:
     """What ``scratch_path`` asks of a session."""
 
-    def __init__(self, configured, folder=None):
-        self.configured, self.folder = configured, folder
+    def __init__(self, configured, folder=None, master="local[2]"):
+        self.configured, self.folder, self.master = configured, folder, master
         self.conf = self.sparkContext = self
 
     def get(self, name, default):
@@ -123,3 +150,5 @@ def test_scratch_is_in_the_folder_the_session_names():
     unset = Session(None)
     path = scratch.scratch_path(unset, "x")
     assert unset.folder and path.startswith(unset.folder)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.scratch_path(Session(None, master="spark://host:7077"), "x")

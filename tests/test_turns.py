@@ -78,6 +78,30 @@ def test_a_conversation_of_many_parts_is_nested_in_order(spark):
     assert again.exceptAll(mixed).isEmpty() and mixed.exceptAll(again).isEmpty()
 
 
+def test_turns_without_a_number_and_with_equal_ones_are_kept_alike(spark):
+    rows = [(1, None, "human", "x"), (1, None, "gpt", "y"), (1, 3, "human", "b"), (1, 3, "gpt", "a"), (1, 5000, "gpt", "z")]
+    flat = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert turns.filter_counts(flat, 5).first().kept == 1
+    assert turns.kept_turns(flat, 5).count() == 5
+    nested = turns.nest_turns(flat).first().turns
+    assert [(t.turn, t.text) for t in nested] == [(None, "y"), (None, "x"), (3, "a"), (3, "b"), (5000, "z")]
+    placed = turns.with_position(flat).orderBy("position").collect()
+    assert [(r.position, r.text) for r in placed] == [(i, t.text) for i, t in enumerate(nested)]
+    for n in range(1, 12):
+        tail = contexts.tail_contexts(flat, n).first().context
+        strategies = contexts.default_strategies(n)
+        whole = contexts.contexts(turns.nest_turns(flat), strategies).filter("strategy = 'baseline'").first().context
+        assert tail == whole, n
+
+
+def test_positions_are_numbered_without_a_whole_conversation(spark, tmp_path):
+    n = turns.PART_TURNS + 5
+    spark.range(n).selectExpr("1L AS conv_id", "id * 3 AS turn", "'gpt' AS role", "'t' AS text").write.parquet(f"{tmp_path}/t")
+    placed = turns.with_position(spark.read.parquet(f"{tmp_path}/t"))
+    assert [(r.turn, r.position) for r in placed.orderBy("turn").collect()] == [(3 * i, i) for i in range(n)]
+    assert "collect_list" not in placed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_row_wise_steps_run_on_a_stream(spark, flat, tmp_path):
     flat.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")

@@ -26,7 +26,7 @@ def test_mean_of_known_words_in_place_and_by_join(spark, broadcast_bytes):
     assert [r.embedding for r in got] == [[0.5, 0.5], third, [1, 0], [0, 0], [0, 0], [0, 0], [0, 0], [0.5, 0.5]]
     assert [r.n_tokens for r in got] == [2, 3, 2, 1, 0, 0, 0, 3]
     assert [r.n_known for r in got] == [2, 3, 1, 0, 0, 0, 0, 2]
-    lookup = vectors.token_lookup(turns(spark), table(spark), broadcast_bytes // 100).orderBy("turn").collect()
+    lookup = vectors.token_lookup(turns(spark), table(spark), broadcast_bytes).orderBy("turn").collect()
     assert [(r.n_tokens, r.n_known) for r in lookup] == [(r.n_tokens, r.n_known) for r in got]
     norms = [r[0] for r in spark.createDataFrame(got).orderBy("turn").select(l2_norm(F.col("embedding"))).collect()]
     assert norms[0] == pytest.approx(0.5**0.5) and norms[3] == 0.0
@@ -41,6 +41,38 @@ def test_both_ways_agree_on_real_turns(spark):
         assert a.embedding == pytest.approx(b.embedding, abs=1e-6)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [vectors.BROADCAST_BYTES, 0])
+def test_ambiguous_vectors_are_an_error_at_any_size(spark, broadcast_bytes):
+    twice = table(spark).unionAll(table(spark).limit(1))
+    with pytest.raises(ValueError, match="2 vectors"):
+        vectors.turn_embeddings(turns(spark), twice, 2, broadcast_bytes)
+    with pytest.raises(ValueError, match="do not have 3"):
+        vectors.turn_embeddings(turns(spark), table(spark), 3, broadcast_bytes)
+    counts = vectors.token_lookup(turns(spark), twice, broadcast_bytes).orderBy("turn").collect()
+    assert [(r.n_tokens, r.n_known) for r in counts][:3] == [(2, 2), (3, 3), (2, 1)]
+
+
+def test_training_refuses_a_vocabulary_that_does_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "MODEL_BYTES", 10)
+    with pytest.raises(ValueError, match="min_count"):
+        vectors.train_word2vec(vectors.sentences(turns(spark)), min_count=1)
+
+
+def test_similar_words_are_near(spark):
+    """Two kinds of sentences: words of one kind are nearer to each other than to those of the other."""
+    import numpy as np
+
+    rows = [(i, "red green blue yellow" if i % 2 else "cat dog cow horse") for i in range(400)]
+    df = spark.createDataFrame(rows, "i int, text string").select(F.split("text", " ").alias("tokens"))
+    model = vectors.train_word2vec(df, vector_size=12, epochs=10)
+    got = {r.word: np.array(r.vector) for r in vectors.word_vectors(model).collect()}
+
+    def near(a, b):
+        return got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
+
+    assert min(near("red", "blue"), near("cat", "cow")) > max(near("red", "cow"), near("cat", "blue"))
+
+
 def test_no_vectors_at_all(spark):
     none = table(spark).limit(0)
     for broadcast_bytes in (1 << 20, 0):

@@ -48,4 +48,3 @@ VECTOR_SIZE = 200
 WINDOW = 5
 MIN_COUNT = 3
 EPOCHS = 10
-TRAIN_PARTITIONS = 4

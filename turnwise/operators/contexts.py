@@ -80,7 +80,9 @@ def tail_contexts(
     all others before the shuffle: no task holds a whole conversation, however long it is."""
     if truncation_tokens < 1:
         raise ValueError(f"a tail needs at least one token, got {truncation_tokens}")
-    latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    # The reverse of the order turns have in a nested conversation, with roles and texts between equal numbers.
+    latest = Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    upto = latest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("conv_id")
     keep = max(truncation_tokens + 1, min_turns)
     recent = (
@@ -88,7 +90,7 @@ def tail_contexts(
         .withColumn("nth", F.row_number().over(latest))
         .filter(F.col("nth") <= keep)
         .withColumn("n", rendered_tokens(F.col("role"), F.col("text")))
-        .withColumn("upto", F.sum("n").over(latest))
+        .withColumn("upto", F.sum("n").over(upto))
         .withColumn("all", F.sum("n").over(whole))
         .withColumn("n_turns", F.max("nth").over(whole))
     )
@@ -98,14 +100,14 @@ def tail_contexts(
     pieces = (
         recent.filter((left > 0) & (F.col("n_turns") >= min_turns))
         .withColumns({"cut": cut, "left": left, "line": rendered(F.col("role"), F.col("text"))})
-        .select("conv_id", "turn", "cut", "left", "line")
+        .select("conv_id", "nth", "cut", "left", "line")
         .withColumn("found", F.when(F.col("cut"), tokens(F.col("line"))))
         .withColumn(
             "piece",
             F.when(F.col("cut"), last_tokens(F.col("found"), F.col("left").cast("int"))).otherwise(F.col("line")),
         )
         .groupBy("conv_id")
-        .agg(F.sort_array(F.collect_list(F.struct("turn", "piece"))).alias("pieces"), F.first("cut").alias("cut"))
+        .agg(F.sort_array(F.collect_list(F.struct(-F.col("nth"), "piece"))).alias("pieces"), F.first("cut").alias("cut"))
     )
     texts = F.col("pieces.piece")
     return pieces.select(

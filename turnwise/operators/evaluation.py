@@ -2,37 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from turnwise.functions import fixed
 from turnwise.functions.numbers import round_half_even
 from turnwise.operators.contexts import ratio
 
-RESULT_SCHEMA = (
-    "conversation_id string, qa_idx int, question string, ground_truth string, "
-    "oracle_score double, baseline_score double, compressed_score double, "
-    "recovery_rate double, compression_ratio double, "
-    "oracle_answer string, baseline_answer string, compressed_answer string, "
-    "oracle_tokens int, baseline_tokens int"
-)
+_FIXED_COLUMNS = "conversation_id string, qa_idx int, question string, ground_truth string"
+
+
+def result_schema(strategies: Sequence[str] = fixed.STRATEGIES) -> str:
+    """The columns of a stored result, in order, as DDL."""
+    return ", ".join(
+        [
+            _FIXED_COLUMNS,
+            *[f"`{s}_score` double" for s in strategies],
+            "recovery_rate double, compression_ratio double",
+            *[f"`{s}_answer` string" for s in strategies],
+            *[f"`{s}_tokens` int" for s in strategies],
+        ]
+    )
+
+
+RESULT_SCHEMA = result_schema()
 
 
 def with_derived(results: DataFrame) -> DataFrame:
-    """Add ``recovery_rate`` and ``compression_ratio``, rounded to four decimals; 0.0 where the divisor is."""
-    recovery = ratio(F.col("compressed_score"), F.col("oracle_score"))
-    compression = ratio(F.col("baseline_tokens"), F.col("oracle_tokens"))
+    """Add ``recovery_rate`` and ``compression_ratio``, rounded to four decimals; 0.0 where the divisor is, and null
+    where the strategies they compare are not there."""
+
+    def rate(part: str, whole: str) -> Column:
+        if part not in results.columns or whole not in results.columns:
+            return F.lit(None).cast("double")
+        return round_half_even(ratio(F.col(part), F.col(whole)), fixed.RATIO_DECIMALS)
+
     return results.withColumns(
         {
-            "recovery_rate": round_half_even(recovery, fixed.RATIO_DECIMALS),
-            "compression_ratio": round_half_even(compression, fixed.RATIO_DECIMALS),
+            "recovery_rate": rate("compressed_score", "oracle_score"),
+            "compression_ratio": rate("baseline_tokens", "oracle_tokens"),
         }
     )
 
 
-def eval_wide(scored: DataFrame) -> DataFrame:
+def eval_wide(scored: DataFrame, strategies: Sequence[str] = fixed.STRATEGIES) -> DataFrame:
     """One row per question from one row per question and strategy ``(conv_id, qa_idx, question, ground_truth,
-    strategy, answer, score, n_tokens)``."""
+    strategy, answer, score, n_tokens)``, for the strategies named, whatever they are."""
 
     def of(strategy: str, column: str) -> Column:
         return F.first(F.when(F.col("strategy") == strategy, F.col(column)), ignorenulls=True)
@@ -40,44 +58,51 @@ def eval_wide(scored: DataFrame) -> DataFrame:
     carried = [c for c in ("conversation_id", "question", "ground_truth") if c in scored.columns]
     wide = scored.groupBy("conv_id", "qa_idx").agg(
         *[F.first(c).alias(c) for c in carried],
-        *[of(s, "score").alias(f"{s}_score") for s in fixed.STRATEGIES],
-        *[of(s, "answer").alias(f"{s}_answer") for s in fixed.STRATEGIES],
-        *[of(s, "n_tokens").alias(f"{s}_tokens") for s in ("oracle", "baseline")],
+        *[of(s, column).alias(f"{s}_{name}") for name, column in _PIVOTED for s in strategies],
     )
     return with_derived(wide)
 
 
-def result_rows(wide: DataFrame) -> DataFrame:
+_PIVOTED = (("score", "score"), ("answer", "answer"), ("tokens", "n_tokens"))
+
+
+def result_rows(wide: DataFrame, strategies: Sequence[str] = fixed.STRATEGIES) -> DataFrame:
     """The columns of a stored result, in order. Without another identity ``conv_id`` is the conversation's."""
     identity = "conversation_id" if "conversation_id" in wide.columns else "conv_id"
-    fields = [f.strip().split(" ") for f in RESULT_SCHEMA.split(",")]
-    return wide.withColumn("conversation_id", F.col(identity)).select(
-        *[F.col(name).cast(kind).alias(name) for name, kind in fields]
+    fields = StructType.fromDDL(result_schema(strategies))
+    return wide.withColumn("conversation_id", F.col(identity).cast("string")).select(
+        *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields]
     )
 
 
-def method_summary(results: DataFrame) -> DataFrame:
+def method_summary(results: DataFrame, strategies: Sequence[str] = fixed.STRATEGIES) -> DataFrame:
     """``(method, avg_qa_score, avg_compression_ratio, n_samples)``, sorted by method; averages over questions.
 
-    One pass over the results: all averages are taken side by side and then turned into rows, so that no results
-    still make three rows of zeros."""
+    ``baseline`` and ``compressed`` are reported with the tail's ratio, any strategy of the user's with the share of the
+    oracle's tokens that it keeps itself. One pass over the results: all averages are taken side by side and then turned
+    into rows, so that no results still make a row of zeros for each strategy."""
+
+    def kept(strategy: str) -> Column:
+        if strategy == "oracle":
+            return F.avg(F.when(F.col("oracle_score").isNotNull(), F.lit(1.0)))
+        if strategy in fixed.STRATEGIES or "oracle_tokens" not in results.columns:
+            return F.avg("compression_ratio")
+        return F.avg(round_half_even(ratio(F.col(f"`{strategy}_tokens`"), F.col("oracle_tokens")), fixed.RATIO_DECIMALS))
+
     sums = results.agg(
-        *[F.avg(f"{s}_score").alias(f"{s}_avg") for s in fixed.STRATEGIES],
-        *[F.count(f"{s}_score").alias(f"{s}_n") for s in fixed.STRATEGIES],
-        F.avg("compression_ratio").alias("ratio_avg"),
+        *[F.avg(f"`{s}_score`").alias(f"avg_{i}") for i, s in enumerate(strategies)],
+        *[F.count(f"`{s}_score`").alias(f"n_{i}") for i, s in enumerate(strategies)],
+        *[kept(s).alias(f"ratio_{i}") for i, s in enumerate(strategies)],
     )
-    oracle_ratio = F.when(F.col("oracle_n") > 0, F.lit(1.0))
     rows = F.array(
         *[
             F.struct(
                 F.lit(s).alias("method"),
-                F.coalesce(f"{s}_avg", F.lit(0.0)).alias("avg_qa_score"),
-                F.coalesce(oracle_ratio if s == "oracle" else "ratio_avg", F.lit(0.0)).alias(
-                    "avg_compression_ratio"
-                ),
-                F.col(f"{s}_n").alias("n_samples"),
+                F.coalesce(f"avg_{i}", F.lit(0.0)).alias("avg_qa_score"),
+                F.coalesce(f"ratio_{i}", F.lit(0.0)).alias("avg_compression_ratio"),
+                F.col(f"n_{i}").alias("n_samples"),
             )
-            for s in fixed.STRATEGIES
+            for i, s in enumerate(strategies)
         ]
     )
     return sums.select(F.inline(rows)).orderBy("method")

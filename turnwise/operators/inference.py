@@ -8,16 +8,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Called once per task; returns a function from a request's messages to the model's reply. A reply that cannot be had
-# is an exception.
+# is a ModelError.
 MakeModel = Callable[[], Callable[[list[dict[str, str]]], str]]
 
-RESPONSE_SCHEMA = "request_id string, attempt int, status string, raw_text string"
+RESPONSE_SCHEMA = "request_id string, attempt int, status string, raw_text string, error string"
+
+
+class ModelError(Exception):
+    """A model's function raises this when a call failed and may be tried again. Anything else ends the run."""
 
 
 def batch_infer(
     requests: DataFrame, make_model: MakeModel, attempt: int = 1, concurrency: int | None = None
 ) -> DataFrame:
-    """Send every request once and return a row for each, whether the call succeeded or not.
+    """Send every request once and return a row for each, whether the call succeeded or failed with a ``ModelError``,
+    whose text is kept as ``error``.
 
     Calls are slow and not repeatable: write the result to a table before using it, and run the stage without
     speculation. ``concurrency`` bounds how many tasks call at a time."""
@@ -26,18 +31,19 @@ def batch_infer(
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_model()
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = []
             for request_id, messages in zip(batch["request_id"].to_pylist(), batch["messages"].to_pylist()):
                 try:
-                    status, reply = ok, model(messages)
-                except Exception:
-                    status, reply = failed, None
-                rows.append({"request_id": request_id, "attempt": attempt, "status": status, "raw_text": reply})
-            yield pa.RecordBatch.from_pylist(rows, schema=written)
-
-    written = pa.schema(
-        [("request_id", pa.string()), ("attempt", pa.int32()), ("status", pa.string()), ("raw_text", pa.string())]
-    )
+                    status, reply, error = ok, model(messages), None
+                except ModelError as missing:
+                    status, reply, error = failed, None, str(missing)
+                rows.append((request_id, attempt, status, reply, error))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+    names = [field.split()[0] for field in RESPONSE_SCHEMA.split(", ")]
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
     sent = requests.select("request_id", "messages")
     if concurrency is not None:
         sent = sent.repartition(concurrency, "request_id")

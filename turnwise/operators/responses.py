@@ -76,5 +76,7 @@ def resolve_answers(requests: DataFrame, responses: DataFrame, max_retries: int
 
 
 def unresolved(requests: DataFrame, responses: DataFrame, succeeded: Column) -> DataFrame:
-    """Requests without a successful attempt yet; what a next round or a rerun still has to send."""
-    return requests.join(responses.filter(succeeded).select("request_id"), "request_id", "left_anti")
+    """Ids of requests without a successful attempt yet; what a next round or a rerun still has to send. Only ids meet."""
+    return requests.select("request_id").join(
+        responses.filter(succeeded).select("request_id"), "request_id", "left_anti"
+    )

@@ -73,7 +73,8 @@ def kept_ids(turns: DataFrame, min_turns: int = fixed.MIN_TURNS) -> DataFrame:
 
 
 def _part_no() -> Column:
-    return F.floor(F.col("turn") / PART_TURNS).alias("part_no")
+    """Turns without a number are a part of their own."""
+    return F.coalesce(F.floor(F.col("turn") / PART_TURNS), F.lit(-1)).alias("part_no")
 
 
 def kept_turns(turns: DataFrame, min_turns: int = fixed.MIN_TURNS) -> DataFrame:
@@ -110,9 +111,10 @@ def nest_turns(turns: DataFrame) -> DataFrame:
     Turns beyond the first ``PART_TURNS`` of a conversation are put together in parts by separate tasks before they
     meet, so the task that completes a very long conversation only strings parts together. The two kinds of rows are
     read apart, so give this a scan with filters, not the result of a join: the filter on ``turn`` reaches the scan,
-    where it skips nearly all of a table of ordinary conversations."""
+    where it skips nearly all of a table of ordinary conversations. Turns without a number come first."""
     row = F.struct(F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    head = turns.filter(F.col("turn") < PART_TURNS).select("conv_id", F.array(row).alias("part"))
+    first = (F.col("turn") < PART_TURNS) | F.col("turn").isNull()
+    head = turns.filter(first).select("conv_id", F.array(row).alias("part"))
     parts = (
         turns.filter(F.col("turn") >= PART_TURNS)
         .groupBy("conv_id", _part_no())
@@ -131,8 +133,17 @@ def flatten_turns(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", F.inline("turns"))
 
 
-def with_position(conversations: DataFrame) -> DataFrame:
-    """Flat turns of nested conversations with their position from 0, whatever their turn numbers are."""
-    return conversations.select("conv_id", F.posexplode("turns").alias("position", "t")).select(
-        "conv_id", "position", "t.turn", "t.role", "t.text"
+def with_position(turns: DataFrame) -> DataFrame:
+    """Flat turns with their position in the conversation from 0, whatever their numbers are. Texts decide between equal
+    numbers as they do in a nested conversation.
+
+    A part's turns are numbered by themselves and moved up by the turns of the parts before, so a conversation of any
+    length is never in one task."""
+    within = Window.partitionBy("conv_id", "part_no").orderBy("turn", "role", "text")
+    earlier = Window.partitionBy("conv_id").orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
+    parts = turns.groupBy("conv_id", _part_no()).agg(F.count("*").alias("n"))
+    parts = parts.select("conv_id", "part_no", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    numbered = turns.withColumn("part_no", _part_no()).withColumn("nth", F.row_number().over(within) - 1)
+    return numbered.join(parts, ["conv_id", "part_no"]).select(
+        "conv_id", (F.col("before") + F.col("nth")).cast("int").alias("position"), "turn", "role", "text"
     )

@@ -19,8 +19,13 @@ from turnwise.functions.text import has_words, words
 # Word vectors up to this size are sent to the tasks, where each Python worker holds them once; larger ones are joined
 # by shuffle.
 BROADCAST_BYTES = 256 * 1024 * 1024
-# As many words alone, of a vocabulary, are broadcast.
-BROADCAST_WORDS = 2_000_000
+# Words alone, of a vocabulary, are broadcast up to this size.
+BROADCAST_WORD_BYTES = 64 * 1024 * 1024
+
+SENTENCES_PER_PARTITION = 20_000  # of a training task
+MAX_SENTENCE_LENGTH = 10_000
+TURNS_AT_ONCE = 256  # whose vectors are added up at a time
+MODEL_BYTES = 4 << 30
 
 
 def sentences(turns: DataFrame) -> DataFrame:
@@ -39,20 +44,21 @@ def vocabulary(sentences: DataFrame, min_count: int = fixed.MIN_COUNT) -> DataFr
     return word_counts(sentences).filter(F.col("n") >= min_count)
 
 
-def known_words(counts: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Of ``(word, n)``, the words that have a vector."""
-    return counts.join(vectors.select("word"), "word", "left_semi")
-
-
-def unknown_words(counts: DataFrame, vectors: DataFrame) -> DataFrame:
-    return counts.join(vectors.select("word"), "word", "left_anti")
+def with_known(counts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``(word, n, known)``: whether a word has a vector."""
+    having = vectors.select("word").distinct().withColumn("known", F.lit(True))
+    return counts.join(having, "word", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
-def corpus_stats(conversations: DataFrame) -> DataFrame:
-    """Conversations and sentences per split of nested conversations; texts are not shuffled."""
-    worded = F.filter("turns", lambda t: has_words(t["text"]))
-    return conversations.groupBy("split").agg(
-        F.count("*").alias("n_conversations"), F.sum(F.size(worded)).alias("n_sentences")
+def corpus_stats(turns: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Conversations and sentences per split, from flat turns and ``(conv_id, split)``. Sentences are counted per
+    conversation before anything is shuffled."""
+    counts = turns.groupBy("conv_id").agg(F.count_if(has_words(F.col("text"))).alias("n"))
+    return (
+        assigned.select("conv_id", "split")
+        .join(counts, "conv_id", "left")
+        .groupBy("split")
+        .agg(F.count("*").alias("n_conversations"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_sentences"))
     )
 
 
@@ -62,13 +68,25 @@ def train_word2vec(
     window: int = fixed.WINDOW,
     min_count: int = fixed.MIN_COUNT,
     epochs: int = fixed.EPOCHS,
-    num_partitions: int = fixed.TRAIN_PARTITIONS,
+    num_partitions: int | None = None,
     seed: int = fixed.SEED,
     sg: int = 1,
+    max_sentence_length: int = MAX_SENTENCE_LENGTH,
 ) -> Word2VecModel:
-    """Skip-gram vectors of the words in ``tokens``. More partitions train faster and a little less exactly."""
+    """Skip-gram vectors of the words in ``tokens``. More partitions train faster and a little less exactly; by default
+    there is one for each ``SENTENCES_PER_PARTITION`` sentences. Longer sentences are cut at ``max_sentence_length`` words.
+
+    Spark holds the vocabulary and two matrices of its vectors on the driver and in every task, so a vocabulary that would
+    take more than ``MODEL_BYTES`` is refused before anything is trained: raise ``min_count``, or lower ``vector_size``."""
     if sg != 1:
         raise ValueError("only skip-gram (sg=1) is available")
+    n_words = vocabulary(sentences, min_count).count()
+    if n_words * vector_size * 8 > MODEL_BYTES:
+        raise ValueError(
+            f"{n_words} words of {vector_size} values do not fit a model of {MODEL_BYTES} bytes: raise min_count above {min_count}"
+        )
+    if num_partitions is None:
+        num_partitions = max(1, -(-sentences.count() // SENTENCES_PER_PARTITION))
     estimator = Word2Vec(
         vectorSize=vector_size,
         windowSize=window,
@@ -76,7 +94,7 @@ def train_word2vec(
         maxIter=epochs,
         numPartitions=num_partitions,
         seed=seed,
-        maxSentenceLength=10000,
+        maxSentenceLength=max_sentence_length,
         inputCol="tokens",
         outputCol="embedding",
     )
@@ -98,13 +116,15 @@ def _counted(turns: DataFrame) -> DataFrame:
     return _occurrences(turns).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
 
 
-def token_lookup(turns: DataFrame, vectors: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+def token_lookup(turns: DataFrame, vectors: DataFrame, broadcast_bytes: int = BROADCAST_WORD_BYTES) -> DataFrame:
     """``(conv_id, turn, n_tokens, n_known)``: words of each turn, and those that have a vector.
 
-    Up to ``broadcast_words`` words are broadcast, and only two counts per turn are shuffled. Beyond, occurrences are
-    counted per turn and joined by shuffle; adaptive execution splits the partitions of frequent words."""
-    known = vectors.select("word", F.lit(True).alias("known"))
-    if known.limit(broadcast_words + 1).count() <= broadcast_words:
+    Words of up to ``broadcast_bytes`` are broadcast, and only two counts per turn are shuffled. Beyond, occurrences are
+    counted per turn and joined by shuffle; adaptive execution splits the partitions of frequent words. A word that has
+    several vectors is known once."""
+    known = vectors.select("word").distinct().withColumn("known", F.lit(True))
+    row = 64  # what a hashed row takes beside the word
+    if (known.agg(F.sum(F.octet_length("word") + row)).first()[0] or 0) <= broadcast_bytes:
         joined = _occurrences(turns).withColumn("n", F.lit(1)).join(F.broadcast(known), "word", "left")
     else:
         joined = _counted(turns).join(known.hint("shuffle_merge"), "word", "left")
@@ -125,12 +145,22 @@ def turn_embeddings(
     flat turn, repeats counted; zeros where no word is known.
 
     Vectors of up to ``broadcast_bytes`` are sent to the tasks, and turns stay where they are. Larger ones are joined
-    by shuffle. No more rows than the limit allows are fetched to find out."""
-    most = broadcast_bytes // (4 * vector_size + 64)
+    by shuffle. The size is summed by Spark before anything is fetched. A word with two vectors, or a vector of another
+    size, is an error either way."""
     vectors = vectors.select("word", "vector")
-    fetched = vectors.limit(most + 1).toArrow()
-    if fetched.num_rows <= most:
-        return _embed_in_place(turns, fetched, vector_size)
+    size = F.size("vector")
+    seen = vectors.agg(
+        F.count("*").alias("n"),
+        F.count_if(F.coalesce(size, F.lit(-1)) != vector_size).alias("odd"),
+        F.coalesce(F.sum(8 * size + F.octet_length("word")), F.lit(0)).alias("bytes"),
+    ).first()
+    if seen.odd:
+        raise ValueError(f"{seen.odd} of {seen.n} vectors do not have {vector_size} values")
+    twice = vectors.groupBy("word").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if twice is not None:
+        raise ValueError(f"the word {twice.word!r} has {twice.n} vectors")
+    if seen.bytes <= broadcast_bytes:
+        return _embed_in_place(turns, vectors.toArrow(), vector_size)
     return _embed_by_join(turns, vectors, vector_size)
 
 
@@ -147,12 +177,17 @@ def _embed_in_place(turns: DataFrame, vectors: pa.Table, vector_size: int) -> Da
             rows = pc.fill_null(pc.index_in(tokens.flatten(), value_set=known_words), -1).to_numpy()
             ends = np.cumsum(pc.list_value_length(tokens).to_numpy())
             means = np.zeros((len(tokens), matrix.shape[1]), dtype=np.float32)
-            n_known = np.zeros(len(tokens), dtype=np.int64)
-            for i, turn_rows in enumerate(np.split(rows, ends[:-1])):
-                found, n = np.unique(turn_rows[turn_rows >= 0], return_counts=True)
-                n_known[i] = n.sum()
-                if n_known[i]:
-                    means[i] = n @ matrix[found] / n_known[i]
+            owner = np.repeat(np.arange(len(tokens)), np.diff(ends, prepend=0))[rows >= 0]
+            rows = rows[rows >= 0]
+            n_known = np.bincount(owner, minlength=len(tokens)).astype(np.int64)
+            full = np.flatnonzero(n_known)  # the sums of turns that have none would be those of the next
+            first = (np.cumsum(n_known) - n_known)[full]
+            # A slice at a time, so that the vectors of a long batch are never all in memory.
+            for lo in range(0, len(full), TURNS_AT_ONCE):
+                some = full[lo : lo + TURNS_AT_ONCE]
+                begin, end = first[lo], first[lo + len(some) - 1] + n_known[some[-1]]
+                sums = np.add.reduceat(matrix[rows[begin:end]], first[lo : lo + len(some)] - begin, axis=0)
+                means[some] = sums / n_known[some, None]
             embedding = pa.FixedSizeListArray.from_arrays(pa.array(means.ravel()), matrix.shape[1])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -3,14 +3,15 @@ executor repeats a stage at most, and a rerun sends no request that was answered
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.functions import fixed
 from turnwise.operators import contexts, evaluation, inference, questions, requests, responses, splits, vectors
-from turnwise.operators.turns import flatten_turns
+from turnwise.operators.turns import at_least, flatten_turns
 from turnwise.settings import Settings
 from turnwise.sources import splits as split_tables
 from turnwise.sources import tables
@@ -18,6 +19,10 @@ from turnwise.sources.scratch import land
 from turnwise.sources.vectors import save_word_vectors
 
 
+CHUNKS = 16  # requests are sent in so many parts; no more than one of them is lost with a run
+REQUEST_SCHEMA = "request_id string, messages array<struct<role:string,content:string>>, chunk int"
+
+
 @dataclass(frozen=True)
 class Models:
     """The user's models; each is a factory, called once per task."""
@@ -26,6 +31,7 @@ class Models:
     answer: inference.MakeModel
     judge: inference.MakeModel
     concurrency: int | None = None
+    label: str = ""  # tells these models from others, whose replies must not be taken for theirs
 
 
 def prepare(conversations: DataFrame, root: str, settings: Settings, ids: DataFrame | None = None) -> DataFrame:
@@ -63,24 +69,36 @@ def ask(
     succeeded: Column,
     max_retries: int,
     concurrency: int | None,
+    chunks: int = CHUNKS,
 ) -> DataFrame:
     """Send requests until each has a successful attempt or has had ``max_retries``, appending every attempt to the
-    response table. ``done`` adds to responses what ``succeeded`` needs. Returns the responses."""
+    response table. ``done`` adds to responses what ``succeeded`` needs. Returns the responses.
+
+    Requests are written once, in ``chunks`` folders by id, and each chunk's replies are appended before the next chunk
+    is sent: what was answered stays answered if the run ends. What is pending is found on ids alone."""
     spark = sent.sparkSession
+    chunk = F.pmod(F.xxhash64("request_id"), F.lit(chunks)).cast("int")
+    requests_path = f"{path}_requests"
+    sent.select("request_id", "messages", chunk.alias("chunk")).write.mode("overwrite").partitionBy("chunk").parquet(
+        requests_path
+    )
+    written = spark.read.schema(REQUEST_SCHEMA).parquet(requests_path)
     for attempt in range(1, max_retries + 1):
         so_far = done(tables.read_responses(spark, path))
         tried = F.col("attempt") >= attempt
-        pending = responses.unresolved(sent, so_far, succeeded | tried)
-        if attempt > 1 and pending.isEmpty():
-            break
-        tables.append_responses(inference.batch_infer(pending, make_model, attempt, concurrency), path)
+        ids = responses.unresolved(written, so_far, succeeded | tried).distinct().withColumn("chunk", chunk)
+        ids = land(ids, f"{path}_pending")
+        for (number,) in sorted(ids.select("chunk").distinct().collect()):  # at most ``chunks``
+            mine = ids.filter(F.col("chunk") == number).select("request_id")
+            pending = written.filter(F.col("chunk") == number).join(mine, "request_id", "left_semi")
+            tables.append_responses(inference.batch_infer(pending, make_model, attempt, concurrency), path)
     return tables.read_responses(spark, path)
 
 
 def generate_qa(spark: SparkSession, root: str, models: Models, settings: Settings, split: str = "both") -> None:
     """Have QA pairs written for the conversations of a split and write the enriched conversations."""
     conversations = split_tables.read_split(spark, f"{root}/splits", split)
-    sent = requests.qa_requests(conversations, settings.qa_per_conv)
+    sent = requests.qa_requests(conversations, settings.qa_per_conv, model=models.label)
     got = ask(
         sent,
         f"{root}/responses/qa",
@@ -101,32 +119,34 @@ def evaluate(
     models: Models,
     settings: Settings,
     run_id: str,
-    strategies: dict[str, contexts.Strategy] | None = None,
+    strategies: Mapping[str, contexts.Strategy] | None = None,
+    dataset: str | None = None,
 ) -> DataFrame:
-    """Evaluate the first ``n_samples`` conversations of the validation split and write the result rows. Without QA
+    """Evaluate the first ``n_samples`` conversations of a dataset under any strategies and write the result rows.
+
+    ``dataset`` is a path of conversations with ``qa_pairs``, by default those of the validation split. Without QA
     pairs there are no results."""
-    enriched = split_tables.read_eval_dataset(spark, f"{root}/qa/split=val")
-    if enriched is None:
-        return spark.createDataFrame([], evaluation.RESULT_SCHEMA)
-    base = f"{root}/evaluations/{run_id}"
     strategies = contexts.default_strategies(settings.truncation_tokens) if strategies is None else strategies
+    enriched = split_tables.read_eval_dataset(spark, dataset or f"{root}/qa/split=val")
+    if enriched.isEmpty():
+        return spark.createDataFrame([], evaluation.result_schema(list(strategies)))
+    base = f"{root}/evaluations/{run_id}"
     sample = questions.sample_first(enriched, settings.n_samples)
-    sent = land(requests.answer_requests(sample, strategies), f"{base}/answer_requests")
+    sent = land(requests.answer_requests(sample, strategies, model=models.label), f"{base}/answer_requests")
     is_ok = F.col("status") == responses.OK
     got = ask(sent, f"{base}/answers", models.answer, _as_is, is_ok, 1, models.concurrency)
     answers = responses.resolve_answers(sent.drop("kind", "messages"), got)
     answers = land(answers.drop("request_id"), f"{base}/answered")
-    judged = requests.judge_requests(answers)
+    judged = land(requests.judge_requests(answers, model=models.label), f"{base}/judge_requests")
     verdicts = ask(
         judged, f"{base}/verdicts", models.judge, _as_is, is_ok, settings.max_retries, models.concurrency
     )
-    key = requests.request_id("judge", F.col("conv_id"), F.col("qa_idx"), F.col("strategy"))
-    scored = responses.resolve_scores(
-        answers.withColumn("request_id", key), verdicts, settings.max_retries
-    )
-    results = evaluation.result_rows(evaluation.eval_wide(scored))
-    tables.write_run(results, f"{root}/results", run_id)
-    return tables.read_run(spark, f"{root}/results", run_id)
+    scored = responses.resolve_scores(judged.drop("kind", "messages"), verdicts, settings.max_retries)
+    names = list(strategies)
+    results = evaluation.result_rows(evaluation.eval_wide(scored, names), names)
+    path = f"{root}/results" if names == list(fixed.STRATEGIES) else f"{base}/results"
+    tables.write_run(results, path, run_id)
+    return tables.read_run(spark, path, run_id)
 
 
 def _as_is(df: DataFrame) -> DataFrame:
@@ -141,17 +161,20 @@ def run(
     settings: Settings | None = None,
     ids: DataFrame | None = None,
     with_qa: bool = True,
+    strategies: Mapping[str, contexts.Strategy] | None = None,
 ) -> DataFrame:
-    """The whole evaluation of clean nested conversations. Writes everything under ``root``, appends the run's metrics
-    to ``<root>/metrics``, and returns the summary."""
+    """The whole evaluation of clean nested conversations of ``min_turns`` turns or more, under any strategies. Writes
+    everything under ``root``, the run's metrics to ``<root>/metrics`` in place of those it had, and returns the summary."""
     settings = settings or Settings()
     spark = conversations.sparkSession
+    conversations = at_least(conversations, settings.min_turns)
     metrics = f"{root}/metrics"
     sizes = prepare(conversations, root, settings, ids)
-    tables.append_metrics(evaluation.split_metrics(sizes), metrics, run_id)
-    tables.append_metrics(train(spark, root, settings), metrics, run_id)
+    tables.write_metrics(evaluation.split_metrics(sizes), metrics, run_id)
+    tables.write_metrics(train(spark, root, settings), metrics, run_id)
     if with_qa:
         generate_qa(spark, root, models, settings, "val")
-    summary = evaluation.method_summary(evaluate(spark, root, models, settings, run_id))
-    tables.append_metrics(evaluation.flat_metrics(summary), metrics, run_id)
+    results = evaluate(spark, root, models, settings, run_id, strategies)
+    summary = evaluation.method_summary(results, list(strategies or fixed.STRATEGIES))
+    tables.write_metrics(evaluation.flat_metrics(summary), metrics, run_id)
     return summary

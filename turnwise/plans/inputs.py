@@ -51,12 +51,12 @@ def raw_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_qa(nested: DataFrame) -> DataFrame:
-    """Questions: the first three human turns. Answers: the turn right after, if it is a reply, else none."""
+    """Questions: all human turns. Answers: the turn right after, if it is a reply, else none."""
     following = F.transform(
         "turns",
         lambda t, i: F.struct(t["role"].alias("role"), t["text"].alias("text"), F.get("turns", i + 1).alias("next")),
     )
-    asked = F.slice(F.filter(following, lambda t: t["role"] == "human"), 1, fixed.QA_PER_CONV)
+    asked = F.filter(following, lambda t: t["role"] == "human")
     pairs = F.transform(
         asked,
         lambda t: F.struct(
@@ -101,9 +101,7 @@ def qa_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(None).cast("string"),
         ],
     )
-    return attempts(
-        nested.select("conv_id", requests.request_id("qa", F.col("conv_id")).alias("request_id"), "qa_pairs")
-    ).select(
+    return attempts(requests.qa_requests(nested, keep=["qa_pairs"]).drop("messages")).select(
         "request_id",
         "conv_id",
         "attempt",
@@ -130,8 +128,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def judged(answers: DataFrame) -> DataFrame:
     """Answers with the id of the request that has them graded."""
-    key = requests.request_id("judge", F.col("conv_id"), F.col("qa_idx"), F.col("strategy"))
-    return answers.withColumn("request_id", key)
+    return requests.judge_requests(answers).drop("kind", "messages")
 
 
 def judge_responses(answers: DataFrame) -> DataFrame:

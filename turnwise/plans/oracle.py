@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from turnwise.functions import fixed
 from turnwise.operators.requests import ANSWER_SYSTEM, JUDGE_SCALE, JUDGE_SYSTEM, QA_SYSTEM
 
 # Common table expressions; DuckDB evaluates those a query uses.
@@ -50,7 +51,7 @@ WITH turns AS (
 ), any_qa AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS qa_idx, text AS question,
     CASE WHEN next_role = 'gpt' THEN next_text END AS answer
-  FROM following WHERE role = 'human' QUALIFY qa_idx < 3
+  FROM following WHERE role = 'human'
 ), qa AS (
   SELECT * FROM any_qa WHERE conv_id IN (SELECT conv_id FROM scripts)
 ), asked AS (
@@ -74,7 +75,7 @@ WITH turns AS (
       WHEN 6 THEN 'no grade' END AS raw_text
   FROM replies
 ), bare AS (
-  SELECT *, trim(regexp_replace(raw_text, '```(?:json)?', '', 'g'), ' ' || chr(10)) AS unfenced FROM verdicts
+  SELECT *, trim(regexp_replace(raw_text, '@FENCE@', '', 'g'), ' ' || chr(10)) AS unfenced FROM verdicts
 ), read AS (
   SELECT *, coalesce(
       CASE WHEN json_valid(raw_text) THEN TRY_CAST(json_extract_string(raw_text, '$.score') AS DOUBLE) END,
@@ -97,7 +98,8 @@ WITH turns AS (
     max(answer) FILTER (a.strategy = 'baseline') AS baseline_answer,
     max(answer) FILTER (a.strategy = 'compressed') AS compressed_answer,
     max(n_tokens) FILTER (a.strategy = 'oracle') AS oracle_tokens,
-    max(n_tokens) FILTER (a.strategy = 'baseline') AS baseline_tokens
+    max(n_tokens) FILTER (a.strategy = 'baseline') AS baseline_tokens,
+    max(n_tokens) FILTER (a.strategy = 'compressed') AS compressed_tokens
   FROM answered a JOIN scored s ON a.conv_id = s.conv_id AND a.qa_idx = s.qa_idx AND a.strategy = s.strategy
   GROUP BY a.conv_id, a.qa_idx
 ), results AS (
@@ -107,7 +109,8 @@ WITH turns AS (
       AS recovery_rate,
     CAST(printf('%.4f', CAST(baseline_tokens AS DOUBLE) / oracle_tokens) AS DOUBLE) AS compression_ratio,
     oracle_answer, baseline_answer, compressed_answer,
-    CAST(oracle_tokens AS INTEGER) AS oracle_tokens, CAST(baseline_tokens AS INTEGER) AS baseline_tokens
+    CAST(oracle_tokens AS INTEGER) AS oracle_tokens, CAST(baseline_tokens AS INTEGER) AS baseline_tokens,
+    CAST(compressed_tokens AS INTEGER) AS compressed_tokens
   FROM wide
 ), methods AS (
   SELECT 'oracle' AS method, oracle_score AS score, 1.0::DOUBLE AS ratio FROM results
@@ -118,7 +121,7 @@ WITH turns AS (
     count(*) AS n_samples
   FROM methods GROUP BY method
 ), sentences AS (
-  SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') AS tokens FROM kept
+  SELECT conv_id, turn, regexp_extract_all(lower(text), '@WORD@') AS tokens FROM kept
 ), words AS (
   SELECT conv_id, turn, unnest(tokens) AS word FROM sentences
 ), counts AS (
@@ -146,7 +149,16 @@ WITH turns AS (
 
 _TURNS_TEXT = "turn || '|' || role || '|' || text, chr(10) ORDER BY turn"
 _ANSWER_TEXT = "'Context:' || chr(10) || context || chr(10) || chr(10) || 'Question: ' || question"
-_ANSWER_ID = "sha256('answer|' || conv_id || '|' || qa_idx || '|' || strategy)"
+
+
+def _said(system: str, user: str) -> str:
+    """The hash of a request's two messages."""
+    return f"sha256('system' || chr(31) || '{system}' || chr(30) || 'user' || chr(31) || {user})"
+
+
+_ANSWER_ID = (
+    f"sha256('answer||' || conv_id || '|' || qa_idx || '|' || strategy || '|' || {_said(ANSWER_SYSTEM, _ANSWER_TEXT)})"
+)
 _QA_PROMPT = (
     "'Write 3 questions about facts in the conversation below, each with a short answer. '"
     " || 'Reply as {\"qa_pairs\": [{\"question\": \"...\", \"answer\": \"...\"}]}.' || chr(10) || chr(10) || oracle"
@@ -156,7 +168,7 @@ _JUDGE_TEXT = (
     " || ground_truth || chr(10) || 'Given answer: ' || answer"
 )
 _QUESTION = "conv_id, CAST(qa_idx AS INTEGER) AS qa_idx, strategy"
-_DIMS = "SELECT word, CAST(16 AS INTEGER) AS dim FROM vocabulary"
+_DIMS = "SELECT word, CAST(200 AS INTEGER) AS dim FROM vocabulary"
 _QA_COUNTS = "SELECT conv_id, CAST(count(*) AS INTEGER) AS n_pairs FROM {} GROUP BY conv_id"
 
 _SELECTS = {
@@ -197,7 +209,10 @@ _SELECTS = {
         "SELECT 'run-1' AS run_id, 'data/' || s.split || '_size' AS metric, "
         "CAST(count(r.split) AS DOUBLE) AS value FROM (SELECT unnest(['train', 'val', 'test']) AS split) s "
         "LEFT JOIN splits r ON r.split = s.split GROUP BY s.split "
-        "UNION ALL SELECT 'run-1', 'word2vec/vocab_size', CAST(count(*) AS DOUBLE) FROM vocabulary"
+        "UNION ALL SELECT 'run-1', 'word2vec/vocab_size', CAST(count(*) AS DOUBLE) FROM vocabulary "
+        "UNION ALL SELECT 'run-1', 'eval/' || method || '/avg_qa_score', avg_qa_score FROM summary "
+        "UNION ALL SELECT 'run-1', 'eval/' || method || '/avg_compression_ratio', avg_compression_ratio FROM summary "
+        "UNION ALL SELECT 'run-1', 'eval/' || method || '/n_samples', CAST(n_samples AS DOUBLE) FROM summary"
     ),
     "save_word_vectors": _DIMS,
     "load_word_vectors": "SELECT word, true AS same FROM vocabulary",
@@ -266,8 +281,8 @@ _SELECTS = {
     ),
     "resolve_attempts": f"SELECT {_QUESTION}, score FROM scored",
     "resolve_qa_attempts": (
-        "SELECT conv_id, CAST(CASE min(attempt) FILTER (k < 4) % 3 IS NULL WHEN true THEN 0 "
-        "ELSE min_by(CASE WHEN k < 3 THEN n_pairs ELSE 0 END, attempt) FILTER (k < 4) END AS INTEGER) AS n_pairs FROM "
+        "SELECT conv_id, CAST(coalesce(min_by(CASE WHEN k < 3 THEN n_pairs ELSE 0 END, attempt) FILTER (k < 4), 0) "
+        "AS INTEGER) AS n_pairs FROM "
         "(SELECT s.conv_id, attempt, (s.conv_id * 5 + attempt) % 6 AS k, "
         "(SELECT count(*) FROM qa WHERE qa.conv_id = s.conv_id) AS n_pairs "
         "FROM scripts s, (SELECT unnest([1, 2, 3]) AS attempt)) GROUP BY conv_id"
@@ -302,7 +317,7 @@ _SELECTS = {
         "recovery_rate FROM results"
     ),
     "qa_requests": (
-        f"SELECT sha256('qa|' || conv_id) AS request_id, conv_id, '{QA_SYSTEM}' AS system_text, "
+        f"SELECT sha256('qa||' || conv_id || '|' || {_said(QA_SYSTEM, _QA_PROMPT)}) AS request_id, conv_id, '{QA_SYSTEM}' AS system_text, "
         f"{_QA_PROMPT} AS user_text FROM scripts"
     ),
     "answer_requests": (
@@ -310,7 +325,8 @@ _SELECTS = {
         f"{_ANSWER_TEXT} AS user_text FROM asked"
     ),
     "judge_requests": (
-        f"SELECT sha256('judge|' || conv_id || '|' || qa_idx || '|' || strategy) AS request_id, {_QUESTION}, "
+        "SELECT sha256('judge||' || conv_id || '|' || qa_idx || '|' || strategy || '|' || "
+        f"{_said(JUDGE_SYSTEM, _JUDGE_TEXT)}) AS request_id, {_QUESTION}, "
         f"'{JUDGE_SYSTEM}' AS system_text, {_JUDGE_TEXT} AS user_text FROM answered"
     ),
     "parse_qa_response": (
@@ -329,6 +345,22 @@ _SELECTS = {
         "CASE WHEN k <> 7 THEN greatest(0, least(10, score)) END AS score FROM read"
     ),
     "strip_prompt": f"SELECT {_QUESTION}, trim(ground_truth, ' ' || chr(10)) AS answer FROM asked",
+    "custom_strategies": (
+        ", chosen AS (SELECT conv_id, strategy, context, n_tokens FROM contexts WHERE strategy <> 'compressed' "
+        "UNION ALL SELECT conv_id, 'last_64', NULL, least(len(tok), 64) FROM tokens), "
+        "graded AS (SELECT c.strategy AS method, "
+        "CAST(length(CASE WHEN c.strategy = 'oracle' THEN q.answer ELSE c.strategy || ': ' || q.question END) % 11 "
+        "AS DOUBLE) AS score, CASE WHEN c.strategy = 'oracle' THEN 1.0::DOUBLE ELSE "
+        "CAST(printf('%.4f', CAST(c.n_tokens AS DOUBLE) / len(t.tok)) AS DOUBLE) END AS ratio "
+        "FROM qa q JOIN chosen c USING (conv_id) JOIN tokens t USING (conv_id) "
+        "WHERE q.question <> '' AND coalesce(q.answer, '') <> '') "
+        "SELECT method, round(avg(score), 6) AS avg_qa_score, round(avg(ratio), 6) AS avg_compression_ratio, "
+        "count(*) AS n_samples FROM graded GROUP BY method"
+    ),
+    "scan_json_arrays": (
+        "SELECT CAST(conv_id AS VARCHAR) AS conversation_id, CAST(count(*) AS INTEGER) AS n_turns FROM conversations "
+        "GROUP BY conv_id"
+    ),
     "eval_wide": "SELECT * REPLACE (CAST(conversation_id AS VARCHAR) AS conversation_id) FROM results",
     "flat_metrics": (
         "SELECT 'eval/' || method || '/avg_qa_score' AS metric, avg_qa_score AS value FROM summary "
@@ -339,14 +371,14 @@ _SELECTS = {
         "SELECT conv_id, turn, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens_text "
         "FROM sentences WHERE len(tokens) > 0"
     ),
-    "train_word2vec": _DIMS,
+    "train_word2vec": "SELECT word, CAST(200 AS INTEGER) AS dim, true AS sane FROM vocabulary",
     "embedding_norm": (
         "SELECT conv_id, turn, round(sqrt(sum(CAST(value AS DOUBLE) * value)), 4) AS norm FROM embedded "
         "GROUP BY conv_id, turn"
     ),
     "batch_infer": (
         f"SELECT {_ANSWER_ID} AS request_id, CAST(1 AS INTEGER) AS attempt, 'ok' AS status, "
-        rf"len(regexp_extract_all({_ANSWER_TEXT}, '\S+')) || ' tokens' AS raw_text FROM asked"
+        rf"len(regexp_extract_all({_ANSWER_TEXT}, '\S+')) || ' tokens' AS raw_text, CAST(NULL AS VARCHAR) AS error FROM asked"
     ),
     "strategy_registry": (
         "SELECT conv_id, strategy, CASE WHEN strategy <> 'compressed' THEN context WHEN len(tok) <= 64 THEN oracle "
@@ -367,4 +399,13 @@ _SELECTS = {
     ),
 }
 
-ORACLE = {name: _WITH + select for name, select in _SELECTS.items()}
+_PATTERNS = {"@WORD@": fixed.WORD.replace("'", "''"), "@FENCE@": fixed.CODE_FENCE}
+
+
+def _filled(sql: str) -> str:
+    for mark, pattern in _PATTERNS.items():
+        sql = sql.replace(mark, pattern)
+    return sql
+
+
+ORACLE = {name: _filled(_WITH + select) for name, select in _SELECTS.items()}

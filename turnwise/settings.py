@@ -21,4 +21,4 @@ class Settings:
     window: int = fixed.WINDOW
     min_count: int = fixed.MIN_COUNT
     epochs: int = fixed.EPOCHS
-    train_partitions: int = fixed.TRAIN_PARTITIONS
+    train_partitions: int | None = None  # by the number of sentences

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.functions import fixed
+from turnwise.functions.parsing import QA_PAIRS_TYPE
+from turnwise.operators.turns import TURNS_TYPE
 
 logger = logging.getLogger(__name__)
 
@@ -49,10 +51,13 @@ def read_splits(spark: SparkSession, root: str, splits: Sequence[str] = fixed.SP
     return spark.read.option("basePath", root).parquet(*found)
 
 
-def read_eval_dataset(spark: SparkSession, path: str) -> DataFrame | None:
-    """Conversations with ``qa_pairs``, or None if nothing was written there, in which case there is nothing to
+EVAL_SCHEMA = f"conv_id string, conversation_id string, turns {TURNS_TYPE}, shuffle_key string, qa_pairs {QA_PAIRS_TYPE}"
+
+
+def read_eval_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """Conversations with ``qa_pairs``; none if nothing was written there, in which case there is nothing to
     evaluate."""
     if not _exists(spark, path):
         logger.warning("no QA pairs at %s, skipping the evaluation", path)
-        return None
+        return spark.createDataFrame([], EVAL_SCHEMA)
     return spark.read.parquet(path)

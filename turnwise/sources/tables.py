@@ -42,6 +42,13 @@ def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("run_id") == run_id)
 
 
-def append_metrics(metrics: DataFrame, path: str, run_id: str) -> None:
-    """Append ``(metric, value)`` rows of a run."""
-    metrics.select(F.lit(run_id).alias("run_id"), "metric", "value").write.mode("append").parquet(path)
+def write_metrics(metrics: DataFrame, path: str, run_id: str) -> None:
+    """Write ``(metric, value)`` rows of a run, replacing what the run has of the same stages. A metric's stage is its
+    name up to the first slash."""
+    (
+        metrics.select("metric", "value", F.lit(run_id).alias("run_id"), F.split("metric", "/")[0].alias("stage"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run_id", "stage")
+        .parquet(path)
+    )
