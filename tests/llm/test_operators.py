@@ -129,6 +129,7 @@ def test_links_of_a_large_group_in_many_tiles(spark, monkeypatch):
         texts.append(" ".join(own))
     monkeypatch.setattr(ngram_join, "TILE_SETS", 8)
     monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 900)
+    monkeypatch.setattr(ngram_join, "LEAST_SIZE", 1)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.row.doc_id: (r.class_id, r.n_links) for r in ngram_join.link_documents(docs).collect()}
     pairs = helpers.links(texts)

@@ -20,7 +20,8 @@ TOLERANCE = 1e-7  # a pair is dropped when its chance of reaching the threshold
 BANDS, ROWS = 35, 5  # a pair at 0.8 shares no band in 1 of 10**6 cases, at 0.85 in 1 of 10**9
 STEP = 25  # MinHash values compared at a time
 TILE_SETS = 1 << 10  # sets of one side of a tile, about; of the first stage
-TILE_SHINGLES = 1 << 18  # shingles of one side of a tile, about; of the second stage
+TILE_SHINGLES = 1 << 17  # shingles of one side of a tile, about; of the second stage
+LEAST_SIZE = 256  # what a smaller set counts there, so that a tile has few sets too
 PAIRS = 1 << 18  # pairs compared at once
 
 
@@ -155,7 +156,9 @@ def tiled(members: DataFrame, group: str, weight: str, limit: int) -> DataFrame:
 def in_tiles(tiles: DataFrame, group: str, work: Callable[[pa.Table, np.ndarray, np.ndarray], pa.RecordBatch], schema: str, rows: int) -> DataFrame:
     """Runs ``work`` (rows, tile numbers, sides) over whole tiles, as many small ones at a time as ``rows`` allows."""
     keys = [group, "low", "high"]
-    sorted_tiles = tiles.repartition("tile").sortWithinPartitions("tile", *keys, "side")
+    # A fixed number of partitions: tiles are few bytes but much work, so they must not be merged by size.
+    parts = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_tiles = tiles.repartition(parts, "tile").sortWithinPartitions("tile", *keys, "side")
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -338,7 +341,8 @@ def link_documents(
         v = pa.StructArray.from_arrays([pa.array(one[label[at]]), pa.array(two[label[at]])], ["one", "two"])
         return pa.RecordBatch.from_arrays([u, v, pa.array(links[at])], ["u", "v", "links"])
 
-    tiles = tiled(members, "group", "size", TILE_SHINGLES)
+    members = members.withColumn("weight", F.greatest("size", F.lit(LEAST_SIZE)))
+    tiles = tiled(members, "group", "weight", TILE_SHINGLES)
     verified = in_tiles(tiles, "group", verify_tile, f"u {node_type}, v {node_type}, links bigint", TILE_SETS)
     verified = land(verified, scratch_path(spark, "links"))
     roots = components(verified)
