@@ -55,6 +55,12 @@ def test_judge_attempts_are_repeated_after_failed_calls_only(spark):
     assert scores == {"first": 7.0, "call": 0.0, "parse": 0.0, "late": 0.0, "low": 0.0, "none": 0.0}
 
 
+def test_replies_are_not_sorted_to_find_the_first_success(spark):
+    got = spark.createDataFrame([("a", 1, "ok", "x", None)], RESPONSE)
+    plan = responses.resolve_scores(asked(spark, "a"), got)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
 def conversations(spark):
     return spark.sql(
         """SELECT * FROM VALUES

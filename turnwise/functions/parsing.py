@@ -93,9 +93,10 @@ def extract_score(text: Column) -> Column:
     ``"score"`` field anywhere, or the first number that stands alone if it is no more than ten."""
     field = F.nullif(F.regexp_extract(text, fixed.SCORE_FIELD, 1), F.lit("")).try_cast("double")
     bare = F.nullif(F.regexp_extract(text, fixed.BARE_NUMBER, 1), F.lit("")).try_cast("double")
+    unfenced = without_fences(text)
     return F.coalesce(
         _score_field(text),
-        _score_field(without_fences(text)),
+        F.when(unfenced != text, _score_field(unfenced)),
         field,
         F.when(bare <= fixed.MAX_SCORE, bare),
         F.lit(0.0),

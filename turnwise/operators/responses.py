@@ -1,7 +1,7 @@
 """Response tables ``(request_id, attempt, status, raw_text)`` and what they amount to.
 
 Retries are rows. A request's outcome is its first successful attempt among ``max_retries``, or a default. The outcome
-is a keyed minimum, which is combined before the shuffle; request ids are hashes, so no key is hot.
+is a keyed minimum of numbers, which is combined before the shuffle; request ids are hashes, so no key is hot.
 """
 
 from __future__ import annotations
@@ -32,20 +32,15 @@ def score_responses(responses: DataFrame) -> DataFrame:
     return responses.withColumn("score", F.when(F.col("status") == OK, score))
 
 
-def first_success(
-    attempts: DataFrame, succeeded: Column, value: Column, max_retries: int = fixed.MAX_RETRIES
-) -> DataFrame:
-    """``(request_id, attempt, value)`` of the first successful attempt of each request that has one.
+def first_success(attempts: DataFrame, succeeded: Column, max_retries: int = fixed.MAX_RETRIES) -> DataFrame:
+    """The first successful attempt of each request that has one, as it was given; a request's attempts have different
+    numbers.
 
-    Attempts that do not count have no order instead of being filtered out: a filter would go in front of the parsing
-    and do it a second time."""
-    order = F.when((F.col("attempt") <= max_retries) & succeeded, F.col("attempt"))
-    return (
-        attempts.groupBy("request_id")
-        .agg(F.min_by(F.struct("attempt", value.alias("value")), order).alias("first"))
-        .filter(F.col("first").isNotNull())
-        .select("request_id", "first.attempt", "first.value")
-    )
+    Numbers alone are compared; replies meet the winning number afterwards, so none is sorted, and only winners are
+    parsed for what they hold."""
+    number = F.when((F.col("attempt") <= max_retries) & succeeded, F.col("attempt"))
+    first = attempts.groupBy("request_id").agg(F.min(number).alias("attempt")).filter(F.col("attempt").isNotNull())
+    return attempts.join(first, ["request_id", "attempt"])
 
 
 def attach(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -56,23 +51,25 @@ def attach(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
 def resolve_qa(requests: DataFrame, responses: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> DataFrame:
     """Add ``qa_pairs``. Failed calls and unreadable replies are both tried again; without success the list is
     empty."""
-    found = first_success(parse_qa(responses), F.col("parse_ok"), F.col("qa_pairs"), max_retries)
-    pairs = F.when(F.col("attempt").isNull(), F.array().cast(QA_PAIRS_TYPE)).otherwise(F.col("value"))
-    return attach(requests, found).withColumn("qa_pairs", pairs).drop("attempt", "value")
+    parses = (F.col("status") == OK) & qa_json(F.col("raw_text")).isNotNull()
+    replies = responses.select("request_id", "attempt", "status", "raw_text")
+    found = parse_qa(first_success(replies, parses, max_retries)).select("request_id", "attempt", "qa_pairs")
+    pairs = F.when(F.col("attempt").isNull(), F.array().cast(QA_PAIRS_TYPE)).otherwise(F.col("qa_pairs"))
+    return attach(requests, found).withColumn("qa_pairs", pairs).drop("attempt")
 
 
 def resolve_scores(requests: DataFrame, responses: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> DataFrame:
     """Add ``score``. Only failed calls are tried again: a reply without a score is a 0.0, and so is no reply."""
-    found = first_success(score_responses(responses), F.col("status") == OK, F.col("score"), max_retries)
-    return (
-        attach(requests, found).withColumn("score", F.coalesce("value", F.lit(0.0))).drop("attempt", "value")
-    )
+    replies = responses.select("request_id", "attempt", "status", "raw_text")
+    found = score_responses(first_success(replies, F.col("status") == OK, max_retries)).select("request_id", "score")
+    return attach(requests, found).withColumn("score", F.coalesce("score", F.lit(0.0)))
 
 
 def resolve_answers(requests: DataFrame, responses: DataFrame, max_retries: int = fixed.MAX_RETRIES) -> DataFrame:
     """Add ``answer``, the text of the first call that succeeded; null without one."""
-    found = first_success(responses, F.col("status") == OK, F.col("raw_text"), max_retries)
-    return attach(requests, found).withColumnRenamed("value", "answer").drop("attempt")
+    replies = responses.select("request_id", "attempt", "status", "raw_text")
+    found = first_success(replies, F.col("status") == OK, max_retries)
+    return attach(requests, found.select("request_id", F.col("raw_text").alias("answer")))
 
 
 def unresolved(requests: DataFrame, responses: DataFrame, succeeded: Column) -> DataFrame:
