@@ -74,6 +74,11 @@ def test_scans_read_the_columns_they_need(spark, name, columns):
     assert f"ReadSchema: struct<{columns}>" in plan_of(QUERIES[name](spark, SF))
 
 
+@pytest.mark.parametrize("name", ["context_stats", "corpus_stats", "position", "compression_ratio", "split_sizes"])
+def test_no_conversation_is_put_together_for_counts(spark, name):
+    assert "collect_list" not in plan_of(QUERIES[name](spark, SF))
+
+
 def test_texts_of_a_contexts_table_are_shuffled_once(spark):
     plan = plan_of(QUERIES["answer_requests"](spark, SF))
     assert plan.count("Exchange hashpartitioning(conv_id") == 2  # the conversations, and the parts of long ones

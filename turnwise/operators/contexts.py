@@ -141,6 +141,17 @@ def context_sizes(
     )
 
 
+def default_token_counts(
+    turns: DataFrame, truncation_tokens: int = fixed.TRUNCATION_TOKENS, min_turns: int = 1
+) -> DataFrame:
+    """``(conv_id, strategy, n_tokens)`` of the default strategies from flat turns, without making a context: two of
+    them are tails. Only counts are shuffled."""
+    sizes = context_sizes(turns, truncation_tokens, min_turns)
+    counts = {"oracle": "oracle_tokens", "baseline": "baseline_tokens", "compressed": "baseline_tokens"}
+    rows = [F.struct(F.lit(s).alias("strategy"), F.col(c).cast("int").alias("n_tokens")) for s, c in counts.items()]
+    return sizes.select("conv_id", F.inline(F.array(*rows)))
+
+
 def with_compression_ratio(sizes: DataFrame) -> DataFrame:
     """Add what share of the tokens the tail keeps, rounded to four decimals."""
     share = ratio(F.col("baseline_tokens"), F.col("oracle_tokens"))

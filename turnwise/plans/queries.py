@@ -440,7 +440,8 @@ def ctx_baseline(spark, sf_dir):
 
 @query
 def context_stats(spark, sf_dir):
-    return contexts.contexts(inputs.conversations(spark, sf_dir)).select("conv_id", "strategy", "n_tokens")
+    flat = turns.valid_turns(inputs.all_turns(spark, sf_dir))
+    return contexts.default_token_counts(flat, min_turns=inputs.MIN_TURNS)
 
 
 @query
