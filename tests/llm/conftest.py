@@ -1,50 +1,11 @@
 import os
-import random
 import sys
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, size bigint, score string, node int, `row` string, `a.b` string"
-
-
-def odd_texts():
-    """Nulls, empty and blank texts, copies, near copies, shared and repeated passages, ties, one very long text."""
-    rng = random.Random(4)
-    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(400)]
-
-    def prose(n):
-        return " ".join(rng.choice(vocabulary) for _ in range(n))
-
-    passage, long = prose(60), prose(30000)
-    copied, near = prose(80), prose(150).split(" ")
-    rows = [
-        (1, None),
-        (2, ""),
-        (3, " \t\n\x0b\x0c\r "),
-        (4, "one"),
-        (5, "one two three"),
-        (6, "one two three"),
-        (7, copied),
-        (8, copied),
-        (8, copied),
-        (9, copied.replace(" ", "\n")),
-        (10, " ".join(near)),
-        (11, " ".join(near[:149] + ["other"])),
-        (12, " ".join(near[:70] + ["x"] + near[71:])),
-        (13, prose(20) + " " + passage + " " + prose(30)),
-        (14, prose(11) + "\n" + passage + "\n" + prose(7)),
-        (15, (prose(12) + "\n") * 6),
-        (16, long),
-        (17, long[: len(long) // 2] + " " + prose(40)),
-        (18, "be " * 400),
-        (None, prose(25)),
-        (None, prose(25)),
-        (20, "É´ ﬁ 日本 \x00 don't <|endoftext|> <|startoftext|>x !!"),
-    ]
-    return [(d, t, [None, "en", "de"][i % 3], [None, "a", "b", "hot", "hot"][i % 5]) for i, (d, t) in enumerate(rows)]
-
+from helpers import SCHEMA, odd_texts  # noqa: E402
 
 @pytest.fixture(scope="session")
 def odd(spark):

@@ -6,8 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import odd_texts
-from helpers import words
+from helpers import odd_texts, words
 
 from turnwise.llm import byte_cnn, ngram_join, rans, substrings
 from turnwise.llm import words as W
