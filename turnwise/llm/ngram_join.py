@@ -23,6 +23,7 @@ TILE_SETS = 1 << 10  # sets of one side of a tile, about; of the first stage
 TILE_SHINGLES = 1 << 17  # shingles of one side of a tile, about; of the second stage
 LEAST_SIZE = 256  # what a smaller set counts there, so that a tile has few sets too
 PAIRS = 1 << 18  # pairs compared at once
+LARGE_TILE = 1 << 12  # pairs of a tile that is compared by itself
 
 
 def fewest_matches(n: int, threshold: float, tolerance: float) -> int:
@@ -59,7 +60,7 @@ def overlaps(values: np.ndarray, offsets: np.ndarray, a: np.ndarray, b: np.ndarr
     _, column, seen = np.unique(values, return_inverse=True, return_counts=True)
     shared = seen[column] > 1
     owner, column = owner[shared], column[shared]
-    if len(a) > 8 * n:
+    if len(a) > 8 * n and n <= 4 * TILE_SETS:
         # Many pairs: products of the sets' incidence matrices, some thousand shingles at a time.
         _, column = np.unique(column, return_inverse=True)
         order = np.argsort(column, kind="stable")
@@ -113,9 +114,12 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same tile, in pieces; rows are sorted by tile, then side. A tile with two sides pairs across."""
+    """Pairs of rows of the same tile, in pieces; rows are sorted by tile, then side. A tile with two sides pairs across.
+
+    Small tiles share a piece; a large one has pieces of its own, so that no matrix spans more rows than a tile has."""
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
-    held, size = [], 0
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
     for lo, hi in zip(edges[:-1], edges[1:]):
         left = lo + int((side[lo:hi] == 0).sum())
         if left == hi or left == lo:
@@ -123,12 +127,15 @@ def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np
             a, b = a + lo, b + lo
         else:
             a, b = np.repeat(np.arange(lo, left), hi - left), np.tile(np.arange(left, hi), left - lo)
-        for at in range(0, len(a), PAIRS):
-            held.append((a[at : at + PAIRS], b[at : at + PAIRS]))
-            size += len(held[-1][0])
-            if size >= PAIRS:
-                yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-                held, size = [], 0
+        if len(a) >= LARGE_TILE:
+            for at in range(0, len(a), PAIRS):
+                yield a[at : at + PAIRS], b[at : at + PAIRS]
+            continue
+        held.append((a, b))
+        size += len(a)
+        if size >= PAIRS:
+            yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held, size = [], 0
     if held:
         yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
 
