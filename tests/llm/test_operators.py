@@ -137,6 +137,23 @@ def test_links_of_a_large_group_in_many_tiles(spark, monkeypatch):
     assert 200 < len(pairs) < 1770
 
 
+def test_links_of_few_texts_in_several_blocks(spark, monkeypatch):
+    """Groups of two and three near copies, cut into more blocks than they have texts: an empty block adds no pairs."""
+    import random
+
+    rng = random.Random(1)
+    texts = []
+    for group in range(24):
+        words = [str(rng.randint(0, 10**6)) for _ in range(100)]
+        for copy in range(2 + group % 2):
+            texts.append(" ".join([*words[:99], f"e{copy}"]))
+    monkeypatch.setattr(ngram_join, "TILE_SHINGLES", 60)
+    monkeypatch.setattr(ngram_join, "LEAST_SIZE", 1)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.row.doc_id: (r.class_id, r.n_links) for r in ngram_join.link_documents(docs).collect()}
+    assert got == dict(enumerate(helpers.classes(list(range(len(texts))), helpers.links(texts))))
+
+
 def test_quality_rules(odd, none):
     rows = texts_of(odd)
     judged = perplexity.judge_quality(odd)

@@ -113,8 +113,9 @@ def labels_of(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of the same tile, in pieces; rows are sorted by tile, then side. A tile with two sides pairs across.
+def _pairs(group: np.ndarray, side: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same tile, in pieces; rows are sorted by tile, then side. A tile of a block with itself (``own``) pairs
+    all its rows, any other pairs across: none if one of its blocks is empty.
 
     Small tiles share a piece; a large one has pieces of its own, so that no matrix spans more rows than a tile has."""
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
@@ -122,7 +123,7 @@ def _pairs(group: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np
     size = 0
     for lo, hi in zip(edges[:-1], edges[1:]):
         left = lo + int((side[lo:hi] == 0).sum())
-        if left == hi or left == lo:
+        if own[lo]:
             a, b = np.triu_indices(hi - lo, 1)
             a, b = a + lo, b + lo
         else:
@@ -220,6 +221,10 @@ def _nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return one.to_numpy(), two.to_numpy()
 
 
+def _meets_itself(table: pa.Table) -> np.ndarray:
+    return table.column("low").to_numpy() == table.column("high").to_numpy()
+
+
 def _scan(width: int, n_values: int):
     def begin():
         def step(column):
@@ -299,7 +304,7 @@ def link_documents(
     def prune_tile(table, number, side):
         values = _fixed(table.column("hashes"), np.uint16, n_values)
         one, two = _nodes(table)
-        pairs = [prune(values, a, b, threshold, tolerance) for a, b in _pairs(number, side)]
+        pairs = [prune(values, a, b, threshold, tolerance) for a, b in _pairs(number, side, _meets_itself(table))]
         a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.empty(0, np.int64) for i in (0, 1))
         label = labels_of(len(one), a, b)
         at = np.flatnonzero(label != np.arange(len(one)))
@@ -330,7 +335,7 @@ def link_documents(
         n = len(one)
         links = np.zeros(n, np.int64)
         found = []
-        for a, b in _pairs(number, side):
+        for a, b in _pairs(number, side, _meets_itself(table)):
             a, b = prune(hashes, a, b, threshold, tolerance)
             if not len(a):
                 continue
