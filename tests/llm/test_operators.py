@@ -212,6 +212,32 @@ def test_model_is_modified_kneser_ney(spark):
         assert abs(p.sum() - 1) < 1e-4
 
 
+def test_absent_grams_are_not_found(spark):
+    """Many grams of one language: none is taken for another, of its own or of another language."""
+    import numpy as np
+
+    n = 1 << 20
+    trained = spark.range(n).select(
+        F.lit(perplexity.ORDER).alias("ord"), F.lit("en").alias("lang"), (F.col("id") * 2).alias("gram"), (1 / (F.col("id") + 2)).alias("p"), F.lit(1.0).alias("back")
+    )
+    model = perplexity.model_of(trained)
+    out = []
+    for lang in ("en", "de"):
+        seed = spark.range(1).select(F.xxhash64(F.lit("language"), F.lit(lang)).alias("s")).first().s
+        grams = np.arange(2 * n, dtype=np.uint64)
+        out.append(np.exp(model.score(np.full(2 * n, seed).astype(np.int64).view(np.uint64), grams)))
+    assert np.allclose(out[0][::2], 1 / (np.arange(n) + 2), rtol=1e-5)
+    assert np.allclose(out[0][1::2], 1 / 256) and np.allclose(out[1], 1 / 256)
+
+
+def test_grams_that_are_not_broadcast_are_joined(odd, monkeypatch):
+    columns = ["n_words", "kept", "perplexity", "lower", "upper"]
+    expected = plain(perplexity.judge_quality(odd), *columns)
+    for most in (0, 200):
+        monkeypatch.setattr(perplexity, "SHARED", most)
+        assert plain(perplexity.judge_quality(odd), *columns) == expected
+
+
 def test_token_counts(odd, none, tokenizer, monkeypatch):
     monkeypatch.setattr(separators, "BLOCK_IDS", 64)  # many blocks a file, and documents over many blocks
     library = Tokenizer.from_file(tokenizer)

@@ -18,7 +18,8 @@ from turnwise.llm.words import Words, arrow_bytes, chunks, find_words, run_hashe
 from turnwise.sources.scratch import land, scratch_path
 
 ORDER = 4
-SLOT_BITS = 21  # an order of the model has at most 2**SLOT_BITS entries, whatever the corpus
+SHARED = 1 << 21  # grams, the most frequent ones, that are broadcast at most; all others are joined, with the same result
+UNIT = float(1 << 24)  # log probabilities are added up in whole numbers of this part, so in any order
 SPREAD = 4.0  # bands end this many times the distance from median to quartile away from the median,
 ERRORS = 3.5  # and, as few bytes say little, this many standard errors of a text's mean further out
 BASE_WORDS = 20
@@ -168,8 +169,8 @@ def _discounts(grams: DataFrame) -> DataFrame:
 
 
 def train(counts: DataFrame) -> DataFrame:
-    """``ord``, ``lang``, ``gram``, ``p`` and ``back`` of every gram: the probability of its last byte after the others, and the
-    weight of shorter contexts after the whole gram (1 if nothing follows it).
+    """``ord``, ``lang``, ``gram``, ``n``, ``p`` and ``back`` of every gram: its count (null for a mere context), the probability of
+    its last byte after the others, and the weight of shorter contexts after the whole gram (1 if nothing follows it).
 
     The highest order takes counts; each lower one counts the distinct bytes found before its grams. Discounts are
     estimated for each language and order."""
@@ -193,7 +194,7 @@ def train(counts: DataFrame) -> DataFrame:
             grams = grams.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["lang", "suffix"])
             shorter = F.col("q")
         p = (F.col("n") - F.col("less")) / F.col("total") + F.col("weight") * shorter
-        here = land(grams.select("lang", "gram", p.alias("p")), scratch_path(spark, f"model-{order}"))
+        here = land(grams.select("lang", "gram", "n", p.alias("p")), scratch_path(spark, f"model-{order}"))
         # A gram one byte shorter is the context of this order's grams.
         weights = contexts.select("lang", F.col("context").alias("gram"), F.col("weight").alias("back"))
         out.append((order - 1, below, weights))
@@ -202,12 +203,12 @@ def train(counts: DataFrame) -> DataFrame:
     rows = []
     for order, grams, weights in out:
         if grams is None:  # the empty context
-            rows.append(weights.select(F.lit(0).alias("ord"), "lang", "gram", F.lit(1.0).alias("p"), "back"))
+            rows.append(weights.select(F.lit(0).alias("ord"), "lang", "gram", F.lit(None).cast("bigint").alias("n"), F.lit(1.0).alias("p"), "back"))
         elif weights is None:
-            rows.append(grams.select(F.lit(order).alias("ord"), "lang", "gram", "p", F.lit(1.0).alias("back")))
+            rows.append(grams.select(F.lit(order).alias("ord"), "lang", "gram", "n", "p", F.lit(1.0).alias("back")))
         else:
             both = grams.join(weights, ["lang", "gram"], "full")
-            rows.append(both.select(F.lit(order).alias("ord"), "lang", "gram", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("back", F.lit(1.0)).alias("back")))
+            rows.append(both.select(F.lit(order).alias("ord"), "lang", "gram", "n", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("back", F.lit(1.0)).alias("back")))
     made = rows[0]
     for more in rows[1:]:
         made = made.unionByName(more)
@@ -216,18 +217,18 @@ def train(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """For each order: sorted slots of (language, gram) hashes, with log probabilities and log weights of shorter contexts."""
+    """For each order: sorted 64-bit keys of (language, gram), with log probabilities and log weights of shorter contexts."""
 
-    slots: list[np.ndarray]
+    keys: list[np.ndarray]
     log_p: list[np.ndarray]
     log_back: list[np.ndarray]
 
     def find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slots = self.slots[order]
-        if not len(slots):
+        known = self.keys[order]
+        if not len(known):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(slots, keys), len(slots) - 1)
-        return at, slots[at] == keys
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return at, known[at] == keys
 
     def score(self, seed: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Log probability of the last byte of each gram of the highest order: the longest gram the model has, times
@@ -236,66 +237,87 @@ class Model:
         todo = np.arange(len(grams))
         for order in range(ORDER, 0, -1):
             part = grams[todo] & np.uint64((1 << 8 * order) - 1)
-            at, found = self.find(order, _slots(order, seed[todo], part))
+            at, found = self.find(order, gram_keys(order, seed[todo], part))
             found &= np.isfinite(self.log_p[order][at]) if len(self.log_p[order]) else found
             out[todo[found]] += self.log_p[order][at[found]]
             todo = todo[~found]
             if not len(todo):
                 return out
             context = (grams[todo] & np.uint64((1 << 8 * order) - 1)) >> np.uint64(8)
-            at, found = self.find(order - 1, _slots(order - 1, seed[todo], context))
+            at, found = self.find(order - 1, gram_keys(order - 1, seed[todo], context))
             if found.any():
                 out[todo[found]] += self.log_back[order - 1][at[found]]
         out[todo] += np.log(1 / 256)
         return out
 
 
-def _slots(order: int, seed: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    mixed = scramble((gram + np.uint64(order << 56)) ^ seed)
-    return (mixed >> np.uint64(64 - SLOT_BITS)).astype(np.uint32)
+def gram_keys(order: int, seed: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """Of one language, different for different grams; of several, equal with the chance of 64-bit hashes."""
+    return scramble((gram + np.uint64(order << 56)) ^ seed)
 
 
 def model_of(trained: DataFrame) -> Model:
-    """Puts the grams into slots inside tasks, keeps the likeliest of those that share one, and fetches the arrays: at most
-    ``2**SLOT_BITS`` entries an order, of 20 bytes each on their way."""
-    source = trained.select("ord", F.xxhash64(F.lit("language"), "lang").alias("seed"), "gram", "p", "back")
-
-    def run(batches):
-        for batch in batches:
-            seed = batch.column("seed").to_numpy().view(np.uint64)
-            gram = batch.column("gram").to_numpy().astype(np.uint64)
-            order = batch.column("ord").to_numpy()
-            slot = np.zeros(len(order), np.int64)
-            for k in np.unique(order):
-                slot[order == k] = _slots(int(k), seed[order == k], gram[order == k])
-            with np.errstate(divide="ignore"):
-                log_p, log_back = np.log(batch.column("p").to_numpy()), np.log(batch.column("back").to_numpy())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order), pa.array(slot.astype(np.int32)), pa.array(log_p.astype(np.float32)), pa.array(log_back.astype(np.float32))],
-                ["ord", "slot", "p", "back"],
-            )
-
-    slotted = source.mapInArrow(run, "ord int, slot int, p float, back float").groupBy("ord", "slot").agg(F.max("p").alias("p"), F.max("back").alias("back"))
-    got = slotted.toArrow()
-    order = got.column("ord").to_numpy()
-    slot, p, back = (got.column(c).to_numpy() for c in ("slot", "p", "back"))
+    """Fetches all rows it is given, of 28 bytes each on their way."""
+    got = trained.select("ord", F.xxhash64(F.lit("language"), "lang").alias("seed"), "gram", "p", "back").toArrow()
+    order, seed, gram, p, back = (got.column(c).to_numpy() for c in ("ord", "seed", "gram", "p", "back"))
     model = Model([], [], [])
     for k in range(ORDER + 1):
         mine = np.flatnonzero(order == k)
-        mine = mine[np.argsort(slot[mine])]
-        model.slots.append(slot[mine].astype(np.uint32))
-        model.log_p.append(p[mine])
-        model.log_back.append(back[mine])
+        keys = gram_keys(k, seed[mine].astype(np.int64).view(np.uint64), gram[mine].astype(np.uint64))
+        mine, keys = mine[np.argsort(keys)], np.sort(keys)
+        with np.errstate(divide="ignore"):
+            model.keys.append(keys)
+            model.log_p.append(np.log(p[mine].astype(np.float64)))
+            model.log_back.append(np.log(back[mine].astype(np.float64)))
     return model
 
 
+def split_grams(trained: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Grams of the highest order: at most ``SHARED``, those of the greatest counts, and the rest, if there is one."""
+    grams = trained.where(F.col("ord") == ORDER)
+    bits = F.length(F.bin("n"))
+    sizes = {r.bits: r.grams for r in grams.groupBy(bits.alias("bits")).agg(F.count("*").alias("grams")).collect()}  # 64 rows at most
+    least, room = 65, SHARED
+    for bit in sorted(sizes, reverse=True):
+        if sizes[bit] > room:
+            return grams.where(bits >= least), grams.where(bits < least)
+        least, room = bit, room - sizes[bit]
+    return grams, None
+
+
+def _missing(words: Words, known: Vocabulary, found: np.ndarray) -> list[pa.Array]:
+    """For each text, its distinct grams that were not found, and how often it has each."""
+    miss = np.flatnonzero(~found)
+    first = np.searchsorted(miss, known.first)
+    size = np.diff(first)[known.inverse]
+    at = np.repeat(first[known.inverse] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    text = np.repeat(words.text_of(), size).astype(np.uint64) << np.uint64(8 * ORDER)
+    pairs, many = np.unique(text | known.grams[miss[at]], return_counts=True)
+    bounds = np.arange(len(words.offsets), dtype=np.uint64) << np.uint64(8 * ORDER)
+    offsets = pa.array(np.searchsorted(pairs, bounds).astype(np.int32))
+    grams = (pairs & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64)
+    return [pa.ListArray.from_arrays(offsets, pa.array(grams)), pa.ListArray.from_arrays(offsets, pa.array(many.astype(np.int64)))]
+
+
+def _with_rest(judged: DataFrame, rest: DataFrame) -> DataFrame:
+    """Adds what the grams that were not broadcast say. Equal texts of a language share a key and are joined once."""
+    once = judged.where(F.size("grams") > 0).groupBy("key").agg(*[F.first(c).alias(c) for c in ("lang", "grams", "many")])
+    pairs = once.select("key", "lang", F.explode(F.arrays_zip("grams", "many")).alias("pair")).select("key", "lang", "pair.*")
+    pairs = pairs.withColumnsRenamed({"grams": "gram", "many": "times"})
+    said = F.round(F.log("p") * UNIT).cast("long")
+    more = pairs.join(rest.select("lang", "gram", said.alias("each")), ["lang", "gram"]).groupBy("key").agg(F.sum(F.col("each") * F.col("times")).alias("more"))
+    return judged.join(more, "key", "left").withColumn("said", F.col("said") + F.coalesce("more", F.lit(0)))
+
+
 def judge_quality(
     docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, spread: float = SPREAD, errors: float = ERRORS
 ) -> DataFrame:
     """``row`` (struct of a document's columns), ``n_words``, the base counts, ``base_failed``, ``perplexity``, ``lower``, ``upper`` and
     ``kept``: not base_failed, and within its language's bands.
 
-    The model is counted by Spark over all texts: tasks add up the grams of their chunks, and only sums are shuffled. Bands come
+    The model is counted by Spark over all texts: tasks add up the grams of their chunks, and only sums are shuffled. As it is of
+    the texts it judges, it has all their grams: the ``SHARED`` most frequent ones are broadcast, and if there are more, those of
+    each text that are not among them are joined to the model. Sums are of whole numbers, the same either way. Bands come
     from all log perplexities of a language: the median, ``spread`` times the distance to the quartile on either side, and
     ``errors`` standard errors of the text's own mean, estimated from the language's texts too.
     A null language is one of its own. Null and empty texts have no words, no perplexity and fail the base rules. Repeated
@@ -304,17 +326,21 @@ def judge_quality(
     keep = list(docs.columns if keep is None else keep)
     language = F.concat(F.lit("="), F.col(f"`{lang}`"))  # distinct from the empty string that stands for null
     language = F.coalesce(language, F.lit(""))
-    model = model_of(train(gram_counts(docs, text, language)))
-    shared = spark.sparkContext.broadcast(model)
+    often, rest = split_grams(land(train(gram_counts(docs, text, language)), scratch_path(spark, "model")))
+    shared = spark.sparkContext.broadcast(model_of(often))
+    body = F.col(f"`{text}`")
+    key = F.struct(F.xxhash64(language, body).alias("one"), F.xxhash64(F.lit(7), language, body).alias("two")) if rest is not None else F.lit(0)
     source = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         language.alias("lang"),
         F.xxhash64(F.lit("language"), language).alias("seed"),
-        F.col(f"`{text}`").alias("text"),
+        key.alias("key"),
+        body.alias("text"),
     )
     counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = source.select("row", "lang", *[F.lit(0).cast("long").alias(c) for c in [*counted, "steps"]], F.lit(0.0).alias("surprise")).schema
-    schema["surprise"].nullable = True
+    numbers = [F.lit(0).cast("long").alias(c) for c in [*counted, "steps", "said"]]
+    lists = [F.array(F.lit(0).cast("long")).alias(c) for c in ("grams", "many")]
+    schema = source.select("row", "lang", "key", *numbers, *lists).schema
 
     def run(batches):
         model = shared.value
@@ -325,23 +351,32 @@ def judge_quality(
                 hashes = words.hashes()
                 base = base_counts(column, words, hashes)
                 seeds, language = np.unique(part.column("seed").to_numpy(), return_inverse=True)
-                surprise, steps = np.full(len(words.offsets) - 1, np.nan), np.zeros(len(words.offsets) - 1, np.int64)
+                texts = len(words.offsets) - 1
+                said, steps = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(texts + 1, np.int32)), pa.array([], pa.int64()))
+                missing = [none, none]
                 if len(words):
                     known = spell(words, hashes, language)
                     size = np.diff(known.first)
                     seed = np.repeat(seeds.view(np.uint64)[known.language], size)
-                    each = segment_reduce(np.add, model.score(seed, known.grams), known.first, 0.0)
-                    total = segment_reduce(np.add, each[known.inverse], words.offsets, 0.0)
+                    at, found = model.find(ORDER, gram_keys(ORDER, seed, known.grams))
+                    value = np.zeros(len(seed), np.int64)
+                    value[found] = np.rint(model.log_p[ORDER][at[found]] * UNIT).astype(np.int64)
+                    each = segment_reduce(np.add, value, known.first, 0)
+                    said = segment_reduce(np.add, each[known.inverse], words.offsets, 0)
                     steps = segment_reduce(np.add, size[known.inverse], words.offsets, 0)
-                    said = steps > 0
-                    surprise[said] = -total[said] / steps[said]
+                    if not found.all():
+                        missing = _missing(words, known, found)
                 arrays = [pa.array(words.counts.astype(np.int64)), *[pa.array(base[c].astype(np.int64)) for c in counted[1:]]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("lang"), *arrays, pa.array(steps), pa.array(surprise, from_pandas=True)],
-                    ["row", "lang", *counted, "steps", "surprise"],
+                    [part.column("row"), part.column("lang"), part.column("key"), *arrays, pa.array(steps), pa.array(said), *missing],
+                    ["row", "lang", "key", *counted, "steps", "said", "grams", "many"],
                 )
 
     judged = land(source.mapInArrow(run, schema), scratch_path(spark, "perplexity"))
+    if rest is not None:
+        judged = land(_with_rest(judged, rest).drop("grams", "many"), scratch_path(spark, "perplexity"))
+    judged = judged.withColumn("surprise", F.when(F.col("steps") > 0, -F.col("said") / UNIT / F.col("steps")))
     said = judged.where("surprise is not null")
     quartiles = said.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.5, 0.75], 10000).alias("q"))
     off = F.abs(F.col("surprise") - F.col("q")[1]) * F.sqrt("steps")
