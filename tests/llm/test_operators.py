@@ -400,3 +400,16 @@ def test_byte_network_on_odd_rows(odd, none, labels):
         constant = byte_cnn.train(docs, some, F.lit(True), updates=5)
         assert len({r.score for r in byte_cnn.score_quality(odd, constant).collect()}) == 1
     assert byte_cnn.score_quality(none, network).count() == 0
+
+
+def test_byte_network_learns_from_the_ends_of_long_texts(spark):
+    """The only difference stands after 45,000 bytes."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(11_000))[:45_000] + ("" if i % 2 else " #%&|" * 100) for i in range(32)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    quality = spark.createDataFrame([(i, i % 2) for i in range(32)], "doc_id bigint, quality int")
+    network = byte_cnn.train(docs, quality, F.lit(True), updates=100)
+    score = {r.row.doc_id: r.score for r in byte_cnn.score_quality(docs, network).collect()}
+    assert min(score[i] for i in range(1, 32, 2)) > max(score[i] for i in range(0, 32, 2)) + 0.5

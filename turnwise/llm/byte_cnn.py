@@ -23,7 +23,6 @@ EMBED, WIDTH, STRIDE, FILTERS, HIDDEN = 8, 6, 2, 24, 16
 HALF = 128
 STEPS = HALF // STRIDE  # filter positions in a half-chunk
 SAMPLE = 2000  # labelled documents learned from at most
-SAMPLE_BYTES = 2560  # of a longer text, a round of training takes so many bytes from a place of its own; scoring takes all
 UPDATES, BATCH, RATE = 560, 32, 0.005  # however many documents there are to learn from
 TILE = 64  # halves convolved at once
 
@@ -138,43 +137,57 @@ class Network:
             out[lo:hi, FILTERS:] = np.einsum("hsf->hf", values) / STEPS
         return out
 
+    def hidden_values(self, flat: np.ndarray, upto: np.ndarray, first: np.ndarray, second: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """Of every chunk."""
+        halves = self.halves(flat, upto, tables)
+        features = np.concatenate(
+            [np.maximum(halves[first, :FILTERS], halves[second, :FILTERS]), (halves[first, FILTERS:] + halves[second, FILTERS:]) / 2], axis=1
+        )
+        return np.maximum(features @ self.hidden + self.hidden_bias, 0)
+
     def score(self, data: np.ndarray, at: np.ndarray, tables: list[np.ndarray] | None = None) -> np.ndarray:
         """Probability of label 1 for each text."""
         flat, upto = layout(data, at)
-        halves = self.halves(flat, upto, tables or self.tables())
         first, second, text = chunk_pairs(upto)
-        features = np.concatenate(
-            [np.maximum(halves[first, :FILTERS], halves[second, :FILTERS]), (halves[first, FILTERS:] + halves[second, FILTERS:]) / 2], axis=1
-        )
-        hidden = np.maximum(features @ self.hidden + self.hidden_bias, 0)
+        hidden = self.hidden_values(flat, upto, first, second, tables or self.tables())
         pooled = np.maximum.reduceat(hidden, np.searchsorted(text, np.arange(len(upto) - 1)), axis=0)
         logit = pooled @ self.out + self.out_bias + self.shift
         return 1 / (1 + np.exp(-logit.astype(np.float64)))
 
     def gradients(self, flat: np.ndarray, upto: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
-        """Of the mean log loss of a batch."""
-        n, span = len(flat) // STRIDE, STRIDE * EMBED
-        padded = np.concatenate([flat, np.zeros(WIDTH - STRIDE, np.uint8)])
-        pieces = self.pieces(flat)
-        values = self.convolve(pieces, upto).reshape(-1, STEPS, FILTERS)
-        top = values.argmax(axis=1)
-        most, mean = np.take_along_axis(values, top[:, None], 1)[:, 0], values.mean(axis=1)
+        """Of the mean log loss of a batch of whole texts. The forward pass takes all chunks, as scoring does; what goes back goes
+        through the chunks that hold a text's hidden values, ``HIDDEN`` of a text at most, so memory follows the number of texts."""
+        span = STRIDE * EMBED
         first, second, text = chunk_pairs(upto)
-        left = most[first] >= most[second]
-        features = np.concatenate([np.where(left, most[first], most[second]), (mean[first] + mean[second]) / 2], axis=1)
-        hidden = np.maximum(features @ self.hidden + self.hidden_bias, 0)
-        begin = np.searchsorted(text, np.arange(len(label)))
-        pooled = np.maximum.reduceat(hidden, begin, axis=0)
+        hidden = self.hidden_values(flat, upto, first, second, self.tables())
+        pooled = np.maximum.reduceat(hidden, np.searchsorted(text, np.arange(len(label))), axis=0)
         p = 1 / (1 + np.exp(-(pooled @ self.out + self.out_bias)))
         d_logit = ((p - label) / len(label)).astype(np.float32)
         # Each text's hidden value comes from the first chunk that reaches it.
-        d_hidden = np.zeros_like(hidden)
         reached = (hidden == pooled[text]) & (hidden > 0)
-        chunk = np.arange(len(text))
+        holders = []
         for h in range(HIDDEN):
-            hit = chunk[reached[:, h]]
+            hit = np.flatnonzero(reached[:, h])
             texts, at = np.unique(text[hit], return_index=True)
-            d_hidden[hit[at], h] = d_logit[texts] * self.out[h]
+            holders.append((hit[at], texts))
+        chosen = np.unique(np.concatenate([[0], *[hit for hit, _ in holders]]).astype(np.int64))
+        d_hidden = np.zeros((len(chosen), HIDDEN), np.float32)
+        for h, (hit, texts) in enumerate(holders):
+            d_hidden[np.searchsorted(chosen, hit), h] = d_logit[texts] * self.out[h]
+        # The chosen chunks, each with the half that its filters see on into.
+        begin, wide = first[chosen], second[chosen] - first[chosen]
+        size = np.minimum(begin + wide + 2, upto[1:][text[chosen]]) - begin
+        upto = np.concatenate(([0], np.cumsum(size)))
+        flat = flat.reshape(-1, HALF)[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])].reshape(-1)
+        first, second = upto[:-1], upto[:-1] + wide
+        n = len(flat) // STRIDE
+        padded = np.concatenate([flat, np.zeros(WIDTH - STRIDE, np.uint8)])
+        pieces = self.pieces(flat)
+        values = self.convolve(pieces, upto).reshape(-1, STEPS, FILTERS)
+        top = values.argmax(axis=1)
+        most, mean = np.take_along_axis(values, top[:, None], 1)[:, 0], values.mean(axis=1)
+        left = most[first] >= most[second]
+        features = np.concatenate([np.where(left, most[first], most[second]), (mean[first] + mean[second]) / 2], axis=1)
         d_features = d_hidden @ self.hidden.T
         d_most, d_mean = np.zeros_like(most), np.zeros_like(mean)
         part = d_features[:, :FILTERS]
@@ -214,10 +227,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 5, upd
             if step == updates:
                 break
             mine = order[lo : lo + BATCH]
-            parts = []
-            for i in mine:
-                skip = random.integers(0, max(1, len(texts[i]) - SAMPLE_BYTES + 1))
-                parts.append(texts[i][skip : skip + SAMPLE_BYTES])
+            parts = [texts[i] for i in mine]
             at = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
             flat, upto = layout(np.frombuffer(b"".join(parts), np.uint8), at)
             step += 1
@@ -232,14 +242,13 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 5, upd
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPLE, updates: int = UPDATES) -> Network:
-    """Learns from at most ``sample`` labelled documents, in one task, where numpy keeps to the task's core. With fewer than two
+    """Learns from all bytes of at most ``sample`` labelled documents, in one task, where numpy keeps to the task's core. With fewer than two
     labels, every score is the share of label 1."""
     texts, counts = labelled_texts(docs, labels, "quality", learn, sample)
     share = (counts.get(1, 0) + 0.5) / (sum(counts.values()) + 1)
     if not counts.get(0) or not counts.get(1):
         return Network.constant(share)
-    # No more bytes of a text than training has use for.
-    rows = texts.select("doc_id", "label", F.substring(F.col("text").cast("binary"), 1, 16 * SAMPLE_BYTES).alias("text"))
+    rows = texts.select("doc_id", "label", F.col("text").cast("binary").alias("text"))
 
     def run(batches):
         held = sorted(((r["doc_id"], r["label"], r["text"] or b"") for batch in batches for r in batch.to_pylist()), key=lambda r: r[0])
