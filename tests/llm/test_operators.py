@@ -154,6 +154,26 @@ def test_links_of_few_texts_in_several_blocks(spark, monkeypatch):
     assert got == dict(enumerate(helpers.classes(list(range(len(texts))), helpers.links(texts))))
 
 
+def test_links_at_a_lower_threshold(spark):
+    """Bands follow the threshold: pairs just above 0.5 are found too."""
+    import random
+
+    rng = random.Random(2)
+    texts = []
+    for _ in range(60):
+        words = [str(rng.randint(0, 10**6)) for _ in range(100)]
+        texts += [" ".join(words), " ".join(words[: 68 + len(texts) % 4] + [str(rng.randint(0, 10**6)) for _ in range(32 - len(texts) % 4)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.row.doc_id: (r.class_id, r.n_links) for r in ngram_join.link_documents(docs, threshold=0.5).collect()}
+    pairs = helpers.links(texts, 0.5)
+    assert got == dict(enumerate(helpers.classes(list(range(len(texts))), pairs)))
+    assert len(pairs) >= 30
+    assert ngram_join.bands_for(0.8) == (35, 5)
+    for threshold in (0, 0.001, 1):
+        with pytest.raises(ValueError):
+            ngram_join.bands_for(threshold)
+
+
 def test_quality_rules(odd, none):
     rows = texts_of(odd)
     judged = perplexity.judge_quality(odd)

@@ -17,7 +17,9 @@ from turnwise.sources.scratch import land, scratch_path
 
 THRESHOLD = 0.8
 TOLERANCE = 1e-7  # a pair is dropped when its chance of reaching the threshold is below this
-BANDS, ROWS = 35, 5  # a pair at 0.8 shares no band in 1 of 10**6 cases, at 0.85 in 1 of 10**9
+MISS = 1e-6  # chance that a pair at the threshold shares no band
+BANDS, ROWS = 35, 5  # those of 0.8, where a pair at 0.85 is missed in 1 of 10**9 cases; fewest bands and most rows of any threshold
+VALUES = 400  # MinHash values of a text at most
 STEP = 25  # MinHash values compared at a time
 TILE_SETS = 1 << 10  # sets of one side of a tile, about; of the first stage
 TILE_SHINGLES = 1 << 17  # shingles of one side of a tile, about; of the second stage
@@ -26,6 +28,20 @@ PAIRS = 1 << 18  # pairs compared at once
 LARGE_TILE = 1 << 12  # pairs of a tile that is compared by itself
 
 
+def bands_for(threshold: float) -> tuple[int, int]:
+    """Bands and rows with which a pair at the threshold is missed with a chance of ``MISS`` at most, with as many rows as ``VALUES``
+    allows. Thresholds that need more values even with one row are refused."""
+    from math import ceil, log, log1p
+
+    if not 0 < threshold < 1:
+        raise ValueError(f"the threshold has to be between 0 and 1: {threshold}")
+    for rows in range(ROWS, 0, -1):
+        bands = max(BANDS, ceil(log(MISS) / log1p(-(threshold**rows))))
+        if bands * rows <= VALUES:
+            return bands, rows
+    raise ValueError(f"{VALUES} MinHash values do not reach a threshold of {threshold}")
+
+
 def fewest_matches(n: int, threshold: float, tolerance: float) -> int:
     """The least number of equal values among ``n`` with which the similarity may still reach the threshold.
 
@@ -225,19 +241,19 @@ def _meets_itself(table: pa.Table) -> np.ndarray:
     return table.column("low").to_numpy() == table.column("high").to_numpy()
 
 
-def _scan(width: int, n_values: int):
+def _scan(width: int, n_bands: int, n_rows: int):
     def begin():
         def step(column):
             sets = text_shingles(column, width)
             one, two = fingerprints(sets)
-            values = minhash(sets, n_values)
+            values = minhash(sets, n_bands * n_rows)
             bands = []
-            for k in range(BANDS):
+            for k in range(n_bands):
                 mixed = np.full(len(values), k + 1, np.uint64)
-                for i in range(k * ROWS, (k + 1) * ROWS):
+                for i in range(k * n_rows, (k + 1) * n_rows):
                     mixed = join_hash(mixed, values[:, i].astype(np.uint64))
                 bands.append(signed(scramble(mixed)))
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * BANDS + 1, BANDS, dtype=np.int32)), pa.array(np.stack(bands, 1).reshape(-1)))
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) * n_bands + 1, n_bands, dtype=np.int32)), pa.array(np.stack(bands, 1).reshape(-1)))
             short = values.astype(np.uint16)
             node = pa.StructArray.from_arrays([pa.array(signed(one)), pa.array(signed(two))], ["one", "two"])
             return [node, pa.array(sets.counts.astype(np.int64)), bands, pa.array([r.tobytes() for r in short], pa.binary())]
@@ -273,14 +289,15 @@ def link_documents(
     4. Components of the exact links give the classes."""
     spark = docs.sparkSession
     keep = list(docs.columns if keep is None else keep)
-    n_values = BANDS * ROWS
+    n_bands, n_rows = bands_for(threshold)
+    n_values = n_bands * n_rows
     body, own = F.col(f"`{text}`"), F.col(f"`{doc_id}`").cast("long")
     row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
     key = F.xxhash64(own, body).alias("key")
     source = docs.select(row, own.alias("doc_id"), key, body.alias("text"))
     fields = "node struct<one: bigint, two: bigint>, size bigint, bands array<bigint>, hashes binary"
     scanned = land(
-        annotate(source.select("row", "doc_id", "key", "text"), "text", _scan(width, n_values), fields, keep=["row", "doc_id", "key"]).select(
+        annotate(source.select("row", "doc_id", "key", "text"), "text", _scan(width, n_bands, n_rows), fields, keep=["row", "doc_id", "key"]).select(
             "row.*", "node", "size", "bands", "hashes"
         ),
         scratch_path(spark, "minhash"),
