@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import byte_cnn, decontaminate, mixing, ngram_join, perplexity, separators, substrings, token_files, toxicity, url_rules
+from turnwise.llm import (
+    alignment,
+    byte_cnn,
+    decontaminate,
+    mixing,
+    ngram_join,
+    periodic,
+    perplexity,
+    separators,
+    simhash,
+    substrings,
+    token_files,
+    toxicity,
+    url_rules,
+)
 from turnwise.llm.labelled import fold
 from turnwise.sources.scratch import land, scratch_path
 
@@ -96,6 +110,48 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    aligned = alignment.align_tokens(table(spark, sf_dir, "documents"), *files, keep=["doc_id"])
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    counted = alignment.count_links(aligned.withColumn("groups_sha256", digest), *files)
+    return counted.select("row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.link_fingerprints(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of which one in ten goes on, from some word to its end, with the words from there over and over. ``docs`` has ``doc_id`` and ``text``."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    found = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    n, g = F.size("words"), F.floor(h / 10)
+    a = g % F.greatest(n, F.lit(1))
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    root = F.slice("words", (a + 1).cast("int"), p.cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), a.cast("int")), again), " ")
+    return docs.withColumn("words", found).select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(with_planted_runs(docs), keep=["doc_id"]).withColumn("most", periodic.greatest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "row.doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "most.start",
+        "most.length",
+        "most.period",
+        F.floor(1000 * F.col("most.length") / F.col("most.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substrings": op2_substrings,
@@ -107,6 +163,9 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_decontaminate": op9_decontaminate,
     "op10_byte_cnn": op10_byte_cnn,
+    "op11_alignment": op11_alignment,
+    "op12_simhash": op12_simhash,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {
