@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,13 +33,39 @@ def test_mean_of_known_words_in_place_and_by_join(spark, broadcast_bytes):
     assert norms[0] == pytest.approx(0.5**0.5) and norms[3] == 0.0
 
 
-def test_both_ways_agree_on_real_turns(spark):
+def test_every_limit_gives_equal_bits_on_real_turns(spark):
+    """All vectors broadcast, none, those of the 30 or so most frequent words."""
     flat, words = inputs.kept_turns(spark, SF), inputs.word_vectors(spark, SF)
-    ways = [vectors.turn_embeddings(flat, words, 64, b).orderBy("conv_id", "turn").collect() for b in (1 << 28, 0)]
-    assert len(ways[0]) == len(ways[1]) > 0
-    for a, b in zip(*ways):
-        assert (a.conv_id, a.turn, a.n_tokens, a.n_known) == (b.conv_id, b.turn, b.n_tokens, b.n_known)
-        assert a.embedding == pytest.approx(b.embedding, abs=1e-6)
+    limits = (1 << 28, 0, 30 * 64 * 8)
+    ways = [vectors.turn_embeddings(flat, words, 64, b).orderBy("conv_id", "turn").collect() for b in limits]
+    assert len(ways[0]) > 0 and any(r.n_known > 5 for r in ways[0])
+    assert ways[0] == ways[1] == ways[2]
+    # And they are the means, restated.
+    known = {r.word: np.array(r.vector) for r in words.collect()}
+    texts = flat.select("conv_id", "turn", vectors.words(F.col("text")).alias("tokens")).orderBy("conv_id", "turn").collect()
+    for got, said in zip(ways[0], texts):
+        found = [known[t] for t in said.tokens if t in known]
+        assert got.embedding == pytest.approx(np.mean(found, axis=0) if found else [0] * 64, abs=1e-6)
+
+
+def test_frequent_words_do_not_reach_the_join(spark):
+    turns_ = spark.range(2000).select(
+        F.col("id").alias("conv_id"), F.lit(0).alias("turn"), F.concat(F.lit("the w"), F.col("id")).alias("text")
+    )
+    table_ = spark.range(2000).select(F.concat(F.lit("w"), F.col("id")).alias("word"))
+    table_ = table_.union(spark.createDataFrame([("the",)], "word string")).withColumn("vector", F.array(F.lit(0.1)))
+    whole = vectors._embed_with_rest(turns_, table_.select("word", F.array(F.lit(1).cast("bigint")).alias("vector")), 1, 1.0, 1)
+    assert {tuple(r.embedding) for r in whole.collect()} == {(1.0,)} and {r.n_known for r in whole.collect()} == {2}
+    partial = [p for p in whole.inputFiles() if "/sums-" in p]
+    missing = spark.read.parquet(*partial).select(F.inline("missing")).groupBy("word").agg(F.sum("n").alias("n"))
+    assert missing.filter("word = 'the' or n > 1").isEmpty() and missing.count() == 2000
+
+
+def test_values_that_are_no_numbers_are_an_error(spark):
+    for value in (float("nan"), float("inf"), None):
+        odd = spark.createDataFrame([("a", [1.0, value])], "word string, vector array<double>")
+        with pytest.raises(ValueError):
+            vectors.turn_embeddings(turns(spark), odd, 2)
 
 
 @pytest.mark.parametrize("broadcast_bytes", [vectors.BROADCAST_BYTES, 0])
@@ -58,19 +85,63 @@ def test_training_refuses_a_vocabulary_that_does_not_fit(spark, monkeypatch):
         vectors.train_word2vec(vectors.sentences(turns(spark)), min_count=1)
 
 
-def test_similar_words_are_near(spark):
-    """Two kinds of sentences: words of one kind are nearer to each other than to those of the other."""
-    import numpy as np
+def two_kinds(spark, n=6000):
+    """Sentences of two kinds: one of four names amid words that only occur with names of its kind."""
+    import random
+
+    rng = random.Random(1)
+    names = (["red", "green", "blue", "pink"], ["cat", "dog", "cow", "pig"])
+    rows = []
+    for i in range(n):
+        amid = [f"{'ab'[i % 2]}{rng.randrange(12)}" for _ in range(4)]
+        rows.append((i, [*amid[:2], rng.choice(names[i % 2]), *amid[2:]]))
+    return spark.createDataFrame(rows, "i int, tokens array<string>"), names
 
-    rows = [(i, "red green blue yellow" if i % 2 else "cat dog cow horse") for i in range(400)]
-    df = spark.createDataFrame(rows, "i int, text string").select(F.split("text", " ").alias("tokens"))
-    model = vectors.train_word2vec(df, vector_size=12, epochs=10)
-    got = {r.word: np.array(r.vector) for r in vectors.word_vectors(model).collect()}
+
+def test_similar_words_are_near(spark):
+    """Names of one kind are nearer to each other than to any of the other, by a margin."""
+    df, names = two_kinds(spark)
+    got = {r.word: np.array(r.vector) for r in vectors.word_vectors(vectors.train_word2vec(df, vector_size=12)).collect()}
 
     def near(a, b):
         return got[a] @ got[b] / np.linalg.norm(got[a]) / np.linalg.norm(got[b])
 
-    assert min(near("red", "blue"), near("cat", "cow")) > max(near("red", "cow"), near("cat", "blue"))
+    within = min(near(a, b) for kind in names for a in kind for b in kind)
+    across = max(near(a, b) for a in names[0] for b in names[1])
+    assert within > across + 0.4
+
+
+def test_vectors_follow_from_data_and_seed_alone(spark):
+    df, _ = two_kinds(spark, 900)
+
+    def trained(df, seed=42):
+        model = vectors.train_word2vec(df, vector_size=8, epochs=2, seed=seed, num_partitions=1)
+        return {r.word: r.vector for r in vectors.word_vectors(model).collect()}
+
+    once = trained(df.repartition(1))
+    for n in (4, 8):
+        assert trained(df.repartition(n)) == once
+    assert trained(df.orderBy(F.desc("i")).coalesce(3)) == once
+    assert trained(df, seed=1) != once
+
+
+def test_frequent_words_are_left_out_now_and_then(spark):
+    rows = [(["the"] * 3 + [f"w{i % 200}"],) for i in range(6000)]
+    df = spark.createDataFrame(rows, "tokens array<string>")
+    known = vectors.vocabulary(df)
+    dealt = vectors.dealt_sentences(df, 4)
+    kept = vectors.subsampled(dealt, known, 24000, 3, 0.1, 42).collect()
+    counts = {}
+    for r in kept:
+        for t in r.tokens:
+            counts[t] = counts.get(t, 0) + 1
+    chance = (0.1 / 0.75) ** 0.5 + 0.1 / 0.75
+    assert len(kept) == 6000 and counts["the"] == pytest.approx(18000 * chance, rel=0.05)
+    assert all(counts[f"w{i}"] == 30 for i in range(200))
+    assert vectors.subsampled(dealt, known, 24000, 3, 0.0, 42).count() == 6000
+    # Few occurrences are never left out.
+    monkey = vectors.subsampled(dealt, known, 24000, 10**6, 0.1, 42).select(F.size("tokens")).distinct().collect()
+    assert [r[0] for r in monkey] == [4]
 
 
 def test_no_vectors_at_all(spark):
