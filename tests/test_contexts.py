@@ -70,6 +70,29 @@ def test_only_the_last_turns_are_shuffled(spark, tmp_path):
     assert "partial_sum" in plan and plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("broadcast_rows", [1 << 20, 0])
+def test_parts_before_the_tail_are_left_where_they_are(spark, broadcast_rows):
+    """Long conversations among short ones; turns without a number, and parts of uneven sizes."""
+    rows = [(c, t, "human", f"w{t}") for c in range(3) for t in range(0, (3, 2500, 9000)[c])]
+    rows += [(3, None, "gpt", "none"), *[(3, t * 700, "gpt", "x y") for t in range(40)], *[(4, t, "gpt", "x") for t in range(1024, 1030)]]
+    flat = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    _, cut = python_contexts([(c, -1 if t is None else t, r, x) for c, t, r, x in rows], 6)
+    assert {r.conv_id: r.context for r in contexts.tail_contexts(flat, 6).collect()} == cut
+    cuts = {r.conv_id: r.cut for r in contexts.tail_cuts(flat, 7).collect()}
+    assert cuts == {1: 2, 2: 8, 3: 22}
+    kept = contexts.recent_parts(flat, 7, broadcast_rows)
+    assert kept.columns == flat.columns
+    counts = {r.conv_id: r.n for r in kept.groupBy("conv_id").agg(F.count("*").alias("n")).collect()}
+    # Of the conversation of 9,000 turns there are those of its last part.
+    assert counts == {0: 3, 1: 2500 - 2048, 2: 9000 - 8192, 3: 7, 4: 6}
+
+
+def test_turns_are_counted_without_their_texts(spark, tmp_path):
+    spark.createDataFrame(conversations(), SCHEMA).write.parquet(f"{tmp_path}/c")
+    plan = contexts.tail_cuts(spark.read.parquet(f"{tmp_path}/c"), 7)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan and "GreaterThanOrEqual(turn,1024)" in plan
+
+
 def test_a_tail_needs_a_token(spark):
     with pytest.raises(ValueError):
         contexts.tail_contexts(spark.createDataFrame([], SCHEMA), 0)

@@ -51,3 +51,23 @@ def test_texts_are_not_shuffled(spark, tmp_path):
     plan = splits.assign_splits(spark.read.parquet(f"{tmp_path}/c"))._jdf.queryExecution().executedPlan().toString()
     main = plan.split("Subquery")[0]
     assert "Exchange" not in main
+
+
+def test_stable_splits_do_not_change_as_data_grows(spark, tmp_path):
+    ids = spark.range(4000).select(F.col("id").alias("conv_id"))
+
+    def assigned(df, *ratios):
+        return {r.conv_id: r.split for r in splits.assign_stable_splits(df, *ratios).collect()}
+
+    all_of_them = assigned(ids)
+    some = assigned(ids.filter("conv_id % 3 = 0").repartition(5))
+    assert some == {k: all_of_them[k] for k in some}
+    counts = {s: list(all_of_them.values()).count(s) for s in ("train", "val", "test")}
+    assert abs(counts["train"] - 3200) < 100 and abs(counts["val"] - 400) < 80 and sum(counts.values()) == 4000
+    more = assigned(ids, 0.85, 0.1)
+    assert all(more[k] == "train" for k, s in all_of_them.items() if s == "train")
+    assert set(assigned(ids, 0.0, 1.0).values()) == {"val"} and set(assigned(ids, 1.0, 0.0).values()) == {"train"}
+    with pytest.raises(ValueError):
+        splits.assign_stable_splits(ids, 0.9, 0.2)
+    plan = splits.assign_stable_splits(ids)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan

@@ -111,3 +111,18 @@ def test_row_wise_steps_run_on_a_stream(spark, flat, tmp_path):
     )
     assert job.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+def test_conversations_that_do_not_fit_in_a_value_are_named(spark, tmp_path):
+    rows = [(c, t, "human", "x" * 10 * c) for c in range(6) for t in range(3)] + [(9, 0, None, None)]
+    flat = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    size = {c: 3 * (5 + 10 * c + 64) for c in range(6)}
+    got = {r.conv_id: (r.n_turns, r.n_bytes) for r in turns.too_long(flat, size[3]).collect()}
+    assert got == {c: (3, size[c]) for c in (4, 5)}
+    assert turns.require_nestable(flat) is flat
+    with pytest.raises(ValueError, match=rf"2 conversations are longer than {size[3]} bytes: 5 \(3 turns, {size[5]} bytes\), 4 "):
+        turns.require_nestable(flat, size[3])
+    flat.write.parquet(f"{tmp_path}/flat")
+    plan = turns.too_long(spark.read.parquet(f"{tmp_path}/flat"), 1)._jdf.queryExecution().executedPlan().toString()
+    exchange = plan[plan.index("Exchange") :]
+    assert plan.count("Exchange") == 1 and "partial_sum" in exchange  # of numbers that were summed before

@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from turnwise.functions import fixed
 from turnwise.functions.numbers import round_half_even
 from turnwise.functions.text import capitalize, last_tokens, n_tokens, strip, tail_tokens, tokens
+from turnwise.operators.turns import PART_TURNS, part_no
+from turnwise.sources.scratch import land, scratch_path
 
 # A strategy makes a context out of a transcript and its tokens. It may wrap a pandas UDF.
 Strategy = Callable[[Column, Column], Column]
 
+BROADCAST_CUTS = 1 << 20  # long conversations whose cuts are broadcast; about 50 bytes each
+
 
 def rendered(role: Column, text: Column) -> Column:
     """One turn as a line of the transcript."""
@@ -71,13 +75,42 @@ def contexts(
     )
 
 
+def tail_cuts(turns: DataFrame, n_turns: int) -> DataFrame:
+    """``(conv_id, cut)`` of conversations whose last ``n_turns`` turns all lie in the parts from number ``cut`` on, where ``cut`` is not
+    their first part. Turns are counted by part, so only numbers are shuffled, and parts of a conversation are added up from its end."""
+    after = Window.partitionBy("conv_id").orderBy(F.desc("part_no")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The filter reaches the scan, where it skips nearly all of a table of ordinary conversations.
+    later = turns.filter(F.col("turn") >= PART_TURNS).groupBy("conv_id", part_no()).agg(F.count("*").alias("n"))
+    enough = later.withColumn("upto", F.sum("n").over(after)).filter(F.col("upto") >= n_turns)
+    return enough.groupBy("conv_id").agg(F.max("part_no").alias("cut"))
+
+
+def recent_parts(turns: DataFrame, n_turns: int, broadcast_rows: int = BROADCAST_CUTS) -> DataFrame:
+    """Flat turns without the parts of long conversations that end before the last ``n_turns`` turns; all others as they are.
+
+    Up to ``broadcast_rows`` cuts are broadcast, and turns stay where they are. Beyond, the turns of long conversations meet their cut by
+    conversation and part, so that they spread over as many tasks as they have parts."""
+    cuts = land(tail_cuts(turns, n_turns), scratch_path(turns.sparkSession, "cuts"))
+    n = cuts.count()
+    if not n:
+        return turns
+    marked = turns.withColumn("part_no", part_no())
+    if n <= broadcast_rows:
+        joined = marked.join(F.broadcast(cuts), "conv_id", "left")
+        return joined.filter(F.col("cut").isNull() | (F.col("part_no") >= F.col("cut"))).select(*turns.columns)
+    counted = marked.groupBy("conv_id", "part_no").agg(F.count("*").alias("n"))
+    gone = counted.join(cuts, "conv_id").filter(F.col("part_no") < F.col("cut")).select("conv_id", "part_no")
+    return marked.join(gone, ["conv_id", "part_no"], "left_anti").select(*turns.columns)
+
+
 def tail_contexts(
     turns: DataFrame, truncation_tokens: int = fixed.TRUNCATION_TOKENS, min_turns: int = 1
 ) -> DataFrame:
     """The ``baseline`` context of conversations with ``min_turns`` turns, from flat turns: ``(conv_id, context)``.
 
-    A rendered turn has at least one token, so the last ``truncation_tokens`` + 1 turns decide. The rank limit drops
-    all others before the shuffle: no task holds a whole conversation, however long it is."""
+    A rendered turn has at least one token, so the last ``truncation_tokens`` + 1 turns decide. Turns are counted by conversation and part
+    first, and parts that end before those turns are left out where they lie. The rank limit drops all but those turns from each
+    input partition before the shuffle. What one task gets of a conversation is bounded: those turns, and less than a part more."""
     if truncation_tokens < 1:
         raise ValueError(f"a tail needs at least one token, got {truncation_tokens}")
     # The reverse of the order turns have in a nested conversation, with roles and texts between equal numbers.
@@ -86,7 +119,7 @@ def tail_contexts(
     whole = Window.partitionBy("conv_id")
     keep = max(truncation_tokens + 1, min_turns)
     recent = (
-        turns.select("conv_id", "turn", "role", "text")
+        recent_parts(turns.select("conv_id", "turn", "role", "text"), keep)
         .withColumn("nth", F.row_number().over(latest))
         .filter(F.col("nth") <= keep)
         .withColumn("n", rendered_tokens(F.col("role"), F.col("text")))

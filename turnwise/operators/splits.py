@@ -8,12 +8,15 @@ partitioning.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.functions import fixed
 
 _HEX_DIGITS = 4
+_POINTS = 1 << 32  # values of the eight hex digits that are compared with a ratio
 
 
 def shuffle_key(conv_id: Column, seed: int = fixed.SEED) -> Column:
@@ -96,5 +99,25 @@ def assign_splits(
     )
 
 
+def assign_stable_splits(
+    conversations: DataFrame,
+    train_ratio: float = fixed.TRAIN_RATIO,
+    val_ratio: float = fixed.VAL_RATIO,
+    seed: int = fixed.SEED,
+) -> DataFrame:
+    """Add ``split`` and ``shuffle_key``, each conversation by itself: its key, as a number between 0 and 1, is compared with the ratios.
+
+    Nothing is counted, sorted or moved, so this runs on streams too, and a conversation stays in its split however the data grows: with
+    the same seed, more train never takes from val what it did not have before. Sizes are those of ``assign_splits`` up to
+    sampling error, the square root of n * ratio * (1 - ratio). A null ``conv_id`` has no split."""
+    if min(train_ratio, val_ratio) < 0 or train_ratio + val_ratio > 1:
+        raise ValueError(f"ratios of {train_ratio} and {val_ratio} leave no room")
+    keyed = conversations.withColumn("shuffle_key", shuffle_key(F.col("conv_id"), seed))
+    point = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("bigint")
+    first, second = (F.lit(math.floor(r * _POINTS)) for r in (train_ratio, train_ratio + val_ratio))
+    split = F.when(point < first, "train").when(point < second, "val").when(point.isNotNull(), "test")
+    return keyed.withColumn("split", split)
+
+
 def split_sizes(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("split").agg(F.count("*").alias("n"))
