@@ -9,17 +9,24 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import fixed
 from turnwise.operators.turns import TURNS_TYPE, at_least, clean_turns
+from turnwise.sources.arrays import recut_arrays
 from turnwise.sources.scratch import land
 
 RAW_SCHEMA = "id string, conversations array<struct<from:string,value:string>>"
 TURN_SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
 
-def read_raw(spark: SparkSession, data_files: Sequence[str], json_lines: bool = False) -> DataFrame:
+def read_raw(
+    spark: SparkSession, data_files: Sequence[str], json_lines: bool = False, recut: str | None = None
+) -> DataFrame:
     """JSON conversations ``{"id", "conversations": [{"from", "value"}, …]}``; other fields are not read.
 
-    Files that hold one JSON array each are read by one task per file, so land them once with
-    ``land_conversations``. Files with one object per line (``json_lines``) are split like any text."""
+    Files with one object per line (``json_lines``) are split like any text. Files that hold one JSON array each are read by
+    one task per file, unless ``recut`` names a folder for their objects: then they are read in ranges by as many tasks as
+    their size asks for, and cut into objects once (``recut_arrays``)."""
+    if recut is not None and not json_lines:
+        objects = recut_arrays(spark, data_files, recut)
+        return objects.select(F.from_json("value", RAW_SCHEMA).alias("object")).select("object.*")
     return spark.read.schema(RAW_SCHEMA).option("multiLine", not json_lines).json(list(data_files))
 
 
