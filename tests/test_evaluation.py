@@ -64,3 +64,23 @@ def test_metrics_of_splits_count_missing_ones(spark):
         ("data/val_size", 0.0),
         ("data/test_size", 0.0),
     }
+
+
+def test_texts_are_joined_once_and_not_sorted_in_groups(spark, tmp_path):
+    scored(spark).write.parquet(f"{tmp_path}/scored")
+    df = evaluation.eval_wide(spark.read.parquet(f"{tmp_path}/scored"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    optimized = df._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("ReadSchema") == 0 and plan.count("question:string") == 1  # one scan reads it
+    assert plan.count("answer:string") == 3
+
+
+def test_questions_without_a_row_of_the_first_strategy(spark):
+    rows = scored(spark).filter("not (conv_id = 1 and qa_idx = 1 and strategy = 'oracle')")
+    rows = rows.filter("not (conv_id = 2 and strategy in ('oracle', 'baseline'))")
+    got = {(r.conv_id, r.qa_idx): r for r in evaluation.eval_wide(rows).collect()}
+    assert set(got) == {(1, 0), (1, 1), (2, 0)}
+    assert {(r.question, r.ground_truth) for r in got.values()} == {("q", "a")}
+    assert got[2, 0].oracle_score is None and got[2, 0].compressed_answer == "c" and got[2, 0].baseline_answer is None
+    assert got[1, 1].baseline_score == 4.0 and got[1, 1].recovery_rate == 0.0

@@ -76,7 +76,7 @@ def test_whole_evaluation(spark, tmp_path):
     assert metrics["data/train_size"] == n_train and metrics["data/val_size"] == n_val
     words = {w for _, texts in order for t in texts for w in t.split()}
     assert metrics["word2vec/vocab_size"] == len(words)
-    assert metrics["eval/oracle/n_samples"] == 7 and len(metrics) == 13
+    assert metrics["eval/oracle/n_samples"] == 7 and metrics["eval/failed_calls"] == 0 and len(metrics) == 14
 
     def count():
         made = [f.name.split("-")[0] for f in calls.iterdir()]
@@ -127,11 +127,48 @@ def test_a_strategy_of_the_user_s_from_run_to_summary(spark, tmp_path):
     by = {r.method: r for r in summary}
     assert by["mine"].n_samples == by["oracle"].n_samples > 0
     assert 0 < by["mine"].avg_compression_ratio < by["baseline"].avg_compression_ratio
-    assert spark.read.parquet(f"{tmp_path}/run/metrics").count() == 16
+    assert spark.read.parquet(f"{tmp_path}/run/metrics").count() == 17
     sizes = {r.metric: r.value for r in spark.read.parquet(f"{tmp_path}/run/metrics").collect()}
     assert sum(sizes[f"data/{s}_size"] for s in ("train", "val", "test")) == sum(1 + i % 9 >= 4 for i in range(N))
 
 
+def test_the_test_split_a_dataset_and_failed_calls(spark, tmp_path):
+    """Questions for the test split; then the same conversations as a dataset. Every third answer fails."""
+    source, calls, root = tmp_path / "talks.json", tmp_path / "calls", str(tmp_path / "run")
+    source.write_text(json.dumps(talks()))
+    calls.mkdir()
+    given = models(calls)
+
+    def failing():
+        from turnwise.operators.inference import ModelError
+
+        def call(messages):
+            n = len(messages[-1]["content"].split())
+            if n % 3 == 0:
+                raise ModelError("busy")
+            return str(n)
+
+        return call
+
+    asked = Models(given.qa, failing, given.judge, in_flight=3, label="failing")
+    settings = Settings(train_ratio=0.2, val_ratio=0.3, truncation_tokens=9, vector_size=4, epochs=1, min_count=1, min_turns=4)
+    landed = land_conversations(read_raw(spark, [str(source)]), f"{root}/conversations", 4)
+    summary = {tuple(r) for r in run(landed, root, asked, "t", settings, split="test").collect()}
+    enriched = spark.read.parquet(f"{root}/qa")
+    assert {r.split for r in enriched.select("split").distinct().collect()} == {"test"}
+    n_test = enriched.count()
+    assert n_test > 3 and {r[3] for r in summary} == {n_test}
+    answers = spark.read.parquet(f"{root}/evaluations/t/answers").collect()
+    failed = [r for r in answers if r.status == "api_error"]
+    metrics = {r.metric: r.value for r in spark.read.parquet(f"{root}/metrics").collect()}
+    assert 0 < len(failed) < len(answers) == 3 * n_test and metrics["eval/failed_calls"] == len(failed)
+    again = run(landed, root, asked, "d", settings, dataset=f"{root}/qa/split=test").collect()
+    assert {tuple(r) for r in again} == summary
+    # Questions for another split leave those of the first.
+    generate_qa(spark, root, asked, settings, "val")
+    assert {r.split for r in spark.read.parquet(f"{root}/qa").select("split").distinct().collect()} == {"val", "test"}
+
+
 def test_without_qa_pairs_there_are_no_results(spark, tmp_path):
     rows = evaluate(spark, str(tmp_path), models(tmp_path), Settings(), "r")
     assert rows.isEmpty() and "oracle_score" in rows.columns

@@ -50,20 +50,35 @@ def with_derived(results: DataFrame) -> DataFrame:
 
 def eval_wide(scored: DataFrame, strategies: Sequence[str] = fixed.STRATEGIES) -> DataFrame:
     """One row per question from one row per question and strategy ``(conv_id, qa_idx, question, ground_truth,
-    strategy, answer, score, n_tokens)``, for the strategies named, whatever they are."""
-
-    def of(strategy: str, column: str) -> Column:
-        return F.first(F.when(F.col("strategy") == strategy, F.col(column)), ignorenulls=True)
+    strategy, answer, score, n_tokens)``, for the strategies named, whatever they are.
 
+    Only numbers are pivoted, summed up before the shuffle. Texts join them by key, each once: a strategy's answers from its own rows, the
+    question from those of the first strategy. Questions without a row of that are looked for first, by their keys; theirs come from
+    the first strategy they have. ``scored`` is read several times, so give this a written table."""
+    key = ["conv_id", "qa_idx"]
     carried = [c for c in ("conversation_id", "question", "ground_truth") if c in scored.columns]
-    wide = scored.groupBy("conv_id", "qa_idx").agg(
-        *[F.first(c).alias(c) for c in carried],
-        *[of(s, column).alias(f"{s}_{name}") for name, column in _PIVOTED for s in strategies],
+    nth = F.array_position(F.array(*[F.lit(s) for s in strategies]), F.col("strategy")) - 1
+    rows = scored.withColumn("nth", nth.cast("int")).filter(F.col("nth") >= 0)
+
+    def of(i: int, column: str) -> Column:
+        return F.max(F.when(F.col("nth") == i, F.col(column)))
+
+    wide = rows.groupBy(*key).agg(
+        F.min("nth").alias("first_of"),
+        *[of(i, column).alias(f"{s}_{name}") for name, column in _PIVOTED for i, s in enumerate(strategies)],
     )
+    lacking = wide.filter(F.col("first_of") > 0).select(*key, F.col("first_of").alias("nth"))
+    for i, s in enumerate(strategies):
+        answers = rows.filter(F.col("nth") == i)
+        wide = wide.join(answers.select(*key, *(carried if i == 0 else []), F.col("answer").alias(f"{s}_answer")), key, "left")
+    if not lacking.isEmpty():
+        others = rows.filter(F.col("nth") > 0).join(lacking, [*key, "nth"])
+        others = others.select(*key, *[F.col(c).alias(f"other_{c}") for c in carried])
+        wide = wide.join(others, key, "left").withColumns({c: F.coalesce(c, f"other_{c}") for c in carried})
     return with_derived(wide)
 
 
-_PIVOTED = (("score", "score"), ("answer", "answer"), ("tokens", "n_tokens"))
+_PIVOTED = (("score", "score"), ("tokens", "n_tokens"))
 
 
 def result_rows(wide: DataFrame, strategies: Sequence[str] = fixed.STRATEGIES) -> DataFrame:
@@ -138,5 +153,12 @@ def vocabulary_metric(vocabulary: DataFrame) -> DataFrame:
     )
 
 
+def failure_metric(n: DataFrame) -> DataFrame:
+    """``eval/failed_calls`` out of a table that counts them in ``n``."""
+    return n.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("value")).select(
+        F.lit("eval/failed_calls").alias("metric"), "value"
+    )
+
+
 def eval_count(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("n_results"))

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from turnwise.functions import fixed
 from turnwise.functions.parsing import QA_PAIRS_TYPE, clamp_score, extract_score, qa_json, qa_pairs
-
-OK = "ok"
-API_ERROR = "api_error"
+from turnwise.operators.inference import API_ERROR, OK
 
 
 def parse_qa(responses: DataFrame) -> DataFrame:
@@ -72,6 +70,11 @@ def resolve_answers(requests: DataFrame, responses: DataFrame, max_retries: int
     return attach(requests, found.select("request_id", F.col("raw_text").alias("answer")))
 
 
+def failed_calls(responses: DataFrame) -> DataFrame:
+    """One row: how many calls failed, whether they were tried again or not."""
+    return responses.agg(F.count_if(F.col("status") == API_ERROR).alias("n"))
+
+
 def unresolved(requests: DataFrame, responses: DataFrame, succeeded: Column) -> DataFrame:
     """Ids of requests without a successful attempt yet; what a next round or a rerun still has to send. Only ids meet."""
     return requests.select("request_id").join(

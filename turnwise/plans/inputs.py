@@ -50,6 +50,24 @@ def raw_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select(F.col("conv_id").cast("string").alias("id"), pairs.alias("conversations"))
 
 
+def as_arrays(objects: DataFrame) -> DataFrame:
+    """Lines of JSON arrays, one for each partition, out of ``value``, one JSON object a row."""
+
+    def listed(batches):
+        import pyarrow as pa
+
+        mark = "["
+        for batch in batches:
+            lines = []
+            for value in batch["value"].to_pylist():
+                lines.append(mark + value)
+                mark = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"], pa.string())], ["value"])
+
+    return objects.mapInArrow(listed, "value string")
+
+
 def with_qa(nested: DataFrame) -> DataFrame:
     """Questions: all human turns. Answers: the turn right after, if it is a reply, else none."""
     following = F.transform(
@@ -167,7 +185,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.result_rows(evaluation.eval_wide(scored(spark, sf_dir)))
+    rows = land(scored(spark, sf_dir), scratch_path(spark, "scored"))
+    return evaluation.result_rows(evaluation.eval_wide(rows))
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:

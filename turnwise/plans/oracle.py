@@ -274,6 +274,15 @@ _SELECTS = {
         "FROM turns GROUP BY conv_id"
     ),
     "eval_rows": "SELECT count(*) AS n_results FROM results",
+    "split_stable": (
+        "SELECT conv_id, CASE WHEN ('0x' || md5('42:' || conv_id)[:8])::BIGINT < floor(0.8::DOUBLE * 4294967296) THEN 'train' "
+        "WHEN ('0x' || md5('42:' || conv_id)[:8])::BIGINT < floor((0.8::DOUBLE + 0.1::DOUBLE) * 4294967296) THEN 'val' ELSE 'test' END AS split "
+        "FROM sizes WHERE n_turns >= 4"
+    ),
+    "conversation_bytes": (
+        "SELECT conv_id, count(*) AS n_turns, CAST(sum(coalesce(strlen(role), 0) + coalesce(strlen(text), 0) + 64) AS BIGINT) AS n_bytes "
+        "FROM conversations GROUP BY conv_id HAVING n_bytes > 1500"
+    ),
     "split_assign": "SELECT conv_id, split FROM splits",
     "position": (
         "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS position, turn "

@@ -28,6 +28,7 @@ from turnwise.plans import evaluation as plan
 from turnwise.plans import inputs
 from turnwise.settings import Settings
 from turnwise.sources import conversations as sources
+from turnwise.sources.buckets import write_buckets
 from turnwise.sources import splits as split_tables
 from turnwise.sources import tables
 from turnwise.sources import vectors as vector_files
@@ -77,10 +78,17 @@ def scan_fallback(spark, sf_dir):
 
 @query
 def flat_to_nested(spark, sf_dir):
-    nested = turns.nest_turns(sources.read_turns(spark, f"{sf_dir}/conversations.parquet"))
+    flat = turns.require_nestable(sources.read_turns(spark, f"{sf_dir}/conversations.parquet"))
+    nested = turns.nest_turns(flat)
     return nested.select("conv_id", F.size("turns").alias("n_turns"), _turns_text().alias("turns_text"))
 
 
+@query
+def conversation_bytes(spark, sf_dir):
+    """Conversations by size, as the guard of nesting sums them; a third of them or so is over the limit here."""
+    return turns.too_long(sources.read_turns(spark, f"{sf_dir}/conversations.parquet"), 1500)
+
+
 @query
 def nested_to_flat(spark, sf_dir):
     nested = turns.nest_turns(sources.read_turns(spark, f"{sf_dir}/conversations.parquet"))
@@ -226,9 +234,10 @@ def complete_qa(spark, sf_dir):
 
 @query
 def enrich_record(spark, sf_dir):
-    nested = inputs.conversations(spark, sf_dir)
-    stale = nested.withColumn("qa_pairs", F.array().cast(parsing.QA_PAIRS_TYPE))
-    return questions.enrich(stale, inputs.with_qa(nested)).select(
+    """Conversations in buckets by id; the pairs move to them."""
+    nested = inputs.conversations(spark, sf_dir).withColumn("qa_pairs", F.array().cast(parsing.QA_PAIRS_TYPE))
+    stale = write_buckets(nested, scratch_path(spark, "stale"), "conv_id")
+    return questions.enrich(stale, inputs.with_qa(stale)).select(
         "conv_id", F.size("turns").alias("n_turns"), _n_pairs()
     )
 
@@ -350,6 +359,11 @@ def split_assign(spark, sf_dir):
     return splits.assign_splits(inputs.kept_ids(spark, sf_dir)).select("conv_id", "split")
 
 
+@query
+def split_stable(spark, sf_dir):
+    return splits.assign_stable_splits(inputs.kept_ids(spark, sf_dir)).select("conv_id", "split")
+
+
 @query
 def position(spark, sf_dir):
     return turns.with_position(inputs.kept_turns(spark, sf_dir)).select("conv_id", "position", "turn")
@@ -517,7 +531,8 @@ def custom_strategies(spark, sf_dir):
     score = F.length("answer") % 11
     scored = answered.withColumn("score", F.coalesce(score, F.lit(0)).cast("double"))
     names = list(chosen)
-    summary = evaluation.method_summary(evaluation.result_rows(evaluation.eval_wide(scored, names), names), names)
+    wide = evaluation.eval_wide(land(scored, scratch_path(spark, "scored")), names)
+    summary = evaluation.method_summary(evaluation.result_rows(wide, names), names)
     return summary.withColumn("avg_compression_ratio", F.round("avg_compression_ratio", 6)).withColumn(
         "avg_qa_score", F.round("avg_qa_score", 6)
     )
@@ -525,13 +540,11 @@ def custom_strategies(spark, sf_dir):
 
 @query
 def scan_json_arrays(spark, sf_dir):
-    """The table as JSON arrays, one a file, read as one source."""
+    """The table as JSON arrays, one a file, read in ranges and re-cut into objects."""
     path = scratch_path(spark, "arrays")
-    raw = inputs.raw_conversations(spark, sf_dir)
-    part = F.pmod(F.xxhash64("id"), F.lit(8))
-    lines = raw.groupBy(part.alias("part")).agg(F.to_json(F.collect_list(F.struct("id", "conversations"))).alias("value"))
-    lines.select("value").repartition(8).write.text(path)
-    nested = sources.nested(sources.read_raw(spark, [path]))
+    objects = inputs.raw_conversations(spark, sf_dir).select(F.to_json(F.struct("id", "conversations")).alias("value"))
+    inputs.as_arrays(objects).write.text(path)
+    nested = sources.nested(sources.read_raw(spark, [path], recut=scratch_path(spark, "recut")))
     return nested.select("conversation_id", F.size("turns").alias("n_turns"))
 
 
@@ -573,7 +586,7 @@ def embedding_norm(spark, sf_dir):
 def batch_infer(spark, sf_dir):
     asked = inputs.answer_requests(spark, sf_dir)
     path = scratch_path(spark, "responses")
-    tables.append_responses(inference.batch_infer(asked, inputs.stand_ins().answer), path)
+    tables.append_responses(inference.batch_infer(asked, inputs.stand_ins().answer, in_flight=4), path)
     return tables.read_responses(spark, path)
 
 

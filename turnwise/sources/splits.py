@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from turnwise.functions import fixed
 from turnwise.functions.parsing import QA_PAIRS_TYPE
 from turnwise.operators.turns import TURNS_TYPE
+from turnwise.sources.buckets import default_buckets, open_buckets, write_buckets
 
 logger = logging.getLogger(__name__)
 
@@ -22,6 +23,17 @@ def write_splits(conversations: DataFrame, root: str, fmt: str = "parquet") -> N
     conversations.write.mode("overwrite").partitionBy("split").format(fmt).save(root)
 
 
+def write_bucketed_splits(conversations: DataFrame, root: str) -> None:
+    """``write_splits`` in buckets of ``conv_id``: what is joined to conversations later moves to them, not they to it. Any reader
+    of split folders reads these too."""
+    write_buckets(conversations, root, "conv_id", default_buckets(conversations.sparkSession, len(fixed.SPLITS)), "split")
+
+
+def read_bucketed_split(spark: SparkSession, root: str, split: str = "both") -> DataFrame:
+    wanted = ["val", "test"] if split == "both" else [split]
+    return open_buckets(spark, root).filter(F.col("split").isin(*wanted))
+
+
 def read_split(spark: SparkSession, root: str, split: str = "both", schema: str | None = None) -> DataFrame:
     """``val``, ``test`` or ``both``; other folders are pruned."""
     wanted = ["val", "test"] if split == "both" else [split]

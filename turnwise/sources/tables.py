@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.operators.inference import RESPONSE_SCHEMA
+from turnwise.sources.buckets import default_buckets, write_buckets
+
+CHUNKS = 16  # requests are sent in so many parts; no more than one of them is lost with a run
 
 
 def write_qa(enriched: DataFrame, path: str) -> None:
     enriched.write.mode("overwrite").parquet(path)
 
 
+def chunk_of(chunks: int = CHUNKS) -> Column:
+    """The chunk of a request, by its id."""
+    return F.pmod(F.xxhash64("request_id"), F.lit(chunks)).cast("int")
+
+
+def write_requests(requests: DataFrame, path: str, chunks: int = CHUNKS) -> DataFrame:
+    """Write requests once, in ``chunks`` folders by id and in buckets of ids within each, and go on from what was written. Joins by
+    request, to find what is pending and to put outcomes beside requests, then move ids and outcomes only, no prompt."""
+    buckets = default_buckets(requests.sparkSession, chunks)
+    return write_buckets(requests.withColumn("chunk", chunk_of(chunks)), path, "request_id", buckets, "chunk")
+
+
 def append_responses(responses: DataFrame, path: str) -> None:
     responses.write.mode("append").parquet(path)
 
