@@ -1,6 +1,7 @@
 """Every operator on odd rows (nulls, empty and very long texts, ties, repeated rows, clashing names) and on no rows at all."""
 
 import collections
+import math
 
 import helpers
 import pytest
@@ -384,28 +385,77 @@ def test_toxicity_on_odd_rows(odd, none, labels):
     assert toxicity.score_toxicity(none, index).count() == 0
 
 
-def test_nearest_examples_are_exact():
+def plain_cosines(texts, labels):
+    """Similarities of all texts, over all their words, with the frequencies of words in all texts and in those of either label."""
+    lists = [helpers.ALNUM.findall(helpers.lowered(t)) for t in texts]
+    seen = collections.Counter(w for words in lists for w in set(words))
+    toxic = collections.Counter(w for words, label in zip(lists, labels) if label for w in set(words))
+    n = [sum(1 for words, label in zip(lists, labels) if words and label == side) for side in (0, 1)]
+
+    def weight(word, times):
+        share = toxic[word] / n[1] / (max(seen[word] - toxic[word], 1) / n[0])
+        return (1 + math.log(times)) * math.log((1 + len(texts)) / seen[word]) * math.log2(2 + share)
+
+    vectors = []
+    for words in lists:
+        v = {w: weight(w, times) for w, times in collections.Counter(words).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        vectors.append({w: x / norm for w, x in v.items()})
+    return [[sum(x * v.get(w, 0.0) for w, x in u.items()) for v in vectors] for u in vectors]
+
+
+def test_nearest_examples_are_those_of_a_plain_cosine(spark):
+    """All texts are examples, in many small blocks: neighbours, similarities and votes, with and without themselves."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").cache()
+    rows = docs.orderBy("doc_id").collect()
+    ids = [r.doc_id for r in rows]
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    index = toxicity.build_index(docs, labels, F.lit(True), k=7, size=8)
+    assert sorted(index.ids) == [r.doc_id for r in rows if helpers.ALNUM.search(helpers.lowered(r.text))]
+    cosines = plain_cosines([r.text for r in rows], [int(d % 3 == 0) for d in ids])
+    got = {r.row.doc_id: r for r in toxicity.looked_up(docs, index, "text", ["doc_id"]).collect()}
+    alone = {r.row.doc_id: r for r in toxicity.looked_up(docs, index, "text", ["doc_id"], leave_out=True, shown=7).collect()}
+    for i, d in enumerate(ids):
+        if not helpers.ALNUM.search(helpers.lowered(rows[i].text)):
+            assert got[d].near == 0 and got[d].evidence == []
+            continue
+        assert got[d].near == pytest.approx(1.0)  # finds itself
+        for r, others in ((got[d], range(len(ids))), (alone[d], [j for j in range(len(ids)) if j != i])):
+            expected = sorted((cosines[i][j] for j in others), reverse=True)
+            assert [e.similarity for e in r.evidence] == pytest.approx([x for x in expected[: len(r.evidence)]])
+            assert all(e.similarity == pytest.approx(cosines[i][ids.index(e.doc_id)]) and e.label == int(e.doc_id % 3 == 0) for e in r.evidence)
+        assert d not in [e.doc_id for e in alone[d].evidence]
+        if len(alone[d].evidence) == 7:
+            weight = [(e.similarity / (1.1 - min(e.similarity, 1)), e.label) for e in alone[d].evidence]
+            toxic = sum(w * label for w, label in weight)
+            assert alone[d].votes == pytest.approx(math.log((toxic + 0.5) / (sum(w for w, _ in weight) - toxic + 0.5)))
+    docs.unpersist()
+
+
+def test_blocks_that_cannot_be_nearer_are_skipped():
+    """Without a look at every block, the nearest of random vectors are exact; ties go to the first examples."""
     import numpy as np
 
-    rng = np.random.default_rng(0)
-    terms, n = 30, 500
-    vectors = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    vectors = vectors.astype(np.float32)
-    blocks = -(-n // toxicity.BLOCK)
-    padded = np.zeros((blocks * toxicity.BLOCK, terms), np.float32)
-    padded[:n] = vectors
-    weights = padded.reshape(blocks, toxicity.BLOCK, terms).transpose(0, 2, 1)
-    index = toxicity.Index(np.arange(terms), np.ones(terms), weights, weights.max(axis=2).T, np.arange(n), rng.integers(0, 2, n), 7)
-    queries = vectors[:60]
-    best, who = index.nearest(queries)
-    everything = queries @ vectors.T
-    expected = -np.sort(-everything, axis=1)[:, :7]
-    assert np.allclose(np.maximum(best, 0), np.maximum(expected, 0), atol=1e-6)
-    for q in range(60):
-        assert all(abs(everything[q, e] - s) < 1e-6 for s, e in zip(best[q], who[q]) if s > 0)
-    left = index.nearest(queries, leave_out=np.arange(60))[1]
-    assert not (left == np.arange(60)[:, None]).any()
+    rng = np.random.default_rng(3)
+    n, terms, k = 700, 60, 9
+    dense = rng.random((n, terms)) * (rng.random((n, terms)) < 0.1)
+    dense[::7] = dense[0]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    term, example = np.nonzero(dense.T)
+    weight, block = dense.T[term, example], example // toxicity.BLOCK
+    begin = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1]))))
+    at = np.searchsorted(term[begin], np.arange(terms + 1))
+    index = toxicity.Index(
+        np.arange(terms), np.ones(terms), at, block[begin], np.maximum.reduceat(weight, begin), np.append(begin, len(term)),
+        example, weight, np.arange(n), np.zeros(n, int), k,
+    )
+    text, word = np.nonzero(dense[:50])
+    best, who = index.nearest(text, word, dense[text, word], 50)
+    everything = dense[:50] @ dense.T
+    for q in range(50):
+        order = np.lexsort((np.arange(n), -np.round(everything[q], 9)))[:k]
+        assert best[q] == pytest.approx(everything[q][order])
+        assert [w for w, s in zip(who[q], best[q]) if s > 0] == [o for o in order if everything[q][o] > 0]
 
 
 def test_byte_network_on_odd_rows(odd, none, labels):
