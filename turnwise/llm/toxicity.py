@@ -14,11 +14,11 @@ from turnwise.llm.labelled import labelled_texts
 from turnwise.llm.tasks import annotate
 from turnwise.llm.words import ALNUM, Words, chunks, find_words, signed
 
-EXAMPLES = 4000  # labelled documents in the index at most, whole and with all their words
+EXAMPLES = 2000  # labelled documents in the index at most, whole and with all their words
 NEIGHBOURS = 16
 BLOCK = 64  # examples that share a maximum
 SHOWN = 5  # neighbours given as evidence
-QUERIES = 256  # texts looked up at once
+QUERIES = 16  # texts looked up at once; bounds the postings that are in memory
 SLACK = 1e-6  # room for rounding in bounds
 
 
@@ -76,9 +76,15 @@ class Index:
 
         def look(chosen: np.ndarray) -> None:
             some = np.flatnonzero(chosen.reshape(-1)[cell])
-            place, of = spread(self.segment_at[segment[some]], np.diff(self.segment_at)[segment[some]])
-            at = text[row[some]][of] * found.shape[1] + self.example[place]
-            found.reshape(-1)[:] += np.bincount(at, weight[row[some]][of] * self.weight[place], found.size)
+            first, size = self.segment_at[segment[some]], np.diff(self.segment_at)[segment[some]]
+            upto = np.cumsum(size)
+            place = np.repeat(first - (upto - size), size)
+            place += np.arange(len(place))
+            at = np.repeat(text[row[some]] * found.shape[1], size)
+            at += self.example[place]
+            value = np.repeat(weight[row[some]], size)
+            value *= self.weight[place]
+            found.reshape(-1)[:] += np.bincount(at, value, found.size)
 
         first = min(blocks, -(-(self.k + 1) // self.size) + 1)
         edge = -np.partition(-bound, first - 1, axis=1)[:, first - 1 : first]
