@@ -3,6 +3,7 @@
 import collections
 import glob
 import os
+import random
 
 import duckdb
 import helpers
@@ -12,10 +13,12 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as contract
 import corpus_pipeline
+from turnwise.llm import perplexity
 from turnwise.llm.queries import END, ORACLE, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 LABELLED = "/root/testdata/sf0.01"
+LARGER = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +70,30 @@ def test_quality_rules_keep_clean_documents(spark):
     assert judged.agg(F.avg(F.col("kept").cast("int"))).first()[0] > 0.97
 
 
+def test_quality_rules_reject_texts_that_only_look_right(spark):
+    """Shuffled words, salad of the vocabulary, and gibberish, among all documents; the clean ones stay."""
+    rng = random.Random(5)
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text", "lang")
+    good = {r.doc_id for r in spark.read.parquet(f"{LARGER}/labels.parquet").where("quality = 1").collect()}
+    rows = [r for r in docs.where("text is not null").orderBy("doc_id").collect() if len(r.text.split()) >= 150]
+    clean = [r for r in rows if r.doc_id in good]
+    words = {lang: sorted({w for r in rows if r.lang == lang for w in r.text.split()}) for lang in {r.lang for r in rows}}
+    made = []
+    for i, r in enumerate(rng.sample(clean, 40)):
+        own = r.text.split()
+        shuffled = rng.sample(own, len(own))
+        salad = rng.choices(words[r.lang], k=len(own))
+        noise = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in own]
+        made += [(-3 * i - k, " ".join(w), r.lang) for k, w in enumerate((shuffled, salad, noise), 1)]
+    judged = perplexity.judge_quality(docs.unionAll(spark.createDataFrame(made, docs.schema)), keep=["doc_id"])
+    got = {r.doc_id: r for r in judged.select("row.doc_id", "kept", "base_failed").collect()}
+    for k, least in ((1, 0.95), (2, 1), (3, 1)):
+        gone = [not got[-3 * i - k].kept for i in range(40)]
+        assert sum(gone) >= least * len(gone), (k, sum(gone))
+    stays = [got[r.doc_id].kept for r in clean if not got[r.doc_id].base_failed]
+    assert sum(stays) >= 0.97 * len(stays)
+
+
 def test_token_queries(spark, documents, tokenizer):
     library = Tokenizer.from_file(tokenizer)
     start, expected = 0, []

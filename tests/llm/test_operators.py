@@ -183,54 +183,71 @@ def test_quality_rules(odd, none):
     for r in judged.collect():
         failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
         assert r.base_failed == failed
-        inside = r.perplexity is not None and r.lower <= r.perplexity <= r.upper
+        inside = r.perplexity is not None and r.lower <= r.perplexity <= r.upper and r.start_lower <= r.start_perplexity <= r.start_upper
         assert r.kept == (not failed and inside)
         assert (r.perplexity is None) == (r.n_words == 0)
     assert perplexity.judge_quality(none).count() == 0
 
 
 def test_model_is_modified_kneser_ney(spark):
-    """Against a plain version on a small text; and probabilities after a context add up to one."""
-    texts = ["abba abab ba", "abc cab ab ab ab", "bcb a"]
+    """Both folds' probabilities against a plain version on a small text."""
+    texts = ["abba abab ba", "abc cab ab ab ab", "bcb a", "cab  ba\nab abba.", "c"]
     docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
-    made = {(r.ord, r.gram): r.p for r in perplexity.train(perplexity.gram_counts(docs, "text", F.col("lang"))).collect() if r.ord}
+    folds = [r.fold for r in docs.orderBy("doc_id").select(perplexity.fold_of(F.col("text")).alias("fold")).collect()]
+    assert set(folds) == {0, 1}
+    made = {r.gram.to_bytes(perplexity.ORDER, "big").decode(): r for r in perplexity.train(perplexity.gram_counts(docs, "text", F.col("lang"))).collect()}
     n = perplexity.ORDER
-    counts = {n: collections.Counter()}
-    for word in " ".join(texts).split():
-        run = " " * (n - 1) + word + " "
-        counts[n].update(run[i : i + n] for i in range(len(word) + 1))
-    for order in range(n - 1, 0, -1):
-        counts[order] = collections.Counter(g[1:] for g in counts[order + 1])
-    expected = {}
-
-    def discount(order, c):
-        seen = collections.Counter(counts[order].values())
-        k = min(c, 3)
-        y = seen[1] / (seen[1] + 2 * seen[2]) if seen[1] + 2 * seen[2] else None
-        if y is None or not seen[k]:
-            return {1: 0.5, 2: 1.0, 3: 1.5}[k]
-        d = k - (k + 1) * y * seen[k + 1] / seen[k]
-        return d if 0 < d < k else {1: 0.5, 2: 1.0, 3: 1.5}[k]
-
-    for order in range(1, n + 1):
-        for gram, c in counts[order].items():
+    for fold in (0, 1):
+        counts = {n: collections.Counter()}
+        for text, its in zip(texts, folds):
+            run = " " * (n - 1) + " ".join(text.split()) + " "
+            if its == fold:
+                counts[n].update(run[i : i + n] for i in range(len(run) - n + 1))
+        for order in range(n - 1, 0, -1):
+            counts[order] = collections.Counter(g[1:] for g in counts[order + 1])
+
+        def discount(order, c):
+            seen = collections.Counter(counts[order].values())
+            k = min(c, 3)
+            usual = {1: 0.5, 2: 1.0, 3: 1.5}[k]
+            if not seen[1] + 2 * seen[2] or not seen[k]:
+                return usual
+            d = k - (k + 1) * seen[1] / (seen[1] + 2 * seen[2]) * seen[k + 1] / seen[k]
+            return d if 0 < d < k else usual
+
+        def probability(gram):
+            if not gram:
+                return 1 / 256
+            order, lower = len(gram), probability(gram[1:])
             same = {g: x for g, x in counts[order].items() if g[:-1] == gram[:-1]}
-            total = sum(same.values())
+            if not same:
+                return lower
+            c, total = counts[order][gram], sum(same.values())
             weight = sum(discount(order, x) for x in same.values()) / total
-            lower = expected[gram[1:]] if order > 1 else 1 / 256
-            expected[gram] = (c - discount(order, c)) / total + weight * lower
-    assert {(o, g) for o, g in made if made[o, g]} == {(len(g), int.from_bytes(g.encode(), "big")) for g in expected}
-    for gram, p in expected.items():
-        assert abs(made[len(gram), int.from_bytes(gram.encode(), "big")] - p) < 1e-12
+            return (c - discount(order, c) if c else 0) / total + weight * lower
 
-    model = perplexity.model_of(perplexity.train(perplexity.gram_counts(docs, "text", F.col("lang"))))
-    import numpy as np
+        for gram, row in made.items():
+            assert abs(row[f"p{fold}"] - probability(gram)) < 1e-12
+        assert any(not counts[n][gram] for gram in made)
+        context = collections.Counter(g[:-1] for g in counts[n]).most_common(1)[0][0]
+        assert abs(sum(probability(context + chr(b)) for b in range(256)) - 1) < 1e-9
+    assert sum(r.n for r in made.values()) == sum(len(" ".join(t.split())) + 1 for t in texts)
+
+
+def test_grams_of_pieces_are_those_of_the_text(monkeypatch):
+    import pyarrow as pa
 
-    seed = spark.range(1).select(F.xxhash64(F.lit("language"), F.lit("en")).alias("s")).first().s
-    for context in (b"   ", b" ab", b"xab", b"xyz", b"cab"):
-        grams = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
-        p = np.exp(model.score(np.full(256, seed).astype(np.int64).view(np.uint64), grams))
-        assert abs(p.sum() - 1) < 1e-4
+    from turnwise.llm.words import find_words
+
+    texts = ["ab c defg\nh i", "", None, "x", " y  zz ", "ü a b c d e f", "a" * 40 + " b"]
+    expected = []
+    for i, text in enumerate(texts):
+        run = b" " * (perplexity.ORDER - 1) + b"".join(w.encode() + b" " for w in (text or "").split())
+        expected += [(i, int.from_bytes(run[k : k + perplexity.ORDER], "big")) for k in range(len(run) - perplexity.ORDER + 1)]
+    for piece in (1, 3, 7, 16, 1 << 20):
+        monkeypatch.setattr(perplexity, "_PIECE", piece)
+        pieces = list(perplexity.spell(find_words(pa.array(texts, pa.string()))))
+        assert [(int(t), int(g)) for grams, of in pieces for t, g in zip(of, grams)] == expected
 
 
 def test_absent_grams_are_not_found(spark):
@@ -238,21 +255,20 @@ def test_absent_grams_are_not_found(spark):
     import numpy as np
 
     n = 1 << 20
-    trained = spark.range(n).select(
-        F.lit(perplexity.ORDER).alias("ord"), F.lit("en").alias("lang"), (F.col("id") * 2).alias("gram"), (1 / (F.col("id") + 2)).alias("p"), F.lit(1.0).alias("back")
-    )
-    model = perplexity.model_of(trained)
-    out = []
+    p = 1 / (F.col("id") + 2)
+    model = perplexity.model_of(spark.range(n).select(F.lit("en").alias("lang"), (F.col("id") * 2).alias("gram"), p.alias("p0"), (p / 2).alias("p1")))
     for lang in ("en", "de"):
         seed = spark.range(1).select(F.xxhash64(F.lit("language"), F.lit(lang)).alias("s")).first().s
-        grams = np.arange(2 * n, dtype=np.uint64)
-        out.append(np.exp(model.score(np.full(2 * n, seed).astype(np.int64).view(np.uint64), grams)))
-    assert np.allclose(out[0][::2], 1 / (np.arange(n) + 2), rtol=1e-5)
-    assert np.allclose(out[0][1::2], 1 / 256) and np.allclose(out[1], 1 / 256)
+        at, found = model.find(perplexity.gram_keys(np.array([seed]).view(np.uint64), np.arange(2 * n, dtype=np.uint64)))
+        assert (found == ((np.arange(2 * n) % 2 == 0) & (lang == "en"))).all()
+        if lang == "en":
+            for fold in (0, 1):
+                p = np.exp(model.said[fold, at[::2]] / perplexity.UNIT)
+                assert np.allclose(p, 1 / (np.arange(n) + 2) / (1 + fold), rtol=1e-5)
 
 
 def test_grams_that_are_not_broadcast_are_joined(odd, monkeypatch):
-    columns = ["n_words", "kept", "perplexity", "lower", "upper"]
+    columns = ["n_words", "kept", "perplexity", "lower", "upper", "start_perplexity", "start_lower", "start_upper"]
     expected = plain(perplexity.judge_quality(odd), *columns)
     for most in (0, 200):
         monkeypatch.setattr(perplexity, "SHARED", most)

@@ -1,11 +1,16 @@
 """Quality rules: base counts of a text, and n-gram perplexity under a modified Kneser-Ney model of its language.
 
-The model is over bytes within words: a word is its UTF-8 bytes and an end mark, after start marks. Distinct words of a
-chunk are weighed by how often they occur, so long texts cost little more than their vocabulary.
+The model is over bytes that run on from word to word: a text is the UTF-8 bytes of its words, an end mark after each, after start
+marks. So it sees how words follow each other, capitals and stops included, not only how they are spelled. No text is scored
+by its own counts: texts are in one of two folds by their hash, and each fold is scored by what the other one holds.
+
+There are two perplexities of a text: that of all its bytes, and that of the bytes words begin with. The second one tells how
+words follow each other, and little of how they are spelled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,19 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.shingles import segment_reduce
+from turnwise.llm.lookups import look_up
 from turnwise.llm.words import Words, arrow_bytes, chunks, find_words, run_hashes, scramble
 from turnwise.sources.scratch import land, scratch_path
 
 ORDER = 4
 SHARED = 1 << 21  # grams, the most frequent ones, that are broadcast at most; all others are joined, with the same result
 UNIT = float(1 << 24)  # log probabilities are added up in whole numbers of this part, so in any order
-SPREAD = 4.0  # bands end this many times the distance from median to quartile away from the median,
-ERRORS = 3.5  # and, as few bytes say little, this many standard errors of a text's mean further out
+DEVIATIONS = 7.0  # bands end this many standard deviations of a text of that language and length away from the median: names and
+START_DEVIATIONS = 4.5  # numbers weigh heavily among all bytes, and little among those that words begin with
 BASE_WORDS = 20
 BASE_REPEATED = 30
 REPEAT_WINDOW = 8
-_MARK = 0x20  # starts and ends words, and never occurs in one
+_MARK = 0x20  # ends words and comes before the first, and never occurs in one
+_PIECE = 1 << 20  # bytes of a text whose grams are taken at a time
+_LEAD = 2  # words that reach back at least ORDER - 1 bytes, marks included
 _FLUSH = 1 << 20
 
 _SYMBOL = np.zeros(256, bool)
@@ -75,40 +82,43 @@ def _distinct(key: np.ndarray) -> np.ndarray:
     return np.unique(scramble(key[:, 1] ^ scramble(key[:, 0].copy())), return_index=True)[1]
 
 
-@dataclass
-class Vocabulary:
-    """Distinct (language, word) of a chunk, spelled with marks: grams of the model stand at ``ends``."""
-
-    inverse: np.ndarray  # for each word of the chunk
-    counts: np.ndarray
-    language: np.ndarray  # of each distinct word
-    grams: np.ndarray  # ORDER bytes as an integer, oldest byte highest; one for each byte to be predicted
-    first: np.ndarray  # grams of distinct word i are first[i] to first[i + 1]
-
-
-def spell(words: Words, hashes: np.ndarray, language: np.ndarray) -> Vocabulary:
-    """``language`` is a number for each text of the chunk."""
-    own = language[words.text_of()]
-    _, at, inverse, counts = np.unique(
-        hashes ^ scramble(own.astype(np.uint64) + np.uint64(1)), return_index=True, return_inverse=True, return_counts=True
-    )
-    size = words.ends[at] - words.starts[at]
-    padded = size + ORDER  # start marks, bytes, end mark
-    begin = np.cumsum(padded) - padded
-    flat = np.full(int(padded.sum()), _MARK, np.uint64)
-    inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    flat[np.repeat(begin + ORDER - 1, size) + inside] = words.data[np.repeat(words.starts[at], size) + inside]
-    first = np.concatenate(([0], np.cumsum(size + 1)))
-    place = np.repeat(begin + ORDER - 1, size + 1) + np.arange(first[-1]) - np.repeat(first[:-1], size + 1)
-    grams = np.zeros(len(place), np.uint64)
-    for back in range(ORDER - 1, -1, -1):
-        grams = (grams << np.uint64(8)) | flat[place - back]
-    return Vocabulary(inverse, counts, own[at], grams, first)
+def spell(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of a chunk: grams (ORDER bytes as an integer, oldest byte highest), one for each byte to be predicted, and each one's text."""
+    size = words.ends - words.starts + 1  # with the end mark
+    upto = np.concatenate(([0], np.cumsum(size)))
+    owner = words.text_of()
+    lo = 0
+    while lo < len(words):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + _PIECE, "right")) - 1)
+        text = owner[max(lo - _LEAD, 0) : hi]
+        text = text[text >= owner[lo]]  # the lead is of the same text
+        at = np.arange(hi - len(text), hi)
+        lead = lo - at[0]
+        # Start marks before each text; before a text's rest they stand for what the lead makes out of reach.
+        begin = np.cumsum(size[at]) - size[at] + (ORDER - 1) * (text - text[0] + 1)
+        flat = np.full(int(begin[-1] + size[at[-1]]), _MARK, np.uint64)
+        letters = size[at] - 1
+        inside = np.arange(int(letters.sum())) - np.repeat(np.cumsum(letters) - letters, letters)
+        flat[np.repeat(begin, letters) + inside] = words.data[np.repeat(words.starts[at], letters) + inside]
+        told, begin, text = size[at][lead:], begin[lead:], text[lead:]
+        place = np.repeat(begin - (np.cumsum(told) - told), told) + np.arange(int(told.sum()))
+        grams = np.zeros(len(place), np.uint64)
+        for back in range(ORDER - 1, -1, -1):
+            grams = (grams << np.uint64(8)) | flat[place - back]
+        yield grams, np.repeat(text, told)
+        lo = hi
+
+
+def fold_of(text: Column) -> Column:
+    """0 or 1, the same for equal texts."""
+    return F.pmod(F.xxhash64(F.lit("fold"), text), F.lit(2))
 
 
 def gram_counts(docs: DataFrame, text: str, language: Column) -> DataFrame:
-    """``lang``, ``gram`` and ``n``: how often each gram of the highest order occurs in all texts."""
-    source = docs.select(language.alias("lang"), docs[f"`{text}`"].alias("text"))
+    """``lang``, ``gram``, ``n0`` and ``n1``: how often each gram of the highest order occurs in all texts of either fold."""
+    body = docs[f"`{text}`"]
+    source = docs.select(language.alias("lang"), fold_of(body).alias("fold"), body.alias("text"))
+    low = np.uint64(8 * ORDER)
 
     def run(batches):
         names: list[str] = []
@@ -122,9 +132,11 @@ def gram_counts(docs: DataFrame, text: str, language: Column) -> DataFrame:
             return distinct, np.bincount(inverse, weights=weights).astype(np.int64)
 
         def out(distinct, counts):
-            lang = pa.array([names[i] for i in (distinct >> np.uint64(8 * ORDER)).tolist()], pa.string())
+            owner = (distinct >> low).astype(np.int64)
+            lang = pa.DictionaryArray.from_arrays(pa.array(owner >> 1), pa.array(names, pa.string())).cast(pa.string())
             gram = (distinct & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([lang, pa.array(gram), pa.array(counts)], ["lang", "gram", "n"])
+            both = [np.where(owner & 1 == fold, counts, 0) for fold in (0, 1)]
+            return pa.RecordBatch.from_arrays([lang, pa.array(gram), *[pa.array(n) for n in both]], ["lang", "gram", "n0", "n1"])
 
         for batch in batches:
             for part in chunks(batch, "text"):
@@ -134,16 +146,11 @@ def gram_counts(docs: DataFrame, text: str, language: Column) -> DataFrame:
                     if name not in names:
                         names.append(name)
                     local.append(names.index(name))
-                words = find_words(part.column("text"))
-                if not len(words):
-                    continue
-                language = np.array(local)[code.indices.to_numpy()]
-                known = spell(words, words.hashes(), language)
-                size_of = np.diff(known.first)
-                keys = (np.repeat(known.language, size_of).astype(np.uint64) << np.uint64(8 * ORDER)) | known.grams
-                distinct, inverse = np.unique(keys, return_inverse=True)
-                held.append((distinct, np.bincount(inverse, weights=np.repeat(known.counts, size_of))))
-                size += len(distinct)
+                owner = np.array(local)[code.indices.to_numpy()] * 2 + part.column("fold").to_numpy()
+                for grams, of in spell(find_words(part.column("text"))):
+                    distinct, counts = np.unique((owner[of].astype(np.uint64) << low) | grams, return_counts=True)
+                    held.append((distinct, counts))
+                    size += len(distinct)
                 if size > _FLUSH:
                     distinct, counts = merged()
                     held, size = [(distinct, counts)], len(distinct)
@@ -153,180 +160,186 @@ def gram_counts(docs: DataFrame, text: str, language: Column) -> DataFrame:
         if held:
             yield out(*merged())
 
-    return source.mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = source.mapInArrow(run, "lang string, gram bigint, n0 bigint, n1 bigint")
+    return counted.groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def _discounts(grams: DataFrame) -> DataFrame:
-    """Kneser-Ney discounts of a language, for counts of 1, 2 and 3 or more."""
-    seen = grams.groupBy("lang").agg(*[F.sum((F.col("n") == i).cast("double")).alias(f"n{i}") for i in range(1, 5)])
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    """Kneser-Ney discounts of a language by fold, for counts of 1, 2 and 3 or more, and ``grams``, its number of rows."""
+    folds = (0, 1)
+    seen = [F.sum((F.col(f"n{f}") == i).cast("double")).alias(f"s{f}{i}") for f in folds for i in range(1, 5)]
 
-    def discount(i, usual):
-        value = i - F.try_divide((i + 1) * y * F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        return F.when((value > 0) & (value < i), value).otherwise(usual).alias(f"d{i}")
+    def discount(f, i, usual):
+        y = F.try_divide(F.col(f"s{f}1"), F.col(f"s{f}1") + 2 * F.col(f"s{f}2"))
+        value = i - F.try_divide((i + 1) * y * F.col(f"s{f}{i + 1}"), F.col(f"s{f}{i}"))
+        return F.when((value > 0) & (value < i), value).otherwise(usual).alias(f"d{f}{i}")
 
-    return seen.select("lang", discount(1, 0.5), discount(2, 1.0), discount(3, 1.5))
+    found = grams.groupBy("lang").agg(F.count("*").alias("grams"), *seen)
+    return found.select("lang", "grams", *[discount(f, i, usual) for f in folds for i, usual in ((1, 0.5), (2, 1.0), (3, 1.5))])
 
 
 def train(counts: DataFrame) -> DataFrame:
-    """``ord``, ``lang``, ``gram``, ``n``, ``p`` and ``back`` of every gram: its count (null for a mere context), the probability of
-    its last byte after the others, and the weight of shorter contexts after the whole gram (1 if nothing follows it).
+    """``lang``, ``gram``, ``n``, ``p0`` and ``p1`` of every gram of the highest order: its count, and the probability of its last byte
+    after the others by what fold 0 and fold 1 hold.
 
     The highest order takes counts; each lower one counts the distinct bytes found before its grams. Discounts are
-    estimated for each language and order."""
+    estimated for each language, fold and order. A gram has a row whichever fold holds it: the other fold's probability is
+    what shorter contexts leave, down to 1/256 for a byte its language has not. Whoever scores a text of either fold finds
+    all its grams."""
     spark = counts.sparkSession
     levels = {ORDER: land(counts, scratch_path(spark, f"grams-{ORDER}"))}
     for order in range(ORDER - 1, 0, -1):
-        shorter = levels[order + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram")).agg(F.count("*").alias("n"))
-        levels[order] = land(shorter, scratch_path(spark, f"grams-{order}"))
-    below, out = None, []
+        shorter = levels[order + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * order) - 1)).alias("gram"))
+        distinct = [F.sum((F.col(f"n{f}") > 0).cast("long")).alias(f"n{f}") for f in (0, 1)]
+        levels[order] = land(shorter.agg(*distinct), scratch_path(spark, f"grams-{order}"))
+    below = None
     for order in range(1, ORDER + 1):
-        grams = levels[order].join(_discounts(levels[order]), "lang")
+        # A language may have most of the grams.
+        discounts = land(_discounts(levels[order]), scratch_path(spark, f"discounts-{order}"))
+        grams = look_up(levels[order], discounts, "lang", "grams", levels[order].count())
         grams = grams.withColumn("context", F.shiftright("gram", 8))
-        less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        grams = grams.withColumn("less", less)
-        contexts = grams.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("less") / F.sum("n")).alias("weight"))
-        grams = grams.join(contexts, ["lang", "context"])
+        for f in (0, 1):
+            n = F.col(f"n{f}")
+            less = F.when(n == 0, 0.0).when(n == 1, F.col(f"d{f}1")).when(n == 2, F.col(f"d{f}2")).otherwise(F.col(f"d{f}3"))
+            grams = grams.withColumn(f"less{f}", less)
+        sums = [F.sum(f"{c}{f}").alias(f"{a}{f}") for c, a in (("n", "total"), ("less", "spared")) for f in (0, 1)]
+        grams = grams.join(grams.groupBy("lang", "context").agg(*sums), ["lang", "context"])
         if below is None:
-            shorter = F.lit(1 / 256)
+            grams = grams.withColumns({"q0": F.lit(1 / 256), "q1": F.lit(1 / 256)})
         else:
             grams = grams.withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)))
-            grams = grams.join(below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q")), ["lang", "suffix"])
-            shorter = F.col("q")
-        p = (F.col("n") - F.col("less")) / F.col("total") + F.col("weight") * shorter
-        here = land(grams.select("lang", "gram", "n", p.alias("p")), scratch_path(spark, f"model-{order}"))
-        # A gram one byte shorter is the context of this order's grams.
-        weights = contexts.select("lang", F.col("context").alias("gram"), F.col("weight").alias("back"))
-        out.append((order - 1, below, weights))
-        below = here
-    out.append((ORDER, below, None))
-    rows = []
-    for order, grams, weights in out:
-        if grams is None:  # the empty context
-            rows.append(weights.select(F.lit(0).alias("ord"), "lang", "gram", F.lit(None).cast("bigint").alias("n"), F.lit(1.0).alias("p"), "back"))
-        elif weights is None:
-            rows.append(grams.select(F.lit(order).alias("ord"), "lang", "gram", "n", "p", F.lit(1.0).alias("back")))
-        else:
-            both = grams.join(weights, ["lang", "gram"], "full")
-            rows.append(both.select(F.lit(order).alias("ord"), "lang", "gram", "n", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("back", F.lit(1.0)).alias("back")))
-    made = rows[0]
-    for more in rows[1:]:
-        made = made.unionByName(more)
-    return made
+            shorter = below.select("lang", F.col("gram").alias("suffix"), F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+            grams = grams.join(shorter, ["lang", "suffix"])
+
+        def probability(f):
+            own = F.try_divide(F.col(f"n{f}") - F.col(f"less{f}") + F.col(f"spared{f}") * F.col(f"q{f}"), F.col(f"total{f}"))
+            return F.coalesce(own, F.col(f"q{f}")).alias(f"p{f}")
+
+        made = grams.select("lang", "gram", (F.col("n0") + F.col("n1")).alias("n"), probability(0), probability(1))
+        below = land(made, scratch_path(spark, f"model-{order}"))
+    return below
 
 
 @dataclass
 class Model:
-    """For each order: sorted 64-bit keys of (language, gram), with log probabilities and log weights of shorter contexts."""
+    """Sorted 64-bit keys of (language, gram), and log probabilities by either fold in whole numbers of 1 / ``UNIT``."""
 
-    keys: list[np.ndarray]
-    log_p: list[np.ndarray]
-    log_back: list[np.ndarray]
+    keys: np.ndarray
+    said: np.ndarray
 
-    def find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        known = self.keys[order]
-        if not len(known):
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key is, and whether it is there."""
+        if not len(self.keys):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return at, known[at] == keys
-
-    def score(self, seed: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """Log probability of the last byte of each gram of the highest order: the longest gram the model has, times
-        the weights of the contexts that were too long."""
-        out = np.zeros(len(grams))
-        todo = np.arange(len(grams))
-        for order in range(ORDER, 0, -1):
-            part = grams[todo] & np.uint64((1 << 8 * order) - 1)
-            at, found = self.find(order, gram_keys(order, seed[todo], part))
-            found &= np.isfinite(self.log_p[order][at]) if len(self.log_p[order]) else found
-            out[todo[found]] += self.log_p[order][at[found]]
-            todo = todo[~found]
-            if not len(todo):
-                return out
-            context = (grams[todo] & np.uint64((1 << 8 * order) - 1)) >> np.uint64(8)
-            at, found = self.find(order - 1, gram_keys(order - 1, seed[todo], context))
-            if found.any():
-                out[todo[found]] += self.log_back[order - 1][at[found]]
-        out[todo] += np.log(1 / 256)
-        return out
-
-
-def gram_keys(order: int, seed: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+
+def gram_keys(seed: np.ndarray, gram: np.ndarray) -> np.ndarray:
     """Of one language, different for different grams; of several, equal with the chance of 64-bit hashes."""
-    return scramble((gram + np.uint64(order << 56)) ^ seed)
+    return scramble(gram ^ seed)
+
+
+def begins_word(gram):
+    """Whether the byte a gram predicts is a word's first one; for arrays and columns."""
+    before = gram.bitwiseAND(F.lit(0xFF00)) if isinstance(gram, Column) else gram & np.uint64(0xFF00)
+    return before == _MARK << 8
+
+
+def _said(p: str) -> Column:
+    return F.round(F.log(p) * UNIT).cast("long")
 
 
 def model_of(trained: DataFrame) -> Model:
-    """Fetches all rows it is given, of 28 bytes each on their way."""
-    got = trained.select("ord", F.xxhash64(F.lit("language"), "lang").alias("seed"), "gram", "p", "back").toArrow()
-    order, seed, gram, p, back = (got.column(c).to_numpy() for c in ("ord", "seed", "gram", "p", "back"))
-    model = Model([], [], [])
-    for k in range(ORDER + 1):
-        mine = np.flatnonzero(order == k)
-        keys = gram_keys(k, seed[mine].astype(np.int64).view(np.uint64), gram[mine].astype(np.uint64))
-        mine, keys = mine[np.argsort(keys)], np.sort(keys)
-        with np.errstate(divide="ignore"):
-            model.keys.append(keys)
-            model.log_p.append(np.log(p[mine].astype(np.float64)))
-            model.log_back.append(np.log(back[mine].astype(np.float64)))
-    return model
+    """Fetches all rows it is given, of 32 bytes each on their way."""
+    got = trained.select(F.xxhash64(F.lit("language"), "lang").alias("seed"), "gram", _said("p0").alias("said0"), _said("p1").alias("said1")).toArrow()
+    seed, gram, *said = (got.column(c).to_numpy().astype(np.int64) for c in ("seed", "gram", "said0", "said1"))
+    keys = gram_keys(seed.view(np.uint64), gram.astype(np.uint64))
+    order = np.argsort(keys)
+    return Model(keys[order], np.stack(said)[:, order])
 
 
 def split_grams(trained: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Grams of the highest order: at most ``SHARED``, those of the greatest counts, and the rest, if there is one."""
-    grams = trained.where(F.col("ord") == ORDER)
+    """At most ``SHARED`` grams, those of the greatest counts, and the rest, if there is one."""
     bits = F.length(F.bin("n"))
-    sizes = {r.bits: r.grams for r in grams.groupBy(bits.alias("bits")).agg(F.count("*").alias("grams")).collect()}  # 64 rows at most
+    sizes = {r.bits: r.grams for r in trained.groupBy(bits.alias("bits")).agg(F.count("*").alias("grams")).collect()}  # 64 rows at most
     least, room = 65, SHARED
     for bit in sorted(sizes, reverse=True):
         if sizes[bit] > room:
-            return grams.where(bits >= least), grams.where(bits < least)
+            return trained.where(bits >= least), trained.where(bits < least)
         least, room = bit, room - sizes[bit]
-    return grams, None
-
-
-def _missing(words: Words, known: Vocabulary, found: np.ndarray) -> list[pa.Array]:
-    """For each text, its distinct grams that were not found, and how often it has each."""
-    miss = np.flatnonzero(~found)
-    first = np.searchsorted(miss, known.first)
-    size = np.diff(first)[known.inverse]
-    at = np.repeat(first[known.inverse] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    text = np.repeat(words.text_of(), size).astype(np.uint64) << np.uint64(8 * ORDER)
-    pairs, many = np.unique(text | known.grams[miss[at]], return_counts=True)
-    bounds = np.arange(len(words.offsets), dtype=np.uint64) << np.uint64(8 * ORDER)
-    offsets = pa.array(np.searchsorted(pairs, bounds).astype(np.int32))
-    grams = (pairs & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64)
+    return trained, None
+
+
+def _lists(pairs: np.ndarray, texts: int) -> list[pa.Array]:
+    """For each text its distinct grams and how often it has each, from text and gram of every occurrence."""
+    distinct, many = np.unique(pairs, return_counts=True)
+    bounds = np.arange(texts + 1, dtype=np.uint64) << np.uint64(8 * ORDER)
+    offsets = pa.array(np.searchsorted(distinct, bounds).astype(np.int32))
+    grams = (distinct & np.uint64((1 << 8 * ORDER) - 1)).astype(np.int64)
     return [pa.ListArray.from_arrays(offsets, pa.array(grams)), pa.ListArray.from_arrays(offsets, pa.array(many.astype(np.int64)))]
 
 
 def _with_rest(judged: DataFrame, rest: DataFrame) -> DataFrame:
     """Adds what the grams that were not broadcast say. Equal texts of a language share a key and are joined once."""
-    once = judged.where(F.size("grams") > 0).groupBy("key").agg(*[F.first(c).alias(c) for c in ("lang", "grams", "many")])
-    pairs = once.select("key", "lang", F.explode(F.arrays_zip("grams", "many")).alias("pair")).select("key", "lang", "pair.*")
+    once = judged.where(F.size("grams") > 0).groupBy("key").agg(*[F.first(c).alias(c) for c in ("lang", "fold", "grams", "many")])
+    pairs = once.select("key", "lang", "fold", F.explode(F.arrays_zip("grams", "many")).alias("pair")).select("key", "lang", "fold", "pair.*")
     pairs = pairs.withColumnsRenamed({"grams": "gram", "many": "times"})
-    said = F.round(F.log("p") * UNIT).cast("long")
-    more = pairs.join(rest.select("lang", "gram", said.alias("each")), ["lang", "gram"]).groupBy("key").agg(F.sum(F.col("each") * F.col("times")).alias("more"))
-    return judged.join(more, "key", "left").withColumn("said", F.col("said") + F.coalesce("more", F.lit(0)))
+    each = F.when(F.col("fold") == 0, F.col("said1")).otherwise(F.col("said0"))
+    rest = rest.select("lang", "gram", _said("p0").alias("said0"), _said("p1").alias("said1"))
+    each = each * F.col("times")
+    begins = F.when(begins_word(F.col("gram")), each)
+    more = pairs.join(rest, ["lang", "gram"]).groupBy("key").agg(F.sum(each).alias("more"), F.sum(begins).alias("more_starts"))
+    return judged.join(more, "key", "left").withColumns({c: F.col(c) + F.coalesce(more, F.lit(0)) for c, more in (("said", "more"), ("said_starts", "more_starts"))})
+
+
+def _bands(judged: DataFrame, surprise: str, steps: str) -> DataFrame:
+    """``lang``, ``texts``, and for a log perplexity of ``steps`` bytes ``middle`` (its median), ``noise`` (deviation of one byte's) and
+    ``between`` (variance of texts' own means), named after it.
+
+    The deviation of a text of n bytes is taken as sqrt(between + noise^2 / n). Noise comes from the shorter half of a
+    language's texts, where it outweighs all else; what it leaves of the deviation of the longest quarter is between. All
+    deviations are medians of distances, so bad texts do not widen the bands they are to be caught by."""
+    spark = judged.sparkSession
+    said = judged.where(F.col(surprise).isNotNull()).select("lang", F.col(surprise).alias("surprise"), F.col(steps).alias("steps"))
+    usual = said.groupBy("lang").agg(
+        F.count("*").alias("texts"),
+        F.percentile_approx("surprise", 0.5, 10000).alias("middle"),
+        F.percentile_approx("steps", [0.5, 0.75], 10000).alias("long"),
+    )
+    usual = land(usual, scratch_path(spark, "usual"))
+    off = look_up(said, usual, "lang", "texts", judged.count()).withColumn("off", F.abs(F.col("surprise") - F.col("middle")) / 0.6745)
+    short, longest = F.col("steps") <= F.col("long")[0], F.col("steps") >= F.col("long")[1]
+    found = off.groupBy("lang").agg(
+        F.percentile_approx(F.when(short, F.col("off") * F.sqrt("steps")), 0.5, 10000).alias("noise"),
+        F.percentile_approx(F.when(longest, F.col("off")), 0.5, 10000).alias("all"),
+        F.avg(F.when(longest, 1 / F.col("steps"))).alias("less"),
+    )
+    between = F.greatest(F.lit(0.0), F.col("all") * F.col("all") - F.col("noise") * F.col("noise") * F.col("less"))
+    numbers = [F.col("middle").alias(f"{surprise}_middle"), F.col("noise").alias(f"{surprise}_noise"), between.alias(f"{surprise}_between")]
+    return land(usual.join(found, "lang").select("lang", "texts", *numbers), scratch_path(spark, "bands"))
 
 
 def judge_quality(
-    docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, spread: float = SPREAD, errors: float = ERRORS
+    docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None, deviations: tuple[float, float] = (DEVIATIONS, START_DEVIATIONS)
 ) -> DataFrame:
-    """``row`` (struct of a document's columns), ``n_words``, the base counts, ``base_failed``, ``perplexity``, ``lower``, ``upper`` and
-    ``kept``: not base_failed, and within its language's bands.
-
-    The model is counted by Spark over all texts: tasks add up the grams of their chunks, and only sums are shuffled. As it is of
-    the texts it judges, it has all their grams: the ``SHARED`` most frequent ones are broadcast, and if there are more, those of
-    each text that are not among them are joined to the model. Sums are of whole numbers, the same either way. Bands come
-    from all log perplexities of a language: the median, ``spread`` times the distance to the quartile on either side, and
-    ``errors`` standard errors of the text's own mean, estimated from the language's texts too.
+    """``row`` (struct of a document's columns), ``n_words``, the base counts, ``base_failed``, ``perplexity``, ``lower``, ``upper``,
+    ``start_perplexity``, ``start_lower``, ``start_upper`` (of words' first bytes) and ``kept``: not base_failed, and both
+    perplexities within their bands.
+
+    The model is counted by Spark over all texts, by fold: tasks add up the grams of their chunks, and only sums are shuffled. A text is
+    scored by the fold it is not in, so neither it nor its copies speak for it. The ``SHARED`` most frequent grams are
+    broadcast, and if there are more, those of each text that are not among them are joined to the model. Sums are of
+    whole numbers, the same either way. A language's bands are around its median log perplexities, ``deviations`` (of all bytes, and of
+    words' first ones) wide on either side in standard deviations of a text of that length (see ``_bands``).
     A null language is one of its own. Null and empty texts have no words, no perplexity and fail the base rules. Repeated
-    rows are judged alike, and count as often as they occur."""
+    rows are judged alike, and count as often as they occur. An empty table gives an empty result. In a language of one fold only,
+    every byte is as unlikely as any other. A task needs about 60 bytes for each byte of its longest word, or of a million."""
     spark = docs.sparkSession
     keep = list(docs.columns if keep is None else keep)
     language = F.concat(F.lit("="), F.col(f"`{lang}`"))  # distinct from the empty string that stands for null
     language = F.coalesce(language, F.lit(""))
-    often, rest = split_grams(land(train(gram_counts(docs, text, language)), scratch_path(spark, "model")))
+    often, rest = split_grams(train(gram_counts(docs, text, language)))
     shared = spark.sparkContext.broadcast(model_of(often))
     body = F.col(f"`{text}`")
     key = F.struct(F.xxhash64(language, body).alias("one"), F.xxhash64(F.lit(7), language, body).alias("two")) if rest is not None else F.lit(0)
@@ -334,13 +347,16 @@ def judge_quality(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         language.alias("lang"),
         F.xxhash64(F.lit("language"), language).alias("seed"),
+        fold_of(body).alias("fold"),
         key.alias("key"),
         body.alias("text"),
     )
     counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    numbers = [F.lit(0).cast("long").alias(c) for c in [*counted, "steps", "said"]]
+    numbers = [F.lit(0).cast("long").alias(c) for c in [*counted, "steps", "said", "said_starts"]]
     lists = [F.array(F.lit(0).cast("long")).alias(c) for c in ("grams", "many")]
-    schema = source.select("row", "lang", "key", *numbers, *lists).schema
+    schema = source.select("row", "lang", "fold", "key", *numbers, *lists).schema
+
+    low, gram_bits = np.uint64(8 * ORDER), np.uint64((1 << 8 * ORDER) - 1)
 
     def run(batches):
         model = shared.value
@@ -348,44 +364,57 @@ def judge_quality(
             for part in chunks(batch, "text"):
                 column = part.column("text")
                 words = find_words(column)
-                hashes = words.hashes()
-                base = base_counts(column, words, hashes)
-                seeds, language = np.unique(part.column("seed").to_numpy(), return_inverse=True)
+                base = base_counts(column, words, words.hashes())
+                seeds, owner = np.unique(part.column("seed").to_numpy(), return_inverse=True)
+                fold = part.column("fold").to_numpy()
+                owner = owner * 2 + fold
                 texts = len(words.offsets) - 1
-                said, steps = np.zeros(texts, np.int64), np.zeros(texts, np.int64)
-                none = pa.ListArray.from_arrays(pa.array(np.zeros(texts + 1, np.int32)), pa.array([], pa.int64()))
-                missing = [none, none]
-                if len(words):
-                    known = spell(words, hashes, language)
-                    size = np.diff(known.first)
-                    seed = np.repeat(seeds.view(np.uint64)[known.language], size)
-                    at, found = model.find(ORDER, gram_keys(ORDER, seed, known.grams))
-                    value = np.zeros(len(seed), np.int64)
-                    value[found] = np.rint(model.log_p[ORDER][at[found]] * UNIT).astype(np.int64)
-                    each = segment_reduce(np.add, value, known.first, 0)
-                    said = segment_reduce(np.add, each[known.inverse], words.offsets, 0)
-                    steps = segment_reduce(np.add, size[known.inverse], words.offsets, 0)
+                said, starts, steps = (np.zeros(texts, np.int64) for _ in range(3))
+                missing = [np.empty(0, np.uint64)]
+                for grams, of in spell(words):
+                    distinct, inverse = np.unique((owner[of].astype(np.uint64) << low) | grams, return_inverse=True)
+                    whose = (distinct >> low).astype(np.int64)
+                    at, found = model.find(gram_keys(seeds.view(np.uint64)[whose >> 1], distinct & gram_bits))
+                    value = np.zeros(len(distinct), np.int64)
+                    value[found] = model.said[1 - (whose[found] & 1), at[found]]
+                    # Whole numbers far below 2**53, so floats add them up exactly.
+                    said += np.bincount(of, weights=value[inverse], minlength=texts).astype(np.int64)
+                    first = begins_word(grams)
+                    starts += np.bincount(of[first], weights=value[inverse[first]], minlength=texts).astype(np.int64)
+                    steps += np.bincount(of, minlength=texts)
                     if not found.all():
-                        missing = _missing(words, known, found)
+                        miss = ~found[inverse]
+                        missing.append((of[miss].astype(np.uint64) << low) | grams[miss])
                 arrays = [pa.array(words.counts.astype(np.int64)), *[pa.array(base[c].astype(np.int64)) for c in counted[1:]]]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("lang"), part.column("key"), *arrays, pa.array(steps), pa.array(said), *missing],
-                    ["row", "lang", "key", *counted, "steps", "said", "grams", "many"],
+                    [
+                        *[part.column(c) for c in ("row", "lang", "fold", "key")],
+                        *arrays,
+                        pa.array(steps),
+                        pa.array(said),
+                        pa.array(starts),
+                        *_lists(np.concatenate(missing), texts),
+                    ],
+                    ["row", "lang", "fold", "key", *counted, "steps", "said", "said_starts", "grams", "many"],
                 )
 
     judged = land(source.mapInArrow(run, schema), scratch_path(spark, "perplexity"))
     if rest is not None:
-        judged = land(_with_rest(judged, rest).drop("grams", "many"), scratch_path(spark, "perplexity"))
-    judged = judged.withColumn("surprise", F.when(F.col("steps") > 0, -F.col("said") / UNIT / F.col("steps")))
-    said = judged.where("surprise is not null")
-    quartiles = said.groupBy("lang").agg(F.percentile_approx("surprise", [0.25, 0.5, 0.75], 10000).alias("q"))
-    off = F.abs(F.col("surprise") - F.col("q")[1]) * F.sqrt("steps")
-    errors_of = said.join(quartiles, "lang").groupBy("lang").agg((F.percentile_approx(off, 0.5, 10000) / 0.6745).alias("error"))
-    slack = F.try_divide(errors * F.col("error"), F.sqrt("steps"))
-    lower = F.exp(F.col("q")[1] - spread * (F.col("q")[1] - F.col("q")[0]) - slack)
-    upper = F.exp(F.col("q")[1] + spread * (F.col("q")[2] - F.col("q")[1]) + slack)
+        judged = land(_with_rest(judged, rest), scratch_path(spark, "perplexity"))
+    judged = judged.drop("grams", "many")
+    kinds = {"surprise": ("said", "steps", ""), "start_surprise": ("said_starts", "n_words", "start_")}
+    for surprise, (said, steps, _) in kinds.items():
+        judged = judged.withColumn(surprise, -F.col(said) / UNIT / F.nullif(steps, F.lit(0)))
+    bands = _bands(judged, "surprise", "steps").join(_bands(judged, "start_surprise", "n_words").drop("texts"), "lang")
+    out = look_up(judged, land(bands, scratch_path(spark, "bands")), "lang", "texts", judged.count())
+    inside, shown = F.lit(True), []
+    for (surprise, (_, steps, prefix)), most in zip(kinds.items(), deviations):
+        middle, noise, between = (F.col(f"{surprise}_{c}") for c in ("middle", "noise", "between"))
+        reach = most * F.sqrt(between + noise * noise / F.nullif(steps, F.lit(0)))
+        columns = {"perplexity": F.exp(surprise), "lower": F.exp(middle - reach), "upper": F.exp(middle + reach)}
+        out = out.withColumns({prefix + c: value for c, value in columns.items()})
+        shown += [prefix + c for c in columns]
+        inside = inside & F.coalesce(F.col(prefix + "perplexity").between(F.col(prefix + "lower"), F.col(prefix + "upper")), F.lit(False))
     failed = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > BASE_REPEATED * F.col("n_words"))
-    out = judged.join(quartiles.join(errors_of, "lang"), "lang", "left").withColumn("perplexity", F.exp("surprise"))
-    out = out.withColumn("base_failed", failed).withColumn("lower", lower).withColumn("upper", upper)
-    inside = F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return out.select("row", *counted, "base_failed", "perplexity", "lower", "upper", (~F.col("base_failed") & inside).alias("kept"))
+    out = out.withColumn("base_failed", failed)
+    return out.select("row", *counted, "base_failed", *shown, (~F.col("base_failed") & inside).alias("kept"))

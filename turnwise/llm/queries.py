@@ -59,9 +59,8 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = perplexity.judge_quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return judged.select(
-        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "lower", "upper"
-    )
+    bands = ["perplexity", "lower", "upper", "start_perplexity", "start_lower", "start_upper"]
+    return judged.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *bands)
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
