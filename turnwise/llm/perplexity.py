@@ -102,10 +102,10 @@ def spell(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         flat[np.repeat(begin, letters) + inside] = words.data[np.repeat(words.starts[at], letters) + inside]
         told, begin, text = size[at][lead:], begin[lead:], text[lead:]
         place = np.repeat(begin - (np.cumsum(told) - told), told) + np.arange(int(told.sum()))
-        grams = np.zeros(len(place), np.uint64)
-        for back in range(ORDER - 1, -1, -1):
-            grams = (grams << np.uint64(8)) | flat[place - back]
-        yield grams, np.repeat(text, told)
+        rolled = np.zeros(len(flat) - ORDER + 1, np.uint64)
+        for k in range(ORDER):
+            rolled = (rolled << np.uint64(8)) | flat[k : k + len(rolled)]
+        yield rolled[place - (ORDER - 1)], np.repeat(text, told)
         lo = hi
 
 
@@ -222,17 +222,37 @@ def train(counts: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Sorted 64-bit keys of (language, gram), and log probabilities by either fold in whole numbers of 1 / ``UNIT``."""
+    """Sorted 64-bit keys of (language, gram), and log probabilities by either fold in whole numbers of 1 / ``UNIT``.
+
+    ``first`` tells where the keys of each prefix of ``64 - shift`` bits begin; there are more prefixes than keys, so few share one."""
 
     keys: np.ndarray
     said: np.ndarray
+    first: np.ndarray
+    shift: np.uint64
+
+    @classmethod
+    def of(cls, keys: np.ndarray, said: np.ndarray) -> Model:
+        order = np.argsort(keys)
+        keys = keys[order]
+        bits = len(keys).bit_length() + 1
+        shift = np.uint64(64 - bits)
+        first = np.searchsorted(keys >> shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        return cls(keys, said[:, order], first, shift)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each key is, and whether it is there."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+        prefix = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[prefix].astype(np.int64), self.first[prefix + 1]
+        found = np.zeros(len(keys), bool)
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            hit = self.keys[at[todo]] == keys[todo]
+            found[todo[hit]] = True
+            todo = todo[~hit]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
+        return at, found
 
 
 def gram_keys(seed: np.ndarray, gram: np.ndarray) -> np.ndarray:
@@ -255,8 +275,7 @@ def model_of(trained: DataFrame) -> Model:
     got = trained.select(F.xxhash64(F.lit("language"), "lang").alias("seed"), "gram", _said("p0").alias("said0"), _said("p1").alias("said1")).toArrow()
     seed, gram, *said = (got.column(c).to_numpy().astype(np.int64) for c in ("seed", "gram", "said0", "said1"))
     keys = gram_keys(seed.view(np.uint64), gram.astype(np.uint64))
-    order = np.argsort(keys)
-    return Model(keys[order], np.stack(said)[:, order])
+    return Model.of(keys, np.stack(said))
 
 
 def split_grams(trained: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -356,7 +375,7 @@ def judge_quality(
     lists = [F.array(F.lit(0).cast("long")).alias(c) for c in ("grams", "many")]
     schema = source.select("row", "lang", "fold", "key", *numbers, *lists).schema
 
-    low, gram_bits = np.uint64(8 * ORDER), np.uint64((1 << 8 * ORDER) - 1)
+    low = np.uint64(8 * ORDER)
 
     def run(batches):
         model = shared.value
@@ -367,23 +386,20 @@ def judge_quality(
                 base = base_counts(column, words, words.hashes())
                 seeds, owner = np.unique(part.column("seed").to_numpy(), return_inverse=True)
                 fold = part.column("fold").to_numpy()
-                owner = owner * 2 + fold
                 texts = len(words.offsets) - 1
                 said, starts, steps = (np.zeros(texts, np.int64) for _ in range(3))
                 missing = [np.empty(0, np.uint64)]
                 for grams, of in spell(words):
-                    distinct, inverse = np.unique((owner[of].astype(np.uint64) << low) | grams, return_inverse=True)
-                    whose = (distinct >> low).astype(np.int64)
-                    at, found = model.find(gram_keys(seeds.view(np.uint64)[whose >> 1], distinct & gram_bits))
-                    value = np.zeros(len(distinct), np.int64)
-                    value[found] = model.said[1 - (whose[found] & 1), at[found]]
+                    at, found = model.find(gram_keys(seeds.view(np.uint64)[owner[of]], grams))
+                    value = np.zeros(len(grams), np.int64)
+                    value[found] = model.said[1 - fold[of[found]], at[found]]
                     # Whole numbers far below 2**53, so floats add them up exactly.
-                    said += np.bincount(of, weights=value[inverse], minlength=texts).astype(np.int64)
+                    said += np.bincount(of, weights=value, minlength=texts).astype(np.int64)
                     first = begins_word(grams)
-                    starts += np.bincount(of[first], weights=value[inverse[first]], minlength=texts).astype(np.int64)
+                    starts += np.bincount(of[first], weights=value[first], minlength=texts).astype(np.int64)
                     steps += np.bincount(of, minlength=texts)
                     if not found.all():
-                        miss = ~found[inverse]
+                        miss = ~found
                         missing.append((of[miss].astype(np.uint64) << low) | grams[miss])
                 arrays = [pa.array(words.counts.astype(np.int64)), *[pa.array(base[c].astype(np.int64)) for c in counted[1:]]]
                 yield pa.RecordBatch.from_arrays(
