@@ -11,6 +11,9 @@ from turnwise.sources.scratch import land, scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>!"
+LEAST_QUALITY = 0.1
+BUCKETS = 4096
+RATES = tuple(LEAST_QUALITY ** (1 - i / 3) for i in range(4))  # from the least quality to 1
 
 
 def n_words(text: Column) -> Column:
@@ -18,9 +21,9 @@ def n_words(text: Column) -> Column:
 
 
 def symbol_quality(text: Column, words: Column) -> Column:
-    """Between 0.1 and 1: the fewer symbol characters a word, the higher."""
+    """Between ``LEAST_QUALITY`` and 1: the fewer symbol characters a word, the higher."""
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    return 0.1 + 0.9 * (1 - F.least(F.lit(1.0), F.coalesce(symbols, F.lit(0)) / F.greatest(F.lit(1), words)))
+    return LEAST_QUALITY + (1 - LEAST_QUALITY) * (1 - F.least(F.lit(1.0), F.coalesce(symbols, F.lit(0)) / F.greatest(F.lit(1), words)))
 
 
 def uniform(seed: int, *parts: Column) -> Column:
@@ -29,11 +32,22 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
-def measured(docs: DataFrame, keep: Iterable[str], seed: int = 11, buckets: int = 4096) -> DataFrame:
+def key_bucket(key: Column, buckets: int) -> Column:
+    """Which of ``buckets`` ranges of the order of keys a key lies in, none of them with much of a source, whatever its qualities.
+
+    Ranges have equal mass under an equal mixture of exponential laws at ``RATES``. A key at a rate between two of those is at
+    most their ratio (2.2) as dense as the lower one's law, so a range expects less than 4 x 2.2 / ``buckets`` of a source's
+    documents (0.21 % of them with 4,096), be all of them symbols, none, or any mixture."""
+    tail = sum((F.exp(-rate * key) for rate in RATES[1:]), F.exp(-RATES[0] * key))
+    return F.floor(buckets * (1 - tail / len(RATES))).cast("int")
+
+
+def measured(docs: DataFrame, keep: Iterable[str], seed: int = 11, buckets: int = BUCKETS) -> DataFrame:
     """``row`` (struct of the columns to keep), ``source``, ``size`` (words of the text), ``key`` and ``bucket``.
 
     ``key`` is exponential with the document's quality as rate: ascending order samples without replacement in proportion
-    to quality. It depends on doc_id, text and seed alone. ``bucket`` cuts the order of keys into ranges of similar mass."""
+    to quality. It depends on doc_id, text and seed alone, so repeated rows share one. ``bucket`` cuts the order of keys into ranges
+    (``key_bucket``). A null text has the size 0 and is told apart from an empty one; doc_id may be of any type. No documents give no rows."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
         F.col("source").alias("source"),
@@ -42,7 +56,7 @@ def measured(docs: DataFrame, keep: Iterable[str], seed: int = 11, buckets: int
         uniform(seed, F.col("doc_id"), F.md5("text")).alias("u"),
     )
     rows = rows.withColumn("key", -F.log("u") / symbol_quality(F.col("text"), F.col("size")))
-    return rows.select("row", "source", "size", "key", F.floor(buckets * (1 - F.exp(-F.col("key")))).cast("int").alias("bucket"))
+    return rows.select("row", "source", "size", "key", key_bucket(F.col("key"), buckets).alias("bucket"))
 
 
 def targets(sizes: DataFrame, share: float, weights: Sequence[float], most: float) -> DataFrame:
@@ -78,7 +92,8 @@ def mix(rows: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2
 
     Every document is taken once for each complete epoch of its source's target. What is left of the target is
     filled in order of keys: whole documents up to the one that crosses it, of which the part that fits is taken. Rows that
-    are equal share a key; such a group crosses as one, its rows taking equal parts. Empty texts take nothing.
+    are equal share a key; such a group crosses as one, its rows taking equal parts. Null and empty texts take nothing; a null
+    source is one like any other. A table without rows, or whose texts have no words, takes nothing.
 
     Sums by (source, bucket) find the bucket each source's target ends in; only that bucket's rows are sorted. So a
     source with a third of all rows is never in one task. ``narrow`` are the same rows without their ``row``, landed, if the
@@ -132,7 +147,7 @@ def mix(rows: DataFrame, share: float = 1.5, weights: Sequence[float] = (3, 1, 2
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each time a document is taken whole, and one with its first words
-    (joined by one space) if a part of it is taken."""
+    (joined by one space) if a part of it is taken. Null and empty texts are not in it; no documents give an empty mix."""
     rows = mix(measured(docs, docs.columns), **settings)
     whole = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     rows = rows.withColumn("whole", whole).withColumn("part", (F.col("taken") - F.col("whole") * F.col("size")).cast("int"))
