@@ -90,6 +90,23 @@ def test_mix_prefers_quality(spark):
     assert taken[1] > 2 * taken[0] > 0
 
 
+@pytest.mark.parametrize("text", ["#$% " * 9, "word " * 9, "wo#d word word "])
+def test_mix_buckets_hold_little_of_a_source(spark, text):
+    """One source, all of whose documents have the least, the greatest or a middle quality: no bucket has 1 % of them."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"), F.lit("hot").alias("source"))
+    rows = mixing.measured(docs, ["doc_id"]).select("key", "bucket")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")).orderBy("bucket").collect()
+    assert max(r.n for r in sizes) < 400 and sum(r.n for r in sizes) == 40_000
+    assert all(a.most < b.least for a, b in zip(sizes, sizes[1:]))
+
+
+def test_mix_is_the_same_in_any_buckets(odd):
+    def taken(buckets):
+        return collections.Counter((r.row, r.taken) for r in mixing.mix(mixing.measured(odd, odd.columns, buckets=buckets)).collect())
+
+    assert taken(1) == taken(7) == taken(mixing.BUCKETS)
+
+
 def test_links(odd, none):
     rows = texts_of(odd)
     pairs = helpers.links([t for _, t in rows])
@@ -318,6 +335,19 @@ def test_token_files(odd, none, tokenizer, spark, monkeypatch):
     assert token_files.read_documents(spark, empty).count() == 0
 
 
+def test_token_files_of_few_parts_in_many_files(odd, tokenizer, spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PART_IDS", 5_000)
+    few, many = scratch_path(spark, "few"), scratch_path(spark, "many")
+    token_files.write_token_files(odd, many, tokenizer, 2)
+    monkeypatch.setattr(token_files, "FILE_BLOCKS", 1)
+    token_files.write_token_files(odd, few, tokenizer, 2, most_parts=2)
+    blocks = spark.read.parquet(f"{few}/blocks")
+    assert blocks.select("part").distinct().count() == 2 < spark.read.parquet(f"{many}/blocks").select("part").distinct().count()
+    assert len(blocks.inputFiles()) == blocks.count() > 2
+    read = [collections.Counter(map(tuple, token_files.read_documents(spark, path).collect())) for path in (few, many)]
+    assert read[0] == read[1]
+
+
 def test_url_rules(spark):
     rules = [
         ("com", "/", "allow"),

@@ -26,7 +26,9 @@ from turnwise.llm.rans import BLOCK, Table, decode_blocks, encode_blocks, join_c
 from turnwise.llm.tokens import id_width, token_rows
 from turnwise.sources.scratch import land, scratch_path
 
-PART_IDS = 4_000_000  # ids a part is meant to hold
+PART_IDS = 4_000_000  # ids a part is meant to hold, while there are no more than MOST_PARTS
+MOST_PARTS = 16_384  # parts at most, however many ids there are
+FILE_BLOCKS = 16_384  # blocks of a file at most; a part may write several
 GROUP = 64  # blocks coded at once
 
 BLOCK_SCHEMA = (
@@ -106,13 +108,16 @@ def _blocks_of(table, width):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, text: str = "text", doc_id: str = "doc_id") -> None:
+def write_token_files(
+    docs: DataFrame, path: str, tokenizer: str, end: int, text: str = "text", doc_id: str = "doc_id", most_parts: int = MOST_PARTS
+) -> None:
     """Encodes every whole text (null: empty) and writes the files under ``path``.
 
     Texts are tokenized where they are read, and the ids landed; counts over all of them make the shared table (as many rows
-    as the vocabulary has ids). The ids are then dealt into ranges of doc_id, sorted and coded in one pass. Null doc_ids come
-    first; rows of one doc_id follow the hash of their text, and equal rows are dealt over several ranges if there are many. An
-    empty table gives no blocks."""
+    as the vocabulary has ids). The ids are then dealt into ranges of doc_id, sorted and coded in one pass: ``most_parts`` ranges at
+    most, so that a shuffle of many terabytes has a bounded table of its outputs. A larger range is sorted on disk, coded as a stream,
+    and writes several files. Null doc_ids come first; rows of one doc_id follow the hash of their text, and equal rows are dealt over several
+    ranges if there are many. doc_id is cast to a whole number: an id that is none is an error. An empty table gives no blocks."""
     spark = docs.sparkSession
     width = id_width(tokenizer)
     rows = token_rows(docs, tokenizer, end, text, keep=[doc_id]).select(F.col(f"row.`{doc_id}`").cast("long").alias("doc_id"), "tie", "n", "ids")
@@ -128,11 +133,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, text
     freq = [(int(i), int(f)) for i, f in enumerate(table.freq) if f]
     spark.createDataFrame(freq, "id bigint, freq bigint").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(table)
-    parts = max(1, math.ceil(total / PART_IDS))
+    parts = min(most_parts, max(1, math.ceil(total / PART_IDS)))
     dealt = tokens.withColumn("salt", F.monotonically_increasing_id())
     order = ["doc_id", "tie", "salt"]
     dealt = dealt.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    dealt.mapInArrow(_blocks_of(shared, width), BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    blocks = dealt.mapInArrow(_blocks_of(shared, width), BLOCK_SCHEMA)
+    blocks.write.option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).parquet(f"{path}/blocks")
 
 
 def read_table(spark, path: str) -> Table:
