@@ -66,6 +66,14 @@ def test_every_window_holds_an_anchor_and_equal_windows_equal_ones():
     assert (chosen[1526:1664] == chosen[126:264]).all()
 
 
+def test_equal_windows_have_equal_own_anchors():
+    values = W.scramble(np.random.default_rng(2).integers(0, 50, 2000, dtype=np.uint64))
+    values[1500:1700] = values[100:300]
+    places, seeds, own = substrings.anchors_and_own(values, len(values) - np.arange(len(values)), 35, 10)
+    assert len(own) == 2000 - 34 and set(own) == set(seeds)
+    assert (own[1500:1666] == own[100:266]).all()
+
+
 @pytest.mark.parametrize("n", [0, 1, 31, 32, 33, 5000, rans.BLOCK, rans.BLOCK + 1, 3 * rans.BLOCK + 77])
 def test_rans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 49408).astype(np.uint32)

@@ -48,6 +48,20 @@ def test_repeats_within_one_text_and_other_lengths(spark):
     assert got == {1: (24, [[0, 12], [13, 25]]), 2: (0, [])}
 
 
+@pytest.mark.parametrize("chunk", [1, 400, 1 << 20])
+def test_repeats_of_common_windows(odd, spark, chunk, monkeypatch):
+    """Windows of common anchors, dealt over salts, in chunks of any size: those found once by a salt are looked for in others."""
+    monkeypatch.setattr(substrings, "COMMON", 1)
+    monkeypatch.setattr(substrings, "SALTS", 5)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", chunk)
+    shared, rest = " ".join(f"s{i}" for i in range(50)), " ".join(f"r{i}" for i in range(36))
+    more = [(100 + i, f"a{i} b{i} {shared} c{i}" + f" {rest}" * (i in (3, 7))) for i in range(23)]
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id bigint, text string"))
+    rows = texts_of(docs)
+    expected = collections.Counter((*r, *e) for r, e in zip(rows, helpers.repeats([t for _, t in rows])))
+    assert plain(substrings.find_repeats(docs), "n_words", "n_removed", "kept_sha256") == expected
+
+
 def test_mix(odd, none):
     rows = mixing.mix(mixing.measured(odd, odd.columns)).collect()
     assert len(rows) == odd.count()

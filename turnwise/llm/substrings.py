@@ -14,26 +14,39 @@ from turnwise.sources.scratch import land, scratch_path
 THRESHOLD = 35
 ANCHOR = 10
 CHUNK_BYTES = 4 << 20  # texts whose windows are compared with each other before any are sent out
+COMMON = 4096  # texts with an anchor beyond which the windows it is the anchor of are dealt over SALTS tasks
+SALTS = 64
 _PLACE = np.uint64(24)
 _PIECE = 1 << 22
 
 
-def anchors(hashes: np.ndarray, room: np.ndarray, threshold: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the winnowed anchors of a chunk.
+def own_anchors(runs: np.ndarray, width: int) -> np.ndarray:
+    """Where the anchor of the window that begins at each place stands: the least of its ``width`` runs (the first of equals)."""
+    out = np.empty(max(0, len(runs) - width + 1), np.int64)
+    for lo in range(0, len(out), _PIECE):
+        piece = runs[lo : lo + _PIECE + width - 1]
+        marked = (piece >> _PLACE << _PLACE) | np.arange(len(piece), dtype=np.uint64)
+        least = (slide_min(marked, width) & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64) + lo
+        out[lo : lo + len(least)] = least
+    return out
+
+
+def anchors_and_own(hashes: np.ndarray, room: np.ndarray, threshold: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, hashes) of the winnowed anchors of a chunk, and the hash of the anchor of the window that begins at each place.
 
     Every window of ``threshold`` words that fits its text has at least one anchor wholly inside: its least run of
-    ``anchor`` words (the first of equals). Equal windows have equal anchors at equal places, wherever they stand."""
+    ``anchor`` words. Equal windows have equal anchors at equal places, wherever they stand."""
     runs = run_hashes(hashes, anchor)
-    width = threshold - anchor + 1
+    own = own_anchors(runs, threshold - anchor + 1)
     chosen = np.zeros(len(runs), bool)
-    for lo in range(0, max(0, len(runs) - width + 1), _PIECE):
-        piece = runs[lo : lo + _PIECE + width - 1]
-        marked = (piece >> _PLACE << _PLACE) | np.arange(len(piece), dtype=np.uint64)
-        least = (slide_min(marked, width) & np.uint64((1 << int(_PLACE)) - 1)).astype(np.int64) + lo
-        starts = np.arange(lo, lo + len(least))
-        chosen[least[room[starts] >= threshold]] = True
+    chosen[own[room[: len(own)] >= threshold]] = True
     places = np.flatnonzero(chosen)
-    return places, runs[places]
+    return places, runs[places], runs[own]
+
+
+def anchors(hashes: np.ndarray, room: np.ndarray, threshold: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the winnowed anchors of a chunk."""
+    return anchors_and_own(hashes, room, threshold, anchor)[:2]
 
 
 def _scan(threshold: int, anchor: int):
@@ -71,16 +84,19 @@ def _windows(threshold: int, anchor: int):
 
     Rows of kind 0 are windows: two hashes, whether the chunk has it more than once, and the text and place it stands in if it
     has it once. Rows of kind 1 hold the places of a text's windows that are known to repeat (in its chunk, or as the
-    text has copies). A window that any two texts share is thus sent out by each chunk, not by each text."""
+    text has copies). A window that any two texts share is thus sent out by each chunk, not by each text. ``hot`` marks windows whose
+    own anchor many texts have, which is so wherever the window stands."""
+
+    def set_of(column):
+        return np.unique(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text", CHUNK_BYTES):
                 words = find_words(part.column("text"))
                 hashes, room = words.hashes(), words.room()
-                places, seeds = anchors(hashes, room, threshold, anchor)
-                wanted = np.unique(part.column("seeds").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-                places = places[np.isin(seeds, wanted)]
+                places, seeds, own = anchors_and_own(hashes, room, threshold, anchor)
+                places = places[np.isin(seeds, set_of(part.column("seeds")))]
                 # Extension: every window that holds the anchor, from all of it on the left to all of it on the right.
                 cover = np.zeros(len(hashes) + 1, np.int32)
                 np.add.at(cover, np.maximum(places - (threshold - anchor), 0), 1)
@@ -105,6 +121,7 @@ def _windows(threshold: int, anchor: int):
                 sent[order[new]] = True
                 place = (starts - words.offsets[text]).astype(np.int32)
                 ref_one, ref_two = (part.column(c).to_numpy(zero_copy_only=False) for c in ("ref_one", "ref_two"))
+                hot = np.isin(own[starts], set_of(part.column("common")))
                 at = np.flatnonzero(sent)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -112,6 +129,7 @@ def _windows(threshold: int, anchor: int):
                         pa.array(signed(one[at])),
                         pa.array(signed(two[at])),
                         pa.array(many[at]),
+                        pa.array(hot[at]),
                         pa.array(ref_one[text[at]]),
                         pa.array(ref_two[text[at]]),
                         pa.array(place[at]),
@@ -130,6 +148,7 @@ def _windows(threshold: int, anchor: int):
                             pa.array(ref_one[docs]),
                             pa.array(ref_two[docs]),
                             pa.array(np.ones(len(docs), bool)),
+                            pa.array(np.zeros(len(docs), bool)),
                             pa.array(ref_one[docs]),
                             pa.array(ref_two[docs]),
                             pa.array(np.zeros(len(docs), np.int32)),
@@ -141,7 +160,7 @@ def _windows(threshold: int, anchor: int):
     return run
 
 
-WINDOW_SCHEMA = "kind tinyint, one bigint, two bigint, many boolean, ref_one bigint, ref_two bigint, place int, places array<int>"
+WINDOW_SCHEMA = "kind tinyint, one bigint, two bigint, many boolean, hot boolean, ref_one bigint, ref_two bigint, place int, places array<int>"
 NAMES = [f.split()[0] for f in WINDOW_SCHEMA.split(", ")]
 
 
@@ -195,7 +214,9 @@ def find_repeats(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD
        anchors are counted; an equal window anywhere has an equal anchor, so only windows around repeated ones matter.
     2. Extend. Texts with repeated anchors, one of all copies, give the windows that reach from the anchor up to the threshold
        both ways, with 128-bit hashes. Windows that a chunk of texts has more than once are settled there and leave it once.
-    3. Keep. Windows are grouped by hash; those found twice or more are united per text into maximal ranges.
+    3. Keep. Windows are grouped by hash; those found twice or more are united per text into maximal ranges. Windows whose anchor
+       stands in more than ``COMMON`` texts are first grouped in ``SALTS`` parts, and only what a part has once is looked for in the
+       others, so a passage that every chunk has is no single task's.
 
     No pairs of documents are made: rows grow with the words that repeat, not with the square of a passage's documents."""
     spark = docs.sparkSession
@@ -217,19 +238,28 @@ def find_repeats(docs: DataFrame, text: str = "text", threshold: int = THRESHOLD
         texts.select("ref_one", F.explode("often").alias("seed"), F.lit(2).alias("n"))
     )
     # Copies are no reason to look at a text again, but may be what another text's windows repeat.
-    repeated = seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed")
-    wanted = seeds.join(repeated, "seed").groupBy("ref_one").agg(F.collect_list("seed").alias("seeds"))
+    repeated = seeds.groupBy("seed").agg(F.sum("n").alias("n")).where("n > 1").select("seed", (F.col("n") > COMMON).alias("common"))
+    wanted = seeds.join(repeated, "seed").groupBy("ref_one")
+    wanted = wanted.agg(F.collect_list("seed").alias("seeds"), F.collect_list(F.when(F.col("common"), F.col("seed"))).alias("common"))
     wanted = texts.select("ref_one", "ref_two", "copies", "key").join(wanted, "ref_one")
     candidates = source.select("ref_one", "ref_two", "key", "text").join(wanted.hint("shuffle_hash"), ["ref_one", "ref_two", "key"])
-    candidates = land(candidates.select("ref_one", "ref_two", "copies", "seeds", "text"), scratch_path(spark, "candidates"))
+    candidates = land(candidates.select("ref_one", "ref_two", "copies", "seeds", "common", "text"), scratch_path(spark, "candidates"))
 
     windows = candidates.mapInArrow(_windows(threshold, anchor), WINDOW_SCHEMA)
-    same = Window.partitionBy("one", "two")
-    found = windows.withColumn("n", F.count("*").over(same)).withColumn("any_many", F.max("many").over(same))
-    found = found.where("kind = 1 or n > 1 or any_many")
-    places = found.groupBy("ref_one", "ref_two").agg(
-        F.collect_list(F.when(F.col("kind") == 0, F.col("place"))).alias("single"), F.flatten(F.collect_list("places")).alias("several")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("ref_one", "ref_two"), F.lit(SALTS))).otherwise(-1)
+    same = Window.partitionBy("one", "two", "salt")
+    windows = windows.withColumn("salt", salt).withColumn("n", F.count("*").over(same)).withColumn("any_many", F.max("many").over(same))
+    windows = windows.withColumn("settled", F.expr("kind = 1 or n > 1 or any_many")).where("settled or hot")
+    hash_of_hot = [F.when(F.col("hot"), F.col(c)).alias(c) for c in ("one", "two")]
+    windows = land(
+        windows.select("ref_one", "ref_two", F.when(F.col("kind") == 0, F.col("place")).alias("place"), "places", "hot", "settled", *hash_of_hot),
+        scratch_path(spark, "windows"),
     )
+    elsewhere = windows.where("hot").groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1")
+    across = windows.where("hot and not settled").join(elsewhere, ["one", "two"], "left_semi")  # a window's rows: one a salt at most
+    found = windows.where("settled").select("ref_one", "ref_two", "place", "places")
+    found = found.unionAll(across.select("ref_one", "ref_two", "place", "places"))
+    places = found.groupBy("ref_one", "ref_two").agg(F.collect_list("place").alias("single"), F.flatten(F.collect_list("places")).alias("several"))
     places = places.select("ref_one", "ref_two", F.concat("single", "several").alias("places"))
     cut = (
         candidates.where("copies = 1")
