@@ -148,3 +148,24 @@ def leaks(texts, items, n=10):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def network_score(network, text, half=128, stride=2, width=6):
+    """Of the byte network, window by window and chunk by chunk."""
+    import numpy as np
+
+    data = (text or "").encode()
+    n = len(data) // half + 1
+    data += bytes(n * half + width - len(data))
+    halves = []
+    for begin in range(0, n * half, half):
+        windows = [np.concatenate([network.embed[b] for b in data[at : at + width]]) for at in range(begin, begin + half, stride)]
+        values = np.maximum(np.array(windows, np.float64) @ network.filters + network.bias, 0)
+        halves.append((values.max(axis=0), values.mean(axis=0)))
+    hidden = []
+    for i in range(max(1, n - 1)):
+        a, b = halves[i], halves[min(i + 1, n - 1)]
+        features = np.concatenate([np.maximum(a[0], b[0]), (a[1] + b[1]) / 2])
+        hidden.append(np.maximum(features @ network.hidden + network.hidden_bias, 0))
+    logit = np.max(hidden, axis=0) @ network.out + network.out_bias[0] + network.shift
+    return float(1 / (1 + np.exp(-logit)))

@@ -532,6 +532,14 @@ def test_byte_network_on_odd_rows(odd, none, labels):
     assert byte_cnn.score_quality(none, network).count() == 0
 
 
+def test_byte_network_scores_as_a_plain_forward_pass(odd, labels):
+    network = byte_cnn.train(odd, labels, F.lit(True), updates=20)
+    scored = byte_cnn.score_quality(odd, network).select("row.text", "score").collect()
+    expected = [helpers.network_score(network, r.text) for r in scored]
+    assert [r.score for r in scored] == pytest.approx(expected, abs=1e-4)
+    assert max(expected) - min(expected) > 1e-3
+
+
 def test_byte_network_learns_from_the_ends_of_long_texts(spark):
     """The only difference stands after 45,000 bytes."""
     import random

@@ -265,7 +265,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
 def score_quality(docs: DataFrame, network: Network, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``row`` (struct of a document's columns) and ``score`` (0 to 1, higher: label 1 likelier), from all bytes of the text.
 
-    A null text is scored as an empty one, which is one chunk of zeros. Repeated rows get equal scores."""
+    A null text is scored as an empty one, which is one chunk of zeros. Repeated rows get equal scores; an empty table gives an empty one."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def begin():

@@ -186,12 +186,13 @@ def find_leaks(
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased. Null or empty texts have no
     words and are never hit; items without words match nothing; a null item id counts as the empty string; repeated items
-    are one, repeated documents are repeated.
+    are one, repeated documents are repeated. Without documents the result is empty; without items no document is hit.
 
     The distinct windows of the benchmark are dealt by hash into blocks of about ``block_windows``; each block is
     one pass over the documents, whose state (spans and items) a further pass goes on from. Within a block, words are
     counted over all documents, windows are entered under their rarest word, and a document's occurrences of such words are
-    the candidates: position and length must fit the text, then all words are compared. No document is shuffled."""
+    the candidates: position and length must fit the text, then all words are compared. No document is shuffled. Each block reads the
+    documents twice (counts, then windows), so reads grow with the benchmark: two for each ``block_windows`` distinct windows of it."""
     spark = docs.sparkSession
     windows = item_windows(benchmark, item, item_text, window).groupBy("key", "tokens").agg(F.sort_array(F.collect_set("item")).alias("items"))
     windows = land(windows, scratch_path(spark, "windows"))

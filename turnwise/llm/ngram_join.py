@@ -278,7 +278,8 @@ def link_documents(
 
     Words are separated by the space and U+0009..U+000D, unchanged. A text of fewer words than ``width`` has one shingle of all of
     them; null texts and texts without words have none and are linked to nothing: their class is their own doc_id. Null
-    doc_ids count as greater than all others; a class of only such has a null id. Repeated rows are copies of each other.
+    doc_ids count as greater than all others; a class of only such has a null id. Repeated rows are copies of each other. doc_id is cast to
+    a whole number: an id that is none is an error. An empty table gives an empty result.
 
     1. Copies (equal shingle sets) are one node from here on; the many rows of a copied text never meet.
     2. Nodes that share a band of MinHash values are compared in tiles of bounded size: ever more values, a pair being dropped as
@@ -398,7 +399,7 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each class: the least doc_id (null last), among rows of that id the least hash of all columns.
 
     Rows to drop are found on hashes of rows; texts are moved once, to leave those rows out. Where several equal rows are a class's
-    first, one of them stays."""
+    first, one of them stays. Null texts and texts without words are no copies of each other: all of them stay. An empty table gives an empty one."""
     spark = docs.sparkSession
     columns = [F.col(f"`{c}`") for c in docs.columns]
     hashed = docs.select(

@@ -74,7 +74,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     stack of the last start holds all rules that may still be open, those that have ended are popped, and the innermost is
     the answer. Distinct (host, path) pairs are swept, never pages, and each zone is split over ``salts`` sorted
     runs (the number of shuffle partitions by default), to which the zone's rules are copied. Hence a host with a third
-    of all pages is no single task. A null url has empty host and path; repeated pages give repeated rows."""
+    of all pages is no single task. A null url has empty host and path; repeated pages give repeated rows. Without rules every
+    page gets the default; without pages the result is empty."""
     spark = pages.sparkSession
     salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.col(f"`{url}`")
