@@ -1,4 +1,8 @@
-"""From raw documents to token files: quality, near duplicates, benchmark passages, mixing, tokens."""
+"""From raw documents to token files: quality, near duplicates, benchmark passages, mixing, tokens.
+
+Documents have ``doc_id`` (a whole number or null), ``text`` and ``source``; all other columns, whatever their names, are carried along. Every stage
+takes null, empty and very long texts, null ids and repeated rows as they come, and gives no rows for none.
+"""
 
 from __future__ import annotations
 
@@ -13,24 +17,31 @@ QUALITY = 0.5  # documents that score lower go
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the byte-level network does not reject; it learns from the labels of the query's folds."""
+    """Documents the byte-level network does not reject; it learns from the labels of the query's folds.
+
+    Null and empty texts are scored as a text of no bytes, repeated rows alike. Without labels of both kinds every score is the share of
+    good ones, a half if there are none at all, and then nothing is rejected."""
     scored = byte_cnn.score_quality(docs, quality_network(spark, sf_dir, docs))
     return scored.where(F.col("score") >= QUALITY).select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of the n-gram Jaccard join."""
+    """One document of each class of the n-gram Jaccard join: the one with the least id, null ids last; one row of equal ones.
+
+    Documents without words, null texts included, are linked to nothing and stay."""
     return ngram_join.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. Documents and items without words are never hit nor hit anything; without items all stay."""
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.where("n_hit = 0").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: documents as often as it takes them, and the first words of those it takes a part of."""
+    """The mix: documents as often as it takes them, and the first words of those it takes a part of.
+
+    A null source is one of its own. Documents without words are not in a mix of words. ``n_chars``, if there is one, is that of the text as it is now."""
     mixed = mixing.mixed_documents(docs)
     if "n_chars" in docs.columns:
         mixed = mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -38,7 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of the mix, read back: a row for each document in them."""
+    """Token files of the mix, read back: a row for each document in them, as often as it is there. A null text has the end id alone."""
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(docs, path, tokenizer_file(), END)
     return token_files.read_documents(spark, path)
