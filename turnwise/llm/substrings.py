@@ -13,7 +13,7 @@ from turnwise.sources.scratch import land, scratch_path
 
 THRESHOLD = 35
 ANCHOR = 10
-CHUNK_BYTES = 4 << 20  # texts whose windows are compared with each other before any are sent out
+CHUNK_BYTES = 2 << 20  # texts whose windows are compared with each other before any are sent out
 COMMON = 4096  # texts with an anchor beyond which the windows it is the anchor of are dealt over SALTS tasks
 SALTS = 64
 _PLACE = np.uint64(24)
