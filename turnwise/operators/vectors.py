@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import Word2Vec, Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnwise.functions import fixed
 from turnwise.functions.text import has_words, words
+from turnwise.operators import skipgram
 from turnwise.sources.scratch import land, scratch_path
 
 # Word vectors up to this size are sent to the tasks, where each Python worker holds them once; of larger ones, those of
@@ -26,6 +26,7 @@ BROADCAST_WORD_BYTES = 64 * 1024 * 1024
 
 TRAIN_PARTITIONS = 16
 TOKENS_PER_PARTITION = 4_000_000  # of a training task, beyond that many partitions
+LEAST_TOKENS = 25_000  # of a training task, up to that many: what parts learn is averaged, and few words teach a part little
 MAX_SENTENCE_LENGTH = 10_000
 SAMPLE = 1e-3  # share of all words above which a word is left out now and then in training
 STAY = 100  # occurrences that stay at least of a word that is left out now and then
@@ -34,6 +35,13 @@ WORDS_AT_ONCE = 1 << 14  # whose vectors are added up at a time
 MODEL_BYTES = 4 << 30
 
 
+@dataclass(frozen=True)
+class WordVectors:
+    """Trained vectors: ``(word, n, vector, context)``, a word's count, its vector, and its vector as a word that is told."""
+
+    table: DataFrame
+
+
 def sentences(turns: DataFrame) -> DataFrame:
     """``(conv_id, turn, tokens)``: the words of each flat turn; turns without any are left out."""
     # Tested on the text: a filter on the words would find them a second time.
@@ -79,17 +87,16 @@ def train_word2vec(
     sg: int = 1,
     max_sentence_length: int = MAX_SENTENCE_LENGTH,
     sample: float = SAMPLE,
-) -> Word2VecModel:
+) -> WordVectors:
     """Skip-gram vectors of the words in ``tokens``. Longer sentences are cut at ``max_sentence_length`` words.
 
-    Sentences are dealt and ordered by their content, not by how the input is partitioned. Spark trains its partitions side by side
-    and averages them after each epoch: there are ``TRAIN_PARTITIONS`` of them, more only beyond ``TOKENS_PER_PARTITION`` words in
-    each. Its tasks in one JVM update the same arrays, so vectors differ a little from run to run, as with word2vec's threads; with
-    ``num_partitions=1`` they follow from the data and the seed alone. Words whose share of all words is above ``sample`` are left out
-    of their windows now and then, as word2vec does; 0 keeps all.
+    Sentences are dealt and ordered by their content, not by how the input is partitioned: ``TRAIN_PARTITIONS`` parts, fewer only
+    below ``LEAST_TOKENS`` and more only beyond ``TOKENS_PER_PARTITION`` words in each. They are trained side by side, each with the vectors of its own words, and averaged after each
+    epoch (``skipgram``), so vectors follow from the data, the seed and the number of parts. Words whose share of all words is above
+    ``sample`` are left out of their windows now and then, as word2vec does; 0 keeps all.
 
-    Spark holds the vocabulary and two matrices of its vectors on the driver and in every task, so a vocabulary that would
-    take more than ``MODEL_BYTES`` is refused before anything is trained: raise ``min_count``, or lower ``vector_size``."""
+    A part may have every word, so a vocabulary whose vectors would take more than ``MODEL_BYTES`` is refused before anything is
+    trained: raise ``min_count``, or lower ``vector_size``."""
     if sg != 1:
         raise ValueError("only skip-gram (sg=1) is available")
     spark = sentences.sparkSession
@@ -99,21 +106,13 @@ def train_word2vec(
         raise ValueError(
             f"{n_words} words of {vector_size} values do not fit a model of {MODEL_BYTES} bytes: raise min_count above {min_count}"
         )
+    if not n_words:
+        raise ValueError(f"no word occurs {min_count} times: lower min_count")
     if num_partitions is None:
-        num_partitions = max(TRAIN_PARTITIONS, -(-n_tokens // TOKENS_PER_PARTITION))
-    estimator = Word2Vec(
-        vectorSize=vector_size,
-        windowSize=window,
-        minCount=min_count,
-        maxIter=epochs,
-        numPartitions=num_partitions,
-        seed=seed,
-        maxSentenceLength=max_sentence_length,
-        inputCol="tokens",
-        outputCol="embedding",
-    )
+        num_partitions = max(min(TRAIN_PARTITIONS, -(-n_tokens // LEAST_TOKENS)), -(-n_tokens // TOKENS_PER_PARTITION))
     dealt = dealt_sentences(sentences, num_partitions)
-    return estimator.fit(subsampled(dealt, known, n_tokens, min_count, sample, seed).select("tokens"))
+    thinned = subsampled(dealt, known, n_tokens, min_count, sample, seed).select("tokens")
+    return WordVectors(skipgram.fit(thinned, known, vector_size, window, epochs, seed, max_sentence_length))
 
 
 def dealt_sentences(sentences: DataFrame, num_partitions: int) -> DataFrame:
@@ -158,9 +157,9 @@ def subsampled(
     return drawn.mapInArrow(thin, "tokens array<string>")
 
 
-def word_vectors(model: Word2VecModel) -> DataFrame:
+def word_vectors(model: WordVectors) -> DataFrame:
     """``(word, vector array<double>)``."""
-    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+    return model.table.select("word", F.col("vector").cast("array<double>").alias("vector"))
 
 
 def _occurrences(turns: DataFrame) -> DataFrame:

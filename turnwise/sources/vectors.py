@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2VecModel
 from pyspark.sql import DataFrame, SparkSession
 
-from turnwise.operators.vectors import word_vectors
+from turnwise.operators.vectors import WordVectors, word_vectors
 
 
-def save_word_vectors(model: Word2VecModel, path: str) -> None:
+def save_word_vectors(model: WordVectors, path: str) -> None:
     """Write the model to ``<path>/model`` and ``(word, vector)`` to ``<path>/vectors``."""
-    model.write().overwrite().save(f"{path}/model")
+    model.table.write.mode("overwrite").parquet(f"{path}/model")
     word_vectors(model).write.mode("overwrite").parquet(f"{path}/vectors")
 
 
-def load_model(path: str) -> Word2VecModel:
-    return Word2VecModel.load(f"{path}/model")
+def load_model(path: str) -> WordVectors:
+    return WordVectors(SparkSession.active().read.parquet(f"{path}/model"))
 
 
 def load_word_vectors(spark: SparkSession, path: str) -> DataFrame:
